@@ -60,6 +60,18 @@ def found_titles(text, third) -> Column:
     return F.array_sort(F.filter(candidates, lambda x: x.isNotNull()))
 
 
+def found_from_positions(p_subj, p_obj, p_third, third) -> Column:
+    """O1 from 1-based ``instr`` positions computed once per title (0 = absent)."""
+    def one(pos, name, length):
+        start = (pos - 1).cast("int")
+        return F.when(pos > 0, F.struct(start.alias("start_title"), (start + length).cast("int").alias("end_title"),
+                                        name.alias("section_name")))
+    candidates = F.array(one(p_subj, F.lit(SUBJECTIVE), F.lit(len(SUBJECTIVE))),
+                         one(p_obj, F.lit(OBJECTIVE), F.lit(len(OBJECTIVE))),
+                         one(p_third, third, F.length(third)))
+    return F.array_sort(F.filter(candidates, lambda x: x.isNotNull()))
+
+
 def resolve_overlaps(titles) -> Column:
     """Greedy pass over adjacent pairs.
 
@@ -102,11 +114,7 @@ def section_bounds(titles, text_length) -> Column:
 
 
 def sections(text) -> Column:
-    """Full section table of a (lower-cased) note; empty array when unsectioned.
-
-    Titles are always subjective, objective and the routed assessment title, so every
-    found section is in the extraction list (P15 keeps them all).
-    """
+    """P16 as one expression (for small inputs and tests); ``with_sections`` stages it."""
     t = _c(text)
     third = route_title(t)
     found = found_titles(t, third)
@@ -115,6 +123,24 @@ def sections(text) -> Column:
         section_bounds(kept, F.length(t))).cast(SECTION_TYPE)
 
 
+def with_sections(df, text_col: str, out: str = "sections", keep_titles: bool = False):
+    """P16 as staged projections: route, title positions, sorted titles, greedy pass, bounds.
+
+    Each stage is its own column so that no stage is inlined and recomputed by a later one
+    (the bounds lambda reads the kept array several times).  Empty array = unsectioned.
+    """
+    t = F.col(text_col)
+    staged = (df.withColumn("_third", route_title(t))
+              .withColumn("_pos", F.struct(F.instr(t, F.lit(SUBJECTIVE)).alias("s"), F.instr(t, F.lit(OBJECTIVE)).alias("o"),
+                                           F.when(F.col("_third").isNotNull(), F.instr(t, F.col("_third"))).otherwise(0).alias("a")))
+              .withColumn("_found", found_from_positions(F.col("_pos.s"), F.col("_pos.o"), F.col("_pos.a"), F.col("_third")))
+              .withColumn("_kept", resolve_overlaps(F.col("_found"))))
+    result = staged.withColumn(out, F.when(F.col("_third").isNull() | t.isNull(), F.array().cast(SECTION_TYPE))
+                               .otherwise(section_bounds(F.col("_kept"), F.length(t))).cast(SECTION_TYPE))
+    drop = ["_pos", "_kept"] + ([] if keep_titles else ["_third", "_found"])
+    return result.drop(*drop)
+
+
 def section_named(secs, names) -> Column:
     """The first section whose name is in ``names`` (NULL when none)."""
     names = (names,) if isinstance(names, str) else tuple(names)

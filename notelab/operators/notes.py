@@ -44,7 +44,7 @@ def add_sections(df: DataFrame, text_col: str = "note_des") -> DataFrame:
     put the whole lower-cased note under ``subjective``.
     """
     lowered = df.withColumn("note_des_lower", lower_text(F.col(text_col)))
-    with_secs = lowered.withColumn("sections", S.sections(F.col("note_des_lower")))
+    with_secs = S.with_sections(lowered, "note_des_lower")
     offs = S.offset_columns(F.col("sections"))
     with_offs = with_secs.withColumns({k: offs[k] for k in OFFSET_COLUMNS})
     low = F.col("note_des_lower")

@@ -128,13 +128,12 @@ def q_section_route(spark, sf):
 
 
 def _found(spark, sf):
-    low = _low(spark, sf)
-    third = S.route_title(F.col("note_des_lower"))
-    return low.where(third.isNotNull()).select("xmi", S.found_titles(F.col("note_des_lower"), third).alias("found"))
+    staged = S.with_sections(_low(spark, sf), "note_des_lower", keep_titles=True)
+    return staged.where(F.col("_third").isNotNull()).select("xmi", F.col("_found").alias("found"))
 
 
 def q_title_spans(spark, sf):
-    return (_found(spark, sf).select("xmi", F.explode("found").alias("t"))
+    return (_found(spark, sf).select("xmi", F.explode_outer("found").alias("t")).where(F.col("t").isNotNull())
             .select("xmi", F.col("t.section_name").alias("section_name"), *[F.col(f"t.{c}").cast("bigint").alias(c)
                                                                            for c in ("start_title", "end_title")]))
 
@@ -146,13 +145,13 @@ def q_span_overlap(spark, sf):
         (i + 1).alias("k"),
         S.span_overlap(x["start_title"], x["end_title"], F.get(arr, i + 1)["start_title"],
                        F.get(arr, i + 1)["end_title"]).alias("overlap"))), lambda p: p["k"] < F.size(arr))
-    return (found.select("xmi", F.explode(pairs).alias("p"))
+    return (found.select("xmi", F.explode_outer(pairs).alias("p")).where(F.col("p").isNotNull())
             .select("xmi", F.col("p.k").cast("bigint").alias("k"), F.col("p.overlap").cast("bigint").alias("overlap")))
 
 
 def q_overlap_resolve(spark, sf):
     found = _found(spark, sf)
-    return (found.select("xmi", F.explode(S.resolve_overlaps(F.col("found"))).alias("t"))
+    return (found.select("xmi", F.explode_outer(S.resolve_overlaps(F.col("found"))).alias("t")).where(F.col("t").isNotNull())
             .select("xmi", F.col("t.section_name").alias("section_name"),
                     *[F.col(f"t.{c}").cast("bigint").alias(c) for c in ("start_title", "end_title")]))
 
@@ -163,7 +162,7 @@ def _sectioned(spark, sf):
 
 def q_sectionize(spark, sf):
     sec = _sectioned(spark, sf)
-    return (sec.select("xmi", F.explode("sections").alias("s"))
+    return (sec.select("xmi", F.explode_outer("sections").alias("s")).where(F.col("s").isNotNull())
             .select("xmi", F.col("s.section_name").alias("section_name"),
                     *[F.col(f"s.{c}").cast("bigint").alias(c)
                       for c in ("start_title", "end_title", "start_section", "end_section")]))
@@ -171,7 +170,7 @@ def q_sectionize(spark, sf):
 
 def q_section_bounds(spark, sf):
     sec = _sectioned(spark, sf)
-    return (sec.select("xmi", F.explode("sections").alias("s"))
+    return (sec.select("xmi", F.explode_outer("sections").alias("s")).where(F.col("s").isNotNull())
             .select("xmi", F.col("s.section_name").alias("section_name"),
                     F.col("s.start_section").cast("bigint").alias("start_section"),
                     F.col("s.end_section").cast("bigint").alias("end_section"),
@@ -180,8 +179,8 @@ def q_section_bounds(spark, sf):
 
 def q_section_extract(spark, sf):
     sec = _sectioned(spark, sf)
-    return (sec.select("xmi", F.posexplode(S.section_texts(F.col("note_des_lower"), F.col("sections"))).alias("idx", "text"))
-            .select("xmi", F.col("idx").cast("bigint").alias("idx"), "text"))
+    return (sec.select("xmi", F.posexplode_outer(S.section_texts(F.col("note_des_lower"), F.col("sections"))).alias("idx", "text"))
+            .where(F.col("idx").isNotNull()).select("xmi", F.col("idx").cast("bigint").alias("idx"), "text"))
 
 
 def q_section_offsets(spark, sf):
