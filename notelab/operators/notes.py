@@ -56,4 +56,5 @@ def add_sections(df: DataFrame, text_col: str = "note_des") -> DataFrame:
 
 def clean_sections(df: DataFrame, stop_words=ENGLISH_STOP_WORDS, max_tokens: int = MAX_TOKENS) -> DataFrame:
     """Cleaned copy of each section text."""
-    return df.withColumns({f"{name}_clean1": clean_text(F.col(name), stop_words, max_tokens) for name in SECTION_NAMES})
+    return df.withColumns({f"{name}_clean1": clean_text(F.col(name), stop_words, max_tokens, already_lower=True)
+                          for name in SECTION_NAMES})

@@ -279,3 +279,105 @@ def q_flagship(spark, sf):
 
 
 QUERIES["flagship"] = q_flagship
+
+
+# ---------------------------------------------------------------- folds, splits, metrics, features
+
+from ..operators import embed as E  # noqa: E402
+from ..operators import folds as FO  # noqa: E402
+from ..operators import metrics as M  # noqa: E402
+
+FOLD_SEED = 22
+
+
+def _train(spark, sf):
+    return P.training_rows(spark, sf)
+
+
+def q_group_class_counts(spark, sf):
+    return FO.group_class_counts(_train(spark, sf)).select("mrn", *_big("n", "pos"))
+
+
+def _folds(spark, sf):
+    return FO.group_folds(FO.group_class_counts(_train(spark, sf)), seed=FOLD_SEED)
+
+
+def q_group_folds(spark, sf):
+    return _folds(spark, sf).select("mrn", *_big("fold", "n", "pos"))
+
+
+def _split_rows(spark, sf):
+    rows = _train(spark, sf)
+    return FO.assign_splits(rows, FO.group_folds(FO.group_class_counts(rows), seed=FOLD_SEED))
+
+
+def q_split_assign(spark, sf):
+    return _split_rows(spark, sf).select("note_id", "section", "mrn", *_big("y", "fold"), "split")
+
+
+def q_balance_gate(spark, sf):
+    return FO.balance_gate(_split_rows(spark, sf))
+
+
+def _scored(spark, sf):
+    return _split_rows(spark, sf).withColumn("score", M.hash_score(F.col("note_id"), F.col("section")))
+
+
+def q_note_truth(spark, sf):
+    return M.note_truth(_split_rows(spark, sf)).select("split", "note_id", *_big("y"))
+
+
+def q_note_scores(spark, sf):
+    return M.note_scores(_scored(spark, sf)).select("split", "note_id", *_big("y"), F.round("score", 6).alias("score"))
+
+
+def q_split_counts(spark, sf):
+    rows = _split_rows(spark, sf)
+    return M.split_counts(rows, M.note_truth(rows))
+
+
+def q_auc_section(spark, sf):
+    return M.exact_auc(_scored(spark, sf)).select("split", F.round("auc", 6).alias("auc"))
+
+
+def q_auc_note(spark, sf):
+    return M.exact_auc(M.note_scores(_scored(spark, sf))).select("split", F.round("auc", 6).alias("auc"))
+
+
+def q_fit_metrics(spark, sf):
+    fm = M.fit_metrics(_scored(spark, sf))
+    return fm.select("split", "n", "tp", *[F.round(c, 6).alias(c) for c in ("accuracy", "precision", "recall")])
+
+
+def _vectors(spark, sf):
+    return table(spark, sf, "embeddings")
+
+
+def q_sum_pool(spark, sf):
+    pooled = E.sum_pool(_train(spark, sf), _vectors(spark, sf))
+    return E.long_form(pooled).select("note_id", "section", F.col("dim").cast("bigint").alias("dim"),
+                                      F.round("value", 5).alias("value"))
+
+
+def q_embed_texts(spark, sf):
+    emb = E.embed_texts(_train(spark, sf), _vectors(spark, sf))
+    total = F.aggregate("features", F.lit(0.0), lambda a, x: a + x)
+    return emb.select("note_id", "section", "mrn", F.col("y").cast("bigint").alias("y"),
+                      F.least(T.token_count(F.col("text")), F.lit(512)).cast("bigint").alias("n_tokens"),
+                      F.round(total, 4).alias("feature_sum"))
+
+
+QUERIES.update({
+    "group_class_counts": q_group_class_counts,
+    "group_folds": q_group_folds,
+    "split_assign": q_split_assign,
+    "balance_gate": q_balance_gate,
+    "note_truth": q_note_truth,
+    "note_scores": q_note_scores,
+    "split_counts": q_split_counts,
+    "auc_section": q_auc_section,
+    "auc_note": q_auc_note,
+    "fit_metrics": q_fit_metrics,
+    "sum_pool": q_sum_pool,
+    "embed_texts": q_embed_texts,
+})

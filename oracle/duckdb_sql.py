@@ -303,3 +303,90 @@ ORACLE = {
 ORACLE["flagship"] = with_base(
     "SELECT section, CAST(y AS BIGINT) AS y, CAST(count(*) AS BIGINT) AS n_rows, "
     "CAST(count(DISTINCT mrn) AS BIGINT) AS n_patients FROM trainset GROUP BY section, y")
+
+
+def _hash_int(expr: str) -> str:
+    return f"CAST(('0x' || substr(md5({expr}), 1, 8)) AS BIGINT)"
+
+
+FOLD_CTE = f"""
+, gcc AS (SELECT mrn, count(*) AS n, sum(y) AS pos FROM trainset GROUP BY mrn),
+gh AS (
+  SELECT *, md5('22:' || mrn) AS h, CASE WHEN pos > 0 THEN 1 ELSE 0 END AS stratum,
+         greatest(1, CAST(ceil((SELECT count(*) FROM gcc) / 1000000.0) AS BIGINT)) AS nb
+  FROM gcc
+),
+gb AS (SELECT *, CAST(('0x' || substr(h, 9, 8)) AS BIGINT) % nb AS bucket FROM gh),
+gr AS (SELECT *, row_number() OVER (PARTITION BY stratum, bucket ORDER BY pos DESC, n DESC, h, mrn) - 1 AS r FROM gb),
+folds AS (
+  SELECT mrn, n, pos,
+         CAST(((CASE WHEN (r // 5) % 2 = 0 THEN r % 5 ELSE 4 - r % 5 END) + bucket) % 5 AS INTEGER) AS fold
+  FROM gr
+),
+splits AS (
+  SELECT t.*, f.fold, CASE f.fold WHEN 0 THEN 'test' WHEN 1 THEN 'val' ELSE 'train' END AS split
+  FROM trainset t JOIN folds f ON t.mrn = f.mrn
+),
+scored AS (SELECT *, {_hash_int("note_id || ':' || section")} / 4294967295.0 AS score FROM splits),
+notescored AS (SELECT split, note_id, max(y) AS y, max(score) AS score FROM scored GROUP BY split, note_id)
+"""
+
+
+def with_folds(select: str) -> str:
+    return "WITH " + BASE.strip() + FOLD_CTE + select
+
+
+def _auc(src: str) -> str:
+    return f"""
+, ps AS (SELECT split, score, sum(CASE WHEN y = 1 THEN 1 ELSE 0 END) AS p, sum(CASE WHEN y = 1 THEN 0 ELSE 1 END) AS n
+         FROM {src} GROUP BY split, score),
+pw AS (SELECT *, sum(n) OVER (PARTITION BY split ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - n AS below FROM ps)
+SELECT split, round(sum(p * (below + 0.5 * n)) / nullif(sum(p) * sum(n), 0), 6) AS auc FROM pw GROUP BY split
+"""
+
+
+_VEC = """
+, vecs AS (SELECT vec_id, embedding FROM embeddings),
+tok AS (
+  SELECT note_id, section, unnest(list_slice(list_filter(regexp_split_to_array(text, '{ws}+'), lambda w: w <> ''), 1, 512)) AS token
+  FROM trainset
+),
+tid AS (SELECT note_id, section, {h} % (SELECT count(*) FROM embeddings) AS vec_id FROM tok),
+pooled AS (
+  SELECT t.note_id, t.section, d.i - 1 AS dim, sum(CAST(v.embedding[d.i] AS DOUBLE)) AS value
+  FROM tid t JOIN vecs v ON t.vec_id = v.vec_id, range(1, 65) d(i)
+  GROUP BY t.note_id, t.section, d.i
+)
+""".format(ws=WS, h=_hash_int("token"))
+
+ORACLE.update({
+    "group_class_counts": with_base("SELECT mrn, CAST(count(*) AS BIGINT) AS n, CAST(sum(y) AS BIGINT) AS pos FROM trainset GROUP BY mrn"),
+    "group_folds": with_folds(f"SELECT mrn, {_b('fold', 'n', 'pos')} FROM folds"),
+    "split_assign": with_folds(f"SELECT note_id, section, mrn, {_b('y', 'fold')}, split FROM splits"),
+    "balance_gate": with_folds(
+        "SELECT CAST(sum(CASE WHEN split = 'test' THEN y ELSE 0 END) AS BIGINT) AS pos_test, "
+        "CAST(sum(CASE WHEN split = 'val' THEN y ELSE 0 END) AS BIGINT) AS pos_val, "
+        "abs(sum(CASE WHEN split = 'test' THEN y ELSE 0 END) - sum(CASE WHEN split = 'val' THEN y ELSE 0 END)) < 10 AS passed FROM splits"),
+    "note_truth": with_folds("SELECT split, note_id, CAST(max(y) AS BIGINT) AS y FROM splits GROUP BY split, note_id"),
+    "note_scores": with_folds("SELECT split, note_id, CAST(y AS BIGINT) AS y, round(score, 6) AS score FROM notescored"),
+    "split_counts": with_folds(
+        ", sc AS (SELECT split, count(*) AS n, sum(y) AS n_case FROM splits GROUP BY split), "
+        "pc AS (SELECT split, count(*) AS n_pa, sum(y) AS n_case_pa FROM (SELECT split, note_id, max(y) AS y FROM splits GROUP BY 1, 2) GROUP BY split) "
+        "SELECT sc.split, CAST(sc.n AS BIGINT) AS n, CAST(sc.n_case AS BIGINT) AS n_case, CAST(pc.n_pa AS BIGINT) AS n_pa, "
+        "CAST(pc.n_case_pa AS BIGINT) AS n_case_pa FROM sc JOIN pc ON sc.split = pc.split"),
+    "auc_section": with_folds(_auc("scored")),
+    "auc_note": with_folds(_auc("notescored")),
+    "fit_metrics": with_folds(
+        ", fm AS (SELECT split, count(*) AS n, "
+        "sum(CASE WHEN score > 0.5 AND y = 1 THEN 1 ELSE 0 END) AS tp, sum(CASE WHEN score > 0.5 AND y = 0 THEN 1 ELSE 0 END) AS fp, "
+        "sum(CASE WHEN score <= 0.5 AND y = 1 THEN 1 ELSE 0 END) AS fn, "
+        "sum(CASE WHEN (score > 0.5 AND y = 1) OR (score <= 0.5 AND y = 0) THEN 1 ELSE 0 END) AS correct FROM scored GROUP BY split) "
+        "SELECT split, CAST(n AS BIGINT) AS n, CAST(tp AS BIGINT) AS tp, round(correct / n, 6) AS accuracy, "
+        "round(tp / nullif(tp + fp, 0), 6) AS precision, round(tp / nullif(tp + fn, 0), 6) AS recall FROM fm"),
+    "sum_pool": with_base(_VEC.replace(", vecs", "vecs", 1).join(["", ""]).strip().join(["", ""]) if False else "")
+})
+ORACLE["sum_pool"] = "WITH " + BASE.strip() + _VEC + "SELECT note_id, section, CAST(dim AS BIGINT) AS dim, round(value, 5) AS value FROM pooled"
+ORACLE["embed_texts"] = ("WITH " + BASE.strip() + _VEC +
+                         ", tot AS (SELECT note_id, section, sum(value) AS s FROM pooled GROUP BY note_id, section) "
+                         f"SELECT t.note_id, t.section, t.mrn, CAST(t.y AS BIGINT) AS y, CAST(least({ntok('t.text')}, 512) AS BIGINT) AS n_tokens, "
+                         "round(tot.s, 4) AS feature_sum FROM trainset t JOIN tot ON t.note_id = tot.note_id AND t.section = tot.section")
