@@ -381,3 +381,45 @@ QUERIES.update({
     "sum_pool": q_sum_pool,
     "embed_texts": q_embed_texts,
 })
+
+
+# ---------------------------------------------------------------- training (rows-only checks)
+
+from . import training as TRN  # noqa: E402
+
+_RUNS: dict = {}
+
+
+def _grid_run(spark, sf):
+    """One training run per (session, input) and reuse it for the four views below."""
+    key = (id(spark), sf)
+    if key not in _RUNS:
+        _RUNS[key] = TRN.run_grid(spark, sf)
+    return _RUNS[key]
+
+
+def q_performance_table(spark, sf):
+    return _grid_run(spark, sf)[0]
+
+
+def q_epoch_trace(spark, sf):
+    perf = _grid_run(spark, sf)[0]
+    return perf.select("epoch", *[F.round(c, 6).alias(c) for c in ("train_auc", "val_auc", "test_auc",
+                                                                  "train_auc_pa", "val_auc_pa", "test_auc_pa")])
+
+
+def q_score_splits(spark, sf):
+    return _grid_run(spark, sf)[1]
+
+
+def q_train_mlp(spark, sf):
+    scores = _grid_run(spark, sf)[1]
+    return M.exact_auc(scores).join(scores.groupBy("split").agg(F.count(F.lit(1)).cast("bigint").alias("n")), "split")
+
+
+QUERIES.update({
+    "train_mlp": q_train_mlp,
+    "score_splits": q_score_splits,
+    "epoch_trace": q_epoch_trace,
+    "performance_table": q_performance_table,
+})
