@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vocab import N_FOLDS
+from ..session import materialize
 
 
 def hash_int(col) -> F.Column:
@@ -27,7 +28,12 @@ def group_class_counts(rows: DataFrame, group: str = "mrn", label: str = "y") ->
 
 def group_folds(counts: DataFrame, k: int = N_FOLDS, seed: int = 22, group: str = "mrn",
                 max_groups_per_task: int = 1_000_000) -> DataFrame:
-    """M6: ``group, fold, n, pos`` with folds 0..k-1."""
+    """M6: ``group, fold, n, pos`` with folds 0..k-1.
+
+    ``counts`` (one row per group) is checkpointed once: it is read for the group count
+    and for the ranking, and its upstream is not recomputed.
+    """
+    counts = materialize(counts)
     key = F.concat(F.lit(f"{seed}:"), F.col(group).cast("string"))
     n_groups = counts.select(F.count(F.lit(1))).scalar()
     n_buckets = F.greatest(F.lit(1), F.ceil(n_groups / F.lit(max_groups_per_task)))

@@ -15,7 +15,7 @@ from ..operators import annotations as A
 from ..operators import dataset as DS
 from ..operators import labels as L
 from ..operators import notes as N
-from ..session import table
+from ..session import spread, table
 from ..sources.derived import notes_source, xmi_source
 
 
@@ -23,7 +23,8 @@ def raw_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Raw note rows and annotation documents derived from the given tables."""
     documents = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels")
-    return notes_source(spark, documents), xmi_source(spark, documents, labels)
+    # only the note texts feed CPU-heavy work before the first shuffle
+    return notes_source(spark, spread(documents, "doc_id")), xmi_source(spark, documents, labels)
 
 
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:

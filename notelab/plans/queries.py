@@ -16,7 +16,7 @@ from ..operators import annotations as A
 from ..operators import dataset as DS
 from ..operators import labels as L
 from ..operators import notes as N
-from ..session import table
+from ..session import spread, table
 from ..sources.files import union_rounds
 from . import notes_to_sections as P
 
@@ -27,13 +27,17 @@ def _big(*names):
 
 # ---------------------------------------------------------------- scans / projections
 
+def _docs(spark, sf):
+    return spread(table(spark, sf, "documents"), "doc_id")
+
+
 def q_note_body(spark, sf):
-    docs = table(spark, sf, "documents")
+    docs = _docs(spark, sf)
     return docs.select("doc_id", T.note_body(F.col("text")).alias("body"))
 
 
 def q_token_count(spark, sf):
-    docs = table(spark, sf, "documents")
+    docs = _docs(spark, sf)
     return docs.select("doc_id", T.token_count(F.col("text")).cast("bigint").alias("n_tokens"))
 
 
@@ -46,12 +50,12 @@ def q_lower_notes(spark, sf):
 
 
 def q_clean_text(spark, sf):
-    docs = table(spark, sf, "documents")
+    docs = _docs(spark, sf)
     return docs.select("doc_id", T.clean_text(F.col("text")).alias("clean"))
 
 
 def q_clean_conversations(spark, sf):
-    conv = table(spark, sf, "conversations")
+    conv = spread(table(spark, sf, "conversations"), "conv_id", "turn")
     return conv.select("conv_id", "turn", T.clean_text(F.col("text")).alias("clean"))
 
 
@@ -291,7 +295,9 @@ FOLD_SEED = 22
 
 
 def _train(spark, sf):
-    return P.training_rows(spark, sf)
+    """Training rows, checkpointed once: folds, splits and metrics read them more than once."""
+    from ..session import materialize
+    return materialize(P.training_rows(spark, sf))
 
 
 def q_group_class_counts(spark, sf):

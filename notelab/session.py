@@ -21,6 +21,8 @@ _ENGINE_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "64MB",
+    # text rows are CPU-heavy per byte: aim for smaller post-shuffle partitions than the 64MB default
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "32MB",
     "spark.sql.autoBroadcastJoinThreshold": "16MB",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
@@ -34,6 +36,7 @@ _LOCAL_CONF = {
     "spark.sql.shuffle.partitions": "8",
     "spark.driver.memory": "8g",
     "spark.sql.files.maxPartitionBytes": "32MB",
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "256KB",
 }
 
 
@@ -79,3 +82,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def table(spark: SparkSession, sf_dir: str, name: str):
     """Read one of the given parquet tables."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def spread(df, *keys):
+    """Give heavy row-local work all cores when a scan has fewer splits than the cluster has slots.
+
+    Large inputs already arrive in many splits and are left alone (no extra shuffle); a table
+    stored as one big row group is hash- (or round-robin-) partitioned once.
+    """
+    spark = df.sparkSession
+    slots = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= slots:
+        return df
+    return df.repartition(slots, *keys) if keys else df.repartition(slots)
+
+
+def materialize(df):
+    """Cut lineage with a reliable checkpoint in ``spark.checkpoint.dir`` (survives lost executors)."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
