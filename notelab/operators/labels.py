@@ -19,10 +19,16 @@ from ..functions.vocab import SPAN_OFFSET
 
 
 def notes_right_join(notes: DataFrame, annotations: DataFrame) -> DataFrame:
-    """Every annotation document keeps its row; notes without one drop out."""
+    """Every annotation document keeps its row; notes without one drop out.
+
+    Planned as a sort-merge join on ``file``: its output stays hash-partitioned by ``file``
+    (sectioning and cleaning then run on all shuffle partitions, and the label flags join
+    back without moving the texts), a file with many annotation rows is split by AQE's
+    skew handling, and deduplicated notes arrive already sorted by ``file``.
+    """
     ann_cols = [c for c in annotations.columns if c != "file"]
     note_cols = [c for c in notes.columns if c not in annotations.columns]
-    return notes.select("file", *note_cols).join(annotations.select("file", *ann_cols), "file", "right")
+    return notes.select("file", *note_cols).hint("merge").join(annotations.select("file", *ann_cols), "file", "right")
 
 
 def section_flags(sectioned: DataFrame, span_subset: DataFrame, offset: int = SPAN_OFFSET) -> DataFrame:

@@ -33,9 +33,17 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def joined_notes(notes_df: DataFrame, xmi_docs: DataFrame) -> DataFrame:
-    """J1 on deduplicated notes and the wide annotation table."""
+    """J1 on deduplicated notes and the wide annotation table.
+
+    A right join drops every note without an annotation document, so notes are first
+    semi-joined to the annotation file names: unannotated texts never reach a shuffle, and
+    the per-note projections (token count, ids) run only on annotated notes (the optimizer
+    pushes the semi-join below them).  The name list is broadcast when AQE measures it
+    small; otherwise it shuffles on ``file``, the key the dedupe and J1 use anyway.
+    """
     wide = A.annotations_wide(xmi_docs)
-    return L.notes_right_join(N.one_note_per_file(notes_df), wide)
+    annotated = notes_df.join(wide.select("file"), "file", "left_semi")
+    return L.notes_right_join(N.one_note_per_file(annotated), wide)
 
 
 def labelled(notes_df: DataFrame, xmi_docs: DataFrame) -> DataFrame:
