@@ -52,17 +52,17 @@ def write_sections(stream: DataFrame, out_path: str, checkpoint: str | None = No
 
 def label_batches(stream: DataFrame, xmi_docs: DataFrame, out_path: str, checkpoint: str | None = None,
                   available_now: bool = True):
-    """Label each micro-batch of notes against the annotation documents and append to parquet."""
+    """Label each micro-batch of notes against the annotation documents; one parquet folder per batch."""
     wide = A.annotations_wide(xmi_docs)
     subset = A.tag_subset(A.spans(xmi_docs))
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         joined = N.notes_table(batch).join(wide, "file", "inner")
         labelled = L.label_sections(N.clean_sections(N.add_sections(joined)), subset)
+        # one folder per micro-batch, overwritten on a retry: a re-run batch never duplicates rows
         (labelled.select("xmi", "file", "mrn", "subjective_clean1", "objective_clean1", "assessment_clean1",
                          "subj_label", "obj_label", "asses_label")
-         .withColumn("batch_id", F.lit(batch_id))
-         .write.mode("append").parquet(out_path))
+         .write.mode("overwrite").parquet(f"{out_path.rstrip('/')}/batch_id={batch_id}"))
 
     spark = stream.sparkSession
     writer = stream.writeStream.foreachBatch(handle).option(
