@@ -123,20 +123,56 @@ def sections(text) -> Column:
         section_bounds(kept, F.length(t))).cast(SECTION_TYPE)
 
 
+_TITLE_SQL = "struct<start_title:int,end_title:int,section_name:string>"
+
+
+def _third_sql(t: str) -> str:
+    whens = " ".join(f"WHEN contains({t}, '{title}') THEN '{title}'" for title in ASSESSMENT_TITLES)
+    return f"CASE {whens} END"
+
+
+def _found_sql(t: str) -> str:
+    def one(pos, name, length):
+        return (f"CASE WHEN {pos} > 0 THEN named_struct('start_title', {pos} - 1, 'end_title', {pos} - 1 + {length}, "
+                f"'section_name', {name}) END")
+    cands = ", ".join([one("_pos.s", f"'{SUBJECTIVE}'", len(SUBJECTIVE)), one("_pos.o", f"'{OBJECTIVE}'", len(OBJECTIVE)),
+                       one("_pos.a", "_third", "length(_third)")])
+    return f"array_sort(filter(array({cands}), f -> f IS NOT NULL))"
+
+
+_KEPT_SQL = (
+    "aggregate(_found, named_struct('kept', CAST(array() AS array<" + _TITLE_SQL + ">), 'pend', CAST(NULL AS "
+    + _TITLE_SQL + ")), (acc, x) -> CASE "
+    "WHEN acc.pend IS NULL THEN named_struct('kept', acc.kept, 'pend', x) "
+    "WHEN NOT (acc.pend.start_title <= x.end_title AND x.start_title <= acc.pend.end_title) "
+    "THEN named_struct('kept', array_append(acc.kept, acc.pend), 'pend', x) "
+    "WHEN acc.pend.end_title - acc.pend.start_title >= x.end_title - x.start_title "
+    "THEN named_struct('kept', array_append(acc.kept, acc.pend), 'pend', CAST(NULL AS " + _TITLE_SQL + ")) "
+    "ELSE named_struct('kept', array_append(acc.kept, x), 'pend', CAST(NULL AS " + _TITLE_SQL + ")) END, "
+    "acc -> CASE WHEN acc.pend IS NULL THEN acc.kept ELSE array_append(acc.kept, acc.pend) END)")
+
+
+def _bounds_sql(t: str) -> str:
+    return (f"CASE WHEN _third IS NULL OR {t} IS NULL THEN CAST(array() AS {SECTION_TYPE}) ELSE "
+            "CAST(transform(_kept, (k, i) -> named_struct('section_name', k.section_name, 'start_title', k.start_title, "
+            "'end_title', k.end_title, 'start_section', k.end_title, 'end_section', "
+            f"CASE WHEN i + 1 < size(_kept) THEN get(_kept, i + 1).start_title ELSE length({t}) END)) AS {SECTION_TYPE}) END")
+
+
 def with_sections(df, text_col: str, out: str = "sections", keep_titles: bool = False):
     """P16 as staged projections: route, title positions, sorted titles, greedy pass, bounds.
 
     Each stage is its own column so that no stage is inlined and recomputed by a later one
     (the bounds lambda reads the kept array several times).  Empty array = unsectioned.
+    The stages are SQL expressions (one JVM call each); ``sections`` is the Column form.
     """
-    t = F.col(text_col)
-    staged = (df.withColumn("_third", route_title(t))
-              .withColumn("_pos", F.struct(F.instr(t, F.lit(SUBJECTIVE)).alias("s"), F.instr(t, F.lit(OBJECTIVE)).alias("o"),
-                                           F.when(F.col("_third").isNotNull(), F.instr(t, F.col("_third"))).otherwise(0).alias("a")))
-              .withColumn("_found", found_from_positions(F.col("_pos.s"), F.col("_pos.o"), F.col("_pos.a"), F.col("_third")))
-              .withColumn("_kept", resolve_overlaps(F.col("_found"))))
-    result = staged.withColumn(out, F.when(F.col("_third").isNull() | t.isNull(), F.array().cast(SECTION_TYPE))
-                               .otherwise(section_bounds(F.col("_kept"), F.length(t))).cast(SECTION_TYPE))
+    t = f"`{text_col}`"
+    staged = (df.withColumn("_third", F.expr(_third_sql(t)))
+              .withColumn("_pos", F.expr(f"named_struct('s', instr({t}, '{SUBJECTIVE}'), 'o', instr({t}, '{OBJECTIVE}'), "
+                                         f"'a', CASE WHEN _third IS NOT NULL THEN instr({t}, _third) ELSE 0 END)"))
+              .withColumn("_found", F.expr(_found_sql(t)))
+              .withColumn("_kept", F.expr(_KEPT_SQL)))
+    result = staged.withColumn(out, F.expr(_bounds_sql(t)))
     drop = ["_pos", "_kept"] + ([] if keep_titles else ["_third", "_found"])
     return result.drop(*drop)
 
@@ -154,6 +190,22 @@ def section_texts(text, secs) -> Column:
     return F.transform(nonempty, lambda s: t.substr(s["start_section"] + 1, s["end_section"] - s["start_section"]))
 
 
+def offset_sql(secs: str = "sections") -> dict[str, str]:
+    """P17 + P18 as SQL expressions over the section array column ``secs``."""
+    out = {}
+    for prefix, names in (("subjective", (SUBJECTIVE,)), ("objective", (OBJECTIVE,)),
+                          ("assessment", ("assessment",)), ("assessmentplan", ("assessment and plan",)),
+                          ("planassessment", ("plan and assessment",))):
+        cond = " OR ".join(f"q.section_name = '{n}'" for n in names)
+        first = f"get(filter(`{secs}`, q -> {cond}), 0)"
+        out[f"{prefix}_start"] = f"{first}.start_section"
+        out[f"{prefix}_end"] = f"{first}.end_section"
+    for side in ("start", "end"):
+        out[f"assessment_{side}"] = (f"coalesce({out[f'assessment_{side}']}, {out[f'assessmentplan_{side}']}, "
+                                     f"{out[f'planassessment_{side}']})")
+    return out
+
+
 def offset_columns(secs) -> dict[str, Column]:
     """P17 + P18: ten offset columns by name; assessment coalesces its three title variants."""
     out = {}

@@ -80,8 +80,59 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
+def _sql_str(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def clean_text_sql(x: str, stop_words: Iterable[str] = ENGLISH_STOP_WORDS, max_tokens: int = MAX_TOKENS,
+                   already_lower: bool = False) -> str:
+    """The chain of ``clean_text`` as one Spark SQL expression over the SQL expression ``x``.
+
+    Sent to the JVM in one call (the Column form needs a round trip per node and literal);
+    regex patterns are raw literals, so backslashes reach the regex engine unchanged.
+    """
+    stop = ", ".join(_sql_str(w) for w in stop_words)
+
+    def rr(s, pat, rep):
+        return f"regexp_replace({s}, r'{pat}', '{rep}')"
+
+    def toks(s, v):
+        return f"filter(split({s}, r'{WS}+'), {v} -> {v} != '')"
+
+    t = rr(x, WS + "[?¿]" + WS, " ")
+    t = f"translate({t}, '\\n?¿\\u00A0', '    ')"
+    t = rr(t, WS + "{2,}", " ")
+    if stop:
+        t = f"array_join(filter({toks(t, 'c7t')}, c7w -> NOT c7w IN ({stop})), ' ')"
+    t = rr(t, "(?<!" + W + ")" + W + "*+:", "")
+    t = rr(t, D + "{1,2}/" + D + "{2}/" + D + "{4}", "")
+    t = rr(t, D + "{1,2}/" + D + "{2}/" + D + "{2}", "")
+    t = rr(t, D, "")
+    t = rr(t, r"\[" + NOT_W + r"*\]", " ")
+    t = rr(t, r"\(" + NOT_W + r"*\)", " ")
+    t = f"translate({t}, '/()[]', ' ')"
+    t = rr(t, r"[^\p{L}\p{N}_" + WS[1:-1] + r".]", "  ")
+    t = rr(t, WS + "{2,}", " ")
+    t = rr(t, WS + r"\.", ".")
+    t = f"array_join(filter({toks(t, 'c17t')}, c17w -> length(c17w) > 1), ' ')"
+    t = rr(t, r"(?<![^ ])[._]+|[._]+(?![^ ])", "")
+    over = f"(length(c18x) > {3 * max_tokens - 1} AND size({toks('c18x', 'c18t')}) > {max_tokens})"
+    capped = f"array_join(filter({toks('c18x', 'c18u')}, c18w -> length(c18w) > 2), ' ')"
+    t = f"transform(array({t}), c18x -> CASE WHEN {over} THEN {capped} ELSE c18x END)[0]"
+    out = t if already_lower else f"lower({t})"
+    return f"CASE WHEN {x} IS NULL OR {x} = '' THEN CAST(NULL AS STRING) ELSE {out} END"
+
+
 def clean_text(col, stop_words: Iterable[str] = ENGLISH_STOP_WORDS, max_tokens: int = MAX_TOKENS,
                already_lower: bool = False) -> Column:
+    """P22 (C1-C18); for a column name the chain is built as one SQL expression."""
+    if isinstance(col, str):
+        return F.expr(clean_text_sql(f"`{col}`", stop_words, max_tokens, already_lower))
+    return clean_text_columns(col, stop_words, max_tokens, already_lower)
+
+
+def clean_text_columns(col, stop_words: Iterable[str] = ENGLISH_STOP_WORDS, max_tokens: int = MAX_TOKENS,
+                       already_lower: bool = False) -> Column:
     """P22, steps C1-C18 in the reference's order.
 
     Single-character replacements use ``translate`` instead of a regex pass; the stop list is an

@@ -5,17 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import file_stem, token_count
-from ..functions.vocab import MIN_TOKENS
+from ..functions.text import clean_text, file_stem, token_count
+from ..functions.vocab import ENGLISH_STOP_WORDS, MAX_TOKENS, MIN_TOKENS
 
 _STACK = (("subjective", "subjective_clean1", "subj_label"),
           ("objective", "objective_clean1", "obj_label"),
           ("assessment", "assessment_clean1", "asses_label"))
 
 
-def unpivot_sections(labeled: DataFrame) -> DataFrame:
-    """One row per (note, section) with ``note_id, section, text, y, mrn``."""
-    rows = F.array(*[F.struct(F.lit(name).alias("section"), F.col(text).alias("text"), F.col(label).alias("y"))
+def unpivot_sections(labeled: DataFrame, raw_texts: bool = False) -> DataFrame:
+    """One row per (note, section) with ``note_id, section, text, y, mrn``.
+
+    ``raw_texts`` stacks the uncleaned section texts (``subjective`` ...) instead of the
+    cleaned ones (``subjective_clean1`` ...).
+    """
+    rows = F.array(*[F.struct(F.lit(name).alias("section"), F.col(name if raw_texts else text).alias("text"),
+                              F.col(label).alias("y"))
                      for name, text, label in _STACK])
     return labeled.select(file_stem(F.col("file")).alias("note_id"), "mrn", F.inline(rows))
 
@@ -30,9 +35,17 @@ def exclude_groups(df: DataFrame, exclusions: DataFrame, key: str = "mrn") -> Da
     return df.join(exclusions.select(key), key, "left_anti")
 
 
-def training_set(labeled: DataFrame, exclusions: DataFrame | None = None, n: int = MIN_TOKENS) -> DataFrame:
-    """U3 -> F3 -> J3 with columns ``note_id, section, text, y, mrn``."""
-    out = min_tokens(unpivot_sections(labeled), n)
+def training_set(labeled: DataFrame, exclusions: DataFrame | None = None, n: int = MIN_TOKENS,
+                 raw_texts: bool = False, stop_words=ENGLISH_STOP_WORDS, max_tokens: int = MAX_TOKENS) -> DataFrame:
+    """U3 -> F3 -> J3 with columns ``note_id, section, text, y, mrn``.
+
+    With ``raw_texts`` the stacked section texts are cleaned here (one cleaning expression
+    on the long table); otherwise the cleaned columns of ``labeled`` are stacked.
+    """
+    stacked = unpivot_sections(labeled, raw_texts)
+    if raw_texts:
+        stacked = stacked.withColumn("text", clean_text("text", stop_words, max_tokens, already_lower=True))
+    out = min_tokens(stacked, n)
     if exclusions is not None:
         out = exclude_groups(out, exclusions)
     return out.select("note_id", "section", "text", "y", "mrn")

@@ -1,11 +1,10 @@
 """Joins that attach annotations and labels to notes.
 
 J2 is an equi-join on the file stem followed by a closed-interval overlap test and a max
-per file.  The join runs on slim rows (stem + six offsets, stem + two positions); texts never
-take part.  The flag table comes out hash-partitioned by ``file``, which is the key of the
-join back to the note rows.  A stem holding a large share of the spans is split by AQE's
-skew-join handling (forced even where it adds a shuffle), and the max is pre-aggregated per
-task before the shuffle by ``file``.
+per file.  The join runs on slim rows (one row per file with six offsets; distinct spans);
+texts never take part.  Stems holding a large share of the spans are salted, and the max is
+pre-aggregated per task before the shuffle by ``file``.  The flag table comes out
+hash-partitioned by ``file``, the key of the join back to the note rows.
 """
 
 from __future__ import annotations
@@ -16,6 +15,8 @@ from pyspark.sql import functions as F
 from ..functions.sections import interval_overlap
 from ..functions.text import file_stem
 from ..functions.vocab import SPAN_OFFSET
+from ..session import materialize
+from .skew import salted_join
 
 
 def notes_right_join(notes: DataFrame, annotations: DataFrame) -> DataFrame:
@@ -31,15 +32,28 @@ def notes_right_join(notes: DataFrame, annotations: DataFrame) -> DataFrame:
     return notes.select("file", *note_cols).hint("merge").join(annotations.select("file", *ann_cols), "file", "right")
 
 
-def section_flags(sectioned: DataFrame, span_subset: DataFrame, offset: int = SPAN_OFFSET) -> DataFrame:
-    """Per file: does any span overlap subjective / objective / assessment, and is there any span."""
-    slim = sectioned.select(
-        "file", file_stem(F.col("file")).alias("stem"),
-        "subjective_start", "subjective_end", "objective_start", "objective_end",
+def section_flags(sectioned: DataFrame, span_subset: DataFrame, offset: int = SPAN_OFFSET,
+                  salts: int = 64, hot_fraction: float = 0.001) -> DataFrame:
+    """Per file: does any span overlap subjective / objective / assessment, and is there any span.
+
+    Both sides are reduced before the join: one row per file (copies of a note share their
+    offsets) and distinct ``(stem, begin, end)`` spans (map-side pre-aggregation).  Stems
+    holding a large share of the spans are salted (``operators.skew``), so no task joins
+    a hot stem alone and no copies multiply the pairs.
+    """
+    slim = (sectioned.select(
+        "file", "subjective_start", "subjective_end", "objective_start", "objective_end",
         "assessment_start", "assessment_end")
-    sp = (span_subset.where(F.col("begin").isNotNull() & F.col("end").isNotNull())
-          .select(F.col("file").alias("stem"), (F.col("begin") - offset).alias("b"), (F.col("end") - offset).alias("e")))
-    joined = slim.join(sp, "stem")
+        .groupBy("file").agg(*[F.first(c).alias(c) for c in (
+            "subjective_start", "subjective_end", "objective_start", "objective_end",
+            "assessment_start", "assessment_end")])
+        .withColumn("stem", file_stem(F.col("file"))))
+    # read three times (hot-key count, total, join): written once instead of re-parsed
+    sp = materialize(span_subset.where(F.col("begin").isNotNull() & F.col("end").isNotNull())
+                     .select(F.col("file").alias("stem"), (F.col("begin") - offset).alias("b"),
+                             (F.col("end") - offset).alias("e"))
+                     .distinct())
+    joined = salted_join(sp, slim, ["stem"], ["b", "e"], salts=salts, fraction=hot_fraction)
     b, e = F.col("b"), F.col("e")
 
     def ov(name):

@@ -45,16 +45,16 @@ def add_sections(df: DataFrame, text_col: str = "note_des") -> DataFrame:
     """
     lowered = df.withColumn("note_des_lower", lower_text(F.col(text_col)))
     with_secs = S.with_sections(lowered, "note_des_lower")
-    offs = S.offset_columns(F.col("sections"))
-    with_offs = with_secs.withColumns({k: offs[k] for k in OFFSET_COLUMNS})
-    low = F.col("note_des_lower")
-    unsectioned = F.size("sections") == 0
-    texts = {name: S.slice_text(low, F.col(f"{name}_start"), F.col(f"{name}_end")) for name in SECTION_NAMES}
-    texts["subjective"] = F.when(unsectioned, low).otherwise(texts["subjective"])
+    offs = S.offset_sql("sections")
+    with_offs = with_secs.withColumns({k: F.expr(offs[k]) for k in OFFSET_COLUMNS})
+    texts = {name: F.expr(f"nullif(substr(note_des_lower, {name}_start + 1, {name}_end - {name}_start), '')")
+             for name in SECTION_NAMES}
+    texts["subjective"] = F.expr("CASE WHEN size(sections) = 0 THEN note_des_lower ELSE "
+                                 "nullif(substr(note_des_lower, subjective_start + 1, subjective_end - subjective_start), '') END")
     return with_offs.withColumns(texts)
 
 
 def clean_sections(df: DataFrame, stop_words=ENGLISH_STOP_WORDS, max_tokens: int = MAX_TOKENS) -> DataFrame:
     """Cleaned copy of each section text."""
-    return df.withColumns({f"{name}_clean1": clean_text(F.col(name), stop_words, max_tokens, already_lower=True)
+    return df.withColumns({f"{name}_clean1": clean_text(name, stop_words, max_tokens, already_lower=True)
                           for name in SECTION_NAMES})

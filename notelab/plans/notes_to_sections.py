@@ -46,13 +46,17 @@ def joined_notes(notes_df: DataFrame, xmi_docs: DataFrame) -> DataFrame:
     return L.notes_right_join(N.one_note_per_file(annotated), wide)
 
 
-def labelled(notes_df: DataFrame, xmi_docs: DataFrame) -> DataFrame:
-    """Sectioned, cleaned and labelled note rows (the reference's working table ``data``)."""
+def labelled(notes_df: DataFrame, xmi_docs: DataFrame, clean: bool = True) -> DataFrame:
+    """Sectioned, labelled (and cleaned) note rows: the reference's working table ``data``.
+
+    Labels come from offsets only, so they are computed before the cleaning columns are
+    added: the label join then works on the smaller plan.
+    """
     data = N.add_sections(joined_notes(notes_df, xmi_docs))
-    data = N.clean_sections(data)
     subset = A.tag_subset(A.spans(xmi_docs))
-    return L.label_sections(data, subset).drop("assessmentplan_start", "assessmentplan_end",
-                                                "planassessment_start", "planassessment_end")
+    out = L.label_sections(data, subset).drop("assessmentplan_start", "assessmentplan_end",
+                                               "planassessment_start", "planassessment_end")
+    return N.clean_sections(out) if clean else out
 
 
 def labelled_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,6 +71,9 @@ def exclusions_from_notes(notes_df: DataFrame, modulus: int = 17) -> DataFrame:
 
 
 def training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stack the three raw section texts, then clean one ``text`` column (same values as
+    cleaning three columns and stacking them, with one copy of the cleaning expression)."""
     raw, xmi_docs = raw_inputs(spark, sf_dir)
     notes_df = N.notes_table(raw)
-    return DS.training_set(labelled(notes_df, xmi_docs), exclusions_from_notes(notes_df))
+    lab = labelled(notes_df, xmi_docs, clean=False)
+    return DS.training_set(lab, exclusions_from_notes(notes_df), raw_texts=True)

@@ -51,12 +51,12 @@ def q_lower_notes(spark, sf):
 
 def q_clean_text(spark, sf):
     docs = _docs(spark, sf)
-    return docs.select("doc_id", T.clean_text(F.col("text")).alias("clean"))
+    return docs.select("doc_id", T.clean_text("text").alias("clean"))
 
 
 def q_clean_conversations(spark, sf):
     conv = spread(table(spark, sf, "conversations"), "conv_id", "turn")
-    return conv.select("conv_id", "turn", T.clean_text(F.col("text")).alias("clean"))
+    return conv.select("conv_id", "turn", T.clean_text("text").alias("clean"))
 
 
 def q_union_rounds(spark, sf):
