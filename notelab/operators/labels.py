@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from ..functions.sections import interval_overlap
 from ..functions.text import file_stem
 from ..functions.vocab import SPAN_OFFSET
-from ..session import materialize
 from .skew import salted_join
 
 
@@ -48,11 +47,9 @@ def section_flags(sectioned: DataFrame, span_subset: DataFrame, offset: int = SP
             "subjective_start", "subjective_end", "objective_start", "objective_end",
             "assessment_start", "assessment_end")])
         .withColumn("stem", file_stem(F.col("file"))))
-    # read three times (hot-key count, total, join): written once instead of re-parsed
-    sp = materialize(span_subset.where(F.col("begin").isNotNull() & F.col("end").isNotNull())
-                     .select(F.col("file").alias("stem"), (F.col("begin") - offset).alias("b"),
-                             (F.col("end") - offset).alias("e"))
-                     .distinct())
+    sp = (span_subset.where(F.col("begin").isNotNull() & F.col("end").isNotNull())
+          .select(F.col("file").alias("stem"), (F.col("begin") - offset).alias("b"), (F.col("end") - offset).alias("e"))
+          .distinct())
     joined = salted_join(sp, slim, ["stem"], ["b", "e"], salts=salts, fraction=hot_fraction)
     b, e = F.col("b"), F.col("e")
 

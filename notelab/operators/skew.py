@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 def hot_keys(df: DataFrame, keys: Sequence[str], fraction: float = 0.001, min_rows: int = 100_000) -> DataFrame:
     """Keys of ``df`` holding more than ``fraction`` of its rows (at most ``1 / fraction`` rows)."""
     keys = list(keys)
-    total = df.select(F.count(F.lit(1))).scalar()
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    total = counts.select(F.sum("_n")).scalar()  # same aggregate, its shuffle is reused
     return counts.where(F.col("_n") > F.greatest(F.lit(min_rows), total * F.lit(fraction))).select(*keys)
 
 
