@@ -32,7 +32,7 @@ def notes_right_join(notes: DataFrame, annotations: DataFrame) -> DataFrame:
 
 
 def section_flags(sectioned: DataFrame, span_subset: DataFrame, offset: int = SPAN_OFFSET,
-                  salts: int = 64, hot_fraction: float = 0.001) -> DataFrame:
+                  salts: int = 64, hot_fraction: float = 0.001, hot_min_rows: int = 100_000) -> DataFrame:
     """Per file: does any span overlap subjective / objective / assessment, and is there any span.
 
     Both sides are reduced before the join: one row per file (copies of a note share their
@@ -50,7 +50,7 @@ def section_flags(sectioned: DataFrame, span_subset: DataFrame, offset: int = SP
     sp = (span_subset.where(F.col("begin").isNotNull() & F.col("end").isNotNull())
           .select(F.col("file").alias("stem"), (F.col("begin") - offset).alias("b"), (F.col("end") - offset).alias("e"))
           .distinct())
-    joined = salted_join(sp, slim, ["stem"], ["b", "e"], salts=salts, fraction=hot_fraction)
+    joined = salted_join(sp, slim, ["stem"], ["b", "e"], salts=salts, fraction=hot_fraction, min_rows=hot_min_rows)
     b, e = F.col("b"), F.col("e")
 
     def ov(name):
@@ -62,14 +62,15 @@ def section_flags(sectioned: DataFrame, span_subset: DataFrame, offset: int = SP
         F.max(ov("assessment")).alias("_ass"), F.lit(1).alias("_has_span"))
 
 
-def label_sections(sectioned: DataFrame, span_subset: DataFrame, offset: int = SPAN_OFFSET) -> DataFrame:
+def label_sections(sectioned: DataFrame, span_subset: DataFrame, offset: int = SPAN_OFFSET,
+                   **skew_options) -> DataFrame:
     """J2 + J4 + A4: ``subj_label, obj_label, asses_label`` on every note row.
 
     A span labels a section when its shifted closed interval touches or overlaps the
     section's.  An unsectioned note gets ``subj_label = 1`` when its document has the
     inquiry flag and at least one side-effect span.
     """
-    flags = section_flags(sectioned, span_subset, offset)
+    flags = section_flags(sectioned, span_subset, offset, **skew_options)
     out = sectioned.join(flags, "file", "left")
     no_offsets = (F.col("subjective_start").isNull() & F.col("objective_start").isNull()
                   & F.col("assessment_start").isNull())

@@ -76,3 +76,31 @@ def test_label_plan_has_equi_join_and_no_python(spark):
     plan = _labelled(spark)._jdf.queryExecution().executedPlan().toString()
     for bad in ("BroadcastNestedLoopJoin", "CartesianProduct", "PythonUDF", "ArrowEvalPython", "BatchEvalPython"):
         assert bad not in plan
+
+
+def test_salted_join_is_exact(spark):
+    from notelab.operators.skew import hot_keys, salted_join
+    many = spark.range(0, 30000).select(
+        F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise((F.col("id") % 500).cast("string")).alias("k"),
+        F.col("id").alias("v"))
+    few = spark.createDataFrame([("hot", 1), ("hot", 2), ("5", 3), ("none", 4)], "k string, w int")
+    assert [r.k for r in hot_keys(many, ["k"], fraction=0.01, min_rows=10).collect()] == ["hot"]
+    salted = salted_join(many, few, ["k"], ["v"], salts=8, fraction=0.01, min_rows=10)
+    plain = many.join(few, "k").select(*salted.columns)
+    assert salted.count() == plain.count() == 2 * 10000 + 40
+    assert salted.exceptAll(plain).count() == 0 and plain.exceptAll(salted).count() == 0
+
+
+def test_label_join_with_salted_hot_stem(spark):
+    pad = "x" * 60
+    notes = spark.createDataFrame([("1_1.txt", "subjective: " + pad + " objective: " + pad + " assessment: end")],
+                                  "file string, note_des string")
+    tags = "".join(_tag(i, 69 + 200 + i, 69 + 201 + i, "SE_other") for i in range(40)) + _tag(99, 80, 85, "SE_psych")
+    docs = spark.createDataFrame([("1_1.xmi", HEAD + tags + "</x:XMI>"), ("2_1.xmi", HEAD + _tag(1, 70, 71, "SE_psych") + "</x:XMI>")],
+                                 "xmi string, content string")
+    sec = N.add_sections(L.notes_right_join(N.one_note_per_file(N.notes_table(notes)), A.annotations_wide(docs)))
+    subset = A.tag_subset(A.spans(docs))
+    plain = {r.xmi: (r.subj_label, r.obj_label, r.asses_label) for r in L.label_sections(sec, subset).collect()}
+    salted = {r.xmi: (r.subj_label, r.obj_label, r.asses_label)
+              for r in L.label_sections(sec, subset, salts=4, hot_fraction=0.1, hot_min_rows=5).collect()}
+    assert salted == plain == {"1_1.xmi": (1, 0, 0), "2_1.xmi": (1, 0, 0)}  # 2_1: no note, inquiry rule
