@@ -277,7 +277,7 @@ QUERIES = {
 
 def q_flagship(spark, sf):
     """Training rows per (section, label) after all filters."""
-    rows = P.training_rows(spark, sf)
+    rows = P.training_rows(spark, sf).withColumn("y", F.col("y").cast("bigint"))
     return rows.groupBy("section", "y").agg(F.count(F.lit(1)).cast("bigint").alias("n_rows"),
                                             F.countDistinct("mrn").cast("bigint").alias("n_patients"))
 
