@@ -77,3 +77,28 @@ def training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     notes_df = N.notes_table(raw)
     lab = labelled(notes_df, xmi_docs, clean=False)
     return DS.training_set(lab, exclusions_from_notes(notes_df), raw_texts=True)
+
+
+# ---------------------------------------------------------------- the same plan over note / annotation files
+
+def inputs_from_files(spark: SparkSession, note_paths, xmi_paths) -> tuple[DataFrame, DataFrame]:
+    """Note files (``*.txt``) and annotation files (``*.xmi``) under one or more folders."""
+    from ..sources.files import scan_notes, scan_xmi
+    return scan_notes(spark, note_paths), scan_xmi(spark, xmi_paths)
+
+
+def labelled_from_files(spark: SparkSession, note_paths, xmi_paths, clean: bool = True) -> DataFrame:
+    raw, xmi_docs = inputs_from_files(spark, note_paths, xmi_paths)
+    return labelled(N.notes_table(raw), xmi_docs, clean=clean)
+
+
+def training_rows_from_files(spark: SparkSession, note_paths, xmi_paths,
+                             exclusions: DataFrame | None = None) -> DataFrame:
+    """Files -> training rows ``note_id, section, text, y, mrn`` (exclusions: one ``mrn`` column)."""
+    return DS.training_set(labelled_from_files(spark, note_paths, xmi_paths, clean=False), exclusions, raw_texts=True)
+
+
+def export_spans(spark: SparkSession, xmi_paths, out_path: str) -> None:
+    """Every annotation span (``file, tag, begin, end``) as CSV."""
+    from ..sources.files import scan_xmi, write_csv
+    write_csv(A.spans(scan_xmi(spark, xmi_paths)), out_path)

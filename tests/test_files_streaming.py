@@ -20,7 +20,7 @@ def _write_tree(root):
     os.makedirs(f"{root}/notes/telephone", exist_ok=True)
     os.makedirs(f"{root}/ann/Round_1", exist_ok=True)
     with open(f"{root}/notes/Round01/12_a1.txt", "w") as fh:
-        fh.write(_note("Subjective: " + "w " * 30 + "assessment: fine"))
+        fh.write(_note("Subjective: " + "ww " * 30 + "assessment: fine"))
     with open(f"{root}/notes/Round01/deep/7 b_2.txt", "w") as fh:
         fh.write(_note("no sections"))
     with open(f"{root}/notes/telephone/5_x3.TXT", "w") as fh:   # extension is case-sensitive: skipped
@@ -70,3 +70,18 @@ def test_streaming_sections_and_labels(spark, tmp_path):
     lab = spark.read.parquet(out2).collect()
     assert len(lab) == 1 and lab[0].xmi == "12_a1.xmi" and lab[0].subj_label == 1
     assert spark.read.parquet(out2).where(F.col("asses_label") == 1).count() == 0
+
+
+def test_training_rows_from_files_and_span_export(spark, tmp_path):
+    from notelab.plans import notes_to_sections as P
+    root = str(tmp_path)
+    _write_tree(root)
+    excl = spark.createDataFrame([("7",)], "mrn string")
+    rows = {(r.note_id, r.section): r for r in
+            P.training_rows_from_files(spark, f"{root}/notes", f"{root}/ann", excl).collect()}
+    # only the annotated note remains (right join); its subjective section has 30 tokens and the span
+    assert set(rows) == {("12_a1", "subjective")}
+    assert rows[("12_a1", "subjective")].y == 1 and rows[("12_a1", "subjective")].mrn == "12"
+    P.export_spans(spark, f"{root}/ann", str(tmp_path / "spans"))
+    back = spark.read.option("header", True).csv(str(tmp_path / "spans")).collect()
+    assert [(r.file, r.tag, r.begin, r.end) for r in back] == [("12_a1", "SE_psych", "80", "84")]
