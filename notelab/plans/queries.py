@@ -6,15 +6,12 @@ carry explicit names and types so that the DuckDB oracle can produce the same sc
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import sections as S
 from ..functions import text as T
-from ..functions import xmi as X
 from ..operators import annotations as A
 from ..operators import dataset as DS
-from ..operators import labels as L
 from ..operators import notes as N
 from ..session import spread, table
 from ..sources.files import union_rounds
