@@ -40,7 +40,7 @@ def lower_text(col) -> Column:
 
 def mrn_from_file(col) -> Column:
     """First run of digits followed by ``_``; NULL when there is none."""
-    return F.nullif(F.regexp_extract(_c(col), r"(\d+)_", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(_c(col), r"(\p{Nd}+)_", 1), F.lit(""))
 
 
 def visit_from_file(col) -> Column:

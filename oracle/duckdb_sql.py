@@ -84,7 +84,7 @@ notes_raw AS ({NOTES_SQL.format(documents='documents')}),
 xmi_raw AS ({XMI_SQL.format(documents='documents', labels='labels')}),
 notes AS (
   SELECT file, round, note_des, {ntok('note_des')} AS length,
-         nullif(regexp_extract(file, '(\\d+)_', 1), '') AS mrn,
+         nullif(regexp_extract(file, '(\\p{{Nd}}+)_', 1), '') AS mrn,
          CASE WHEN length(file) >= 5 THEN TRY_CAST(substr(file, length(file) - 4, 1) AS INTEGER) END AS visit_no
   FROM notes_raw
 ),
