@@ -11,14 +11,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import xmi as X
-from ..functions.text import anon_id, note_name_from_xmi
+from ..functions.text import W
 from ..functions.vocab import SE_ABSENT, SE_PRESENT, SE_TAGS, TAG_VOCAB
 
 
+_FILE_SQL = "replace(xmi, '.xmi', '.txt')"
+_ANON_SQL = f"get(split(regexp_extract({_FILE_SQL}, r'^(.*)\\.', 1), '-'), 0)"
+
+
+def _tag_set_sql(content: str = "content") -> str:
+    """A1 as SQL: sorted distinct tags of the document's tag fragments (NULL tags left out)."""
+    tag = f"get(regexp_extract_all(f, r'(?<=semanticTag=\"){W}*(?=\")', 0), 0)"
+    return (f"array_sort(array_distinct(filter(transform(filter(split({content}, '><'), "
+            f"f -> contains(f, 'semanticTag')), f -> {tag}), t -> t IS NOT NULL)))")
+
+
 def with_keys(docs: DataFrame) -> DataFrame:
     """P4 + P5: ``file`` (note name) and ``anon_id`` from the annotation file name."""
-    return docs.withColumns({"file": note_name_from_xmi(F.col("xmi")),
-                             "anon_id": anon_id(note_name_from_xmi(F.col("xmi")))})
+    return docs.selectExpr("*", f"{_FILE_SQL} AS file", f"{_ANON_SQL} AS anon_id")
 
 
 def xmi_fragments(docs: DataFrame) -> DataFrame:
@@ -64,12 +74,14 @@ def annotations_wide(docs: DataFrame, vocab=TAG_VOCAB) -> DataFrame:
 
     Every document keeps its row, also without tags; all vocabulary columns always exist.
     """
-    keyed = with_keys(docs).withColumn("_tags", X.doc_tag_set(F.col("content")))
-    onehot = {t: F.array_contains(F.col("_tags"), F.lit(t)).cast("int") for t in vocab}
-    flags = se_flags({t: F.col(t) for t in vocab})
-    base = keyed.select("xmi", "file", "anon_id", *[c for c in ("round",) if c in docs.columns],
-                        *[v.alias(k) for k, v in onehot.items()])
-    return base.withColumns(flags)
+    extra = [c for c in ("round",) if c in docs.columns]
+    keyed = docs.selectExpr("xmi", *extra, f"{_FILE_SQL} AS file", f"{_ANON_SQL} AS anon_id", f"{_tag_set_sql()} AS _tags")
+    onehot = [f"CAST(array_contains(_tags, '{t}') AS INT) AS `{t}`" for t in vocab]
+    base = keyed.selectExpr("xmi", "file", "anon_id", *extra, *onehot)
+    present = f"greatest({', '.join(SE_PRESENT)})"
+    absent = f"greatest({', '.join(SE_ABSENT)})"
+    return base.selectExpr("*", f"{present} AS SE_present", f"{absent} AS SE_absent",
+                           f"greatest({present}, {absent}) AS SE_inquiry")
 
 
 def inquiry_counts(wide: DataFrame) -> DataFrame:
