@@ -73,9 +73,12 @@ def test_label_join(spark):
 
 
 def test_label_plan_has_equi_join_and_no_python(spark):
+    import re
     plan = _labelled(spark)._jdf.queryExecution().executedPlan().toString()
     for bad in ("BroadcastNestedLoopJoin", "CartesianProduct", "PythonUDF", "ArrowEvalPython", "BatchEvalPython"):
         assert bad not in plan
+    # J1 stays a sort-merge join on file, so its output keeps the file partitioning
+    assert re.search(r"SortMergeJoin \[file#\d+\], \[file#\d+\], RightOuter", plan)
 
 
 def test_salted_join_is_exact(spark):
