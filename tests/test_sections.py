@@ -80,3 +80,12 @@ def test_sections_properties(spark, texts):
             assert getattr(r, name) == want
         if not r.sections:
             assert r.subjective == low
+
+
+def test_staged_sql_and_column_forms_agree(spark):
+    from notelab.plans import notes_to_sections as P
+    raw, _ = P.raw_inputs(spark, "/root/testdata/sf0.001")
+    low = raw.select(F.lower("note_des").alias("t"))
+    staged = S.with_sections(low, "t").withColumn("col_form", S.sections("t"))
+    assert staged.count() > 0
+    assert staged.where(~F.col("sections").eqNullSafe(F.col("col_form"))).count() == 0
