@@ -359,7 +359,7 @@ def _vectors(spark, sf):
 def q_sum_pool(spark, sf):
     pooled = E.sum_pool(_train(spark, sf), _vectors(spark, sf))
     return E.long_form(pooled).select("note_id", "section", F.col("dim").cast("bigint").alias("dim"),
-                                      F.round("value", 5).alias("value"))
+                                      (F.round("value", 5) + F.lit(0.0)).alias("value"))  # -0.0 -> 0.0
 
 
 def q_embed_texts(spark, sf):
@@ -367,7 +367,7 @@ def q_embed_texts(spark, sf):
     total = F.aggregate("features", F.lit(0.0), lambda a, x: a + x)
     return emb.select("note_id", "section", "mrn", F.col("y").cast("bigint").alias("y"),
                       F.least(T.token_count(F.col("text")), F.lit(512)).cast("bigint").alias("n_tokens"),
-                      F.round(total, 4).alias("feature_sum"))
+                      (F.round(total, 4) + F.lit(0.0)).alias("feature_sum"))
 
 
 QUERIES.update({

@@ -385,8 +385,9 @@ ORACLE.update({
         "round(tp / nullif(tp + fp, 0), 6) AS precision, round(tp / nullif(tp + fn, 0), 6) AS recall FROM fm"),
     "sum_pool": with_base(_VEC.replace(", vecs", "vecs", 1).join(["", ""]).strip().join(["", ""]) if False else "")
 })
-ORACLE["sum_pool"] = "WITH " + BASE.strip() + _VEC + "SELECT note_id, section, CAST(dim AS BIGINT) AS dim, round(value, 5) AS value FROM pooled"
+ORACLE["sum_pool"] = ("WITH " + BASE.strip() + _VEC +
+                      "SELECT note_id, section, CAST(dim AS BIGINT) AS dim, round(value, 5) + 0.0 AS value FROM pooled")
 ORACLE["embed_texts"] = ("WITH " + BASE.strip() + _VEC +
                          ", tot AS (SELECT note_id, section, sum(value) AS s FROM pooled GROUP BY note_id, section) "
                          f"SELECT t.note_id, t.section, t.mrn, CAST(t.y AS BIGINT) AS y, CAST(least({ntok('t.text')}, 512) AS BIGINT) AS n_tokens, "
-                         "round(tot.s, 4) AS feature_sum FROM trainset t JOIN tot ON t.note_id = tot.note_id AND t.section = tot.section")
+                         "round(tot.s, 4) + 0.0 AS feature_sum FROM trainset t JOIN tot ON t.note_id = tot.note_id AND t.section = tot.section")
