@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import uuid
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +16,15 @@ from notelab.session import ensure_checkpoint_dir
 BITMAP_BITS = 1 << 24
 
 
+def reachable(spark: SparkSession) -> None:
+    """Let Python workers import this package where it is installed in the driver's place (--py-files is the other way)."""
+    env, home = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
+    if home not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [env.get("PYTHONPATH"), home]))
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    reachable(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
@@ -26,6 +36,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, name: str):
+        reachable(spark)
         self.spark = spark
         self.root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self.n = 0

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from notelab.llm.jaccard import op8_ngram_jaccard
 from notelab.llm.mixing import op6_mix_sources
 
 QUERIES = {
     "op6_mix_sources": op6_mix_sources,
+    "op8_ngram_jaccard": op8_ngram_jaccard,
 }
 
 ORACLE: dict[str, str] = {}
