@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from notelab.llm.jaccard import op8_ngram_jaccard
+from notelab.llm.linedup import op9_line_dedup
 from notelab.llm.mixing import op6_mix_sources
+from notelab.llm.substring import op10_substring_dedup
 
 QUERIES = {
     "op6_mix_sources": op6_mix_sources,
     "op8_ngram_jaccard": op8_ngram_jaccard,
+    "op9_line_dedup": op9_line_dedup,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 ORACLE: dict[str, str] = {}
