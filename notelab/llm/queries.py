@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from notelab.llm.decontam import op4_decontaminate
 from notelab.llm.jaccard import op8_ngram_jaccard
 from notelab.llm.linedup import op9_line_dedup
 from notelab.llm.mixing import op6_mix_sources
 from notelab.llm.substring import op10_substring_dedup
 
 QUERIES = {
+    "op4_decontaminate": op4_decontaminate,
     "op6_mix_sources": op6_mix_sources,
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_line_dedup": op9_line_dedup,

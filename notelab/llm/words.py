@@ -63,16 +63,22 @@ def powers(n: int, salt: int) -> tuple[np.ndarray, np.ndarray]:
     return p[:n], q[:n]
 
 
+#: Lower case, and ASCII punctuation and control characters as spaces.
+_PLAIN = _LOWER.copy()
+_PLAIN[[c for c in range(128) if not chr(c).isalnum()]] = 32
+
+
 class Tokens:
     """Words of some rows.
 
-    ``data`` holds the bytes (lower-cased if asked), ``start``/``end`` each word's byte range, and the words of row r
+    ``data`` holds the bytes (A-Z lower-cased if asked; plain: also without ASCII punctuation), ``start``/``end`` each word's byte range, and the words of row r
     are ``first[r]:first[r + 1]``.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool, plain: bool = False):
         self.offsets = offsets
-        self.data = _LOWER[data] if lower else data
+        data = _PLAIN[data] if plain else _LOWER[data] if lower else data
+        self.data = data
         n = len(data)
         inside = np.zeros(n + 2, dtype=bool)
         inside[1:-1] = ~_SPACE[data]
@@ -161,6 +167,6 @@ def pieces(column: pa.Array, size: int = PIECE) -> Iterator[tuple[int, int, np.n
         r = stop
 
 
-def tokens(column: pa.Array, lower: bool = False, size: int = PIECE) -> Iterator[tuple[int, int, Tokens]]:
+def tokens(column: pa.Array, lower: bool = False, size: int = PIECE, plain: bool = False) -> Iterator[tuple[int, int, Tokens]]:
     for a, b, data, offs in pieces(column, size):
-        yield a, b, Tokens(data, offs, lower)
+        yield a, b, Tokens(data, offs, lower, plain)
