@@ -4,13 +4,19 @@ from __future__ import annotations
 
 from notelab.llm.decontam import op4_decontaminate
 from notelab.llm.jaccard import op8_ngram_jaccard
+from notelab.llm.langid import op5_language_id
 from notelab.llm.linedup import op9_line_dedup
 from notelab.llm.mixing import op6_mix_sources
+from notelab.llm.quality import op7_quality
 from notelab.llm.substring import op10_substring_dedup
+from notelab.llm.toxicity import op1_toxicity
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op4_decontaminate": op4_decontaminate,
+    "op5_language_id": op5_language_id,
     "op6_mix_sources": op6_mix_sources,
+    "op7_quality": op7_quality,
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_line_dedup": op9_line_dedup,
     "op10_substring_dedup": op10_substring_dedup,
