@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from notelab.llm.decontam import op4_decontaminate
+from notelab.llm.embeddup import op2_embedding_near_dedup
 from notelab.llm.jaccard import op8_ngram_jaccard
 from notelab.llm.langid import op5_language_id
 from notelab.llm.linedup import op9_line_dedup
@@ -13,6 +14,7 @@ from notelab.llm.toxicity import op1_toxicity
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_embedding_near_dedup": op2_embedding_near_dedup,
     "op4_decontaminate": op4_decontaminate,
     "op5_language_id": op5_language_id,
     "op6_mix_sources": op6_mix_sources,
