@@ -3,21 +3,62 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from notelab.llm.common import Scratch, read
+from notelab.llm.decontam import contaminated
+from notelab.llm.jaccard import jaccard_components
+from notelab.llm.langid import accepted
+from notelab.llm.linedup import dedup_lines
 from notelab.llm.mixing import mix_sources
 
+#: Documents whose pooled probability of the predicted language is lower are rejected.
+LANGUAGE_SCORE = 0.5
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 5: documents without letters, or of no learned language with confidence, go."""
+    return accepted(docs, LANGUAGE_SCORE)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 9: later copies of repeated line runs go, and documents that hold nothing else."""
+    left = dedup_lines(docs).where((F.col("n_removed") == 0) | (F.col("text") != ""))
+    if "n_chars" in docs.columns:
+        left = left.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return left.select(docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 8: of documents linked by five-word shingles (Jaccard 0.8 or more) the smallest id stays, once.
+
+    Documents without an id link with nothing and stay.
+    """
+    groups = jaccard_components(docs, k=5, p=80, q=100)
+    stays = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    return docs.where("doc_id is not null").join(stays, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns).unionByName(docs.where("doc_id is null"))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 4: documents that hold a benchmark item go."""
+    leaks = contaminated(docs, read(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(leaks, "doc_id", "left_anti").select(docs.columns)
+
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words that the mix takes of each remaining document."""
+    """Operator 6: the words that the mix takes of each remaining document."""
     return mix_sources(docs)
 
 
 STAGES = [
+    ("language_id", language),
+    ("line_dedup", lines),
+    ("ngram_jaccard", near_copies),
+    ("decontamination", decontamination),
     ("mixing", mixing),
 ]
 
-#: Trained models, hashed draws and suffix orders: SQL cannot express the stages; tests hold them against brute force.
+#: Trained models, alignments and hashed draws: SQL cannot express the stages; tests hold them against brute force.
 ORACLE_SQL = None
 
 

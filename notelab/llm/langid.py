@@ -192,20 +192,49 @@ def _label(model, languages: list[str], window: int):
     return run, "doc_id long, held_out boolean, lang_pred string, score double"
 
 
-def identify(docs: DataFrame, sample_docs: int = 3000, folds: int = 5, held: int = 0, window: int = 256, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(doc_id, held_out, lang_pred, score); learns from the given documents' labels outside the held-out fold."""
-    spark = docs.sparkSession
-    reachable(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    sample = learn_rows(rows, sample_docs, folds, held).toPandas()
-    known = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    held_out = crc_fold(F.col("doc_id"), folds) == held
+def fitted(docs: DataFrame, sample_docs: int, folds: int, held: int):
+    """(broadcast weights, languages) learned from doc_id, text and lang of the documents; None without labelled rows."""
+    sample = learn_rows(docs, sample_docs, folds, held).toPandas()
     if not len(sample):
-        return rows.select("doc_id", held_out.alias("held_out"), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+        return None
     languages = sorted(sample["lang"].unique())
     weights = train([x.encode() for x in sample["text"]], sample["lang"].map(languages.index).to_numpy(), len(languages))
-    run, schema = _label(spark.sparkContext.broadcast(compact(weights)), languages, window)
-    return rows.select("doc_id", held_out.alias("held_out"), "text", known.alias("known")).mapInArrow(run, schema)
+    return docs.sparkSession.sparkContext.broadcast(compact(weights)), languages
+
+
+def identify(docs: DataFrame, sample_docs: int = 3000, folds: int = 5, held: int = 0, window: int = 256, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """(doc_id, held_out, lang_pred, score); learns from the given documents' labels outside the held-out fold."""
+    reachable(docs.sparkSession)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    held_out = (crc_fold(F.col("doc_id"), folds) == held).alias("held_out")
+    model = fitted(rows, sample_docs, folds, held)
+    if model is None:
+        return rows.select("doc_id", held_out, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+    known = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("known")
+    run, schema = _label(*model, window)
+    return rows.select("doc_id", held_out, "text", known).mapInArrow(run, schema)
+
+
+def _accept(model, text_at: int, window: int, min_score: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, data, offsets in pieces(batch.column(text_at)):
+                keep = predict(model.value, data, offsets, window).max(axis=1) >= min_score
+                yield batch.slice(a, b - a).filter(pa.array(keep))
+
+    return run
+
+
+def accepted(docs: DataFrame, min_score: float = 0.5, sample_docs: int = 3000, folds: int = 5, held: int = 0, window: int = 256) -> DataFrame:
+    """The documents, all columns unchanged, with a letter and a language of at least that pooled probability.
+
+    Without labelled rows to learn from, only texts without a letter are rejected.
+    """
+    reachable(docs.sparkSession)
+    model = fitted(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang"), sample_docs, folds, held)
+    if model is None:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    return docs.where(F.col("text").rlike(r"\p{L}")).mapInArrow(_accept(model[0], docs.columns.index("text"), window, min_score), docs.schema)
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

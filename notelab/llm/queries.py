@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from notelab.llm.archives import op3_arc_to_warc
 from notelab.llm.decontam import op4_decontaminate
 from notelab.llm.embeddup import op2_embedding_near_dedup
 from notelab.llm.jaccard import op8_ngram_jaccard
@@ -15,6 +16,7 @@ from notelab.llm.toxicity import op1_toxicity
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
+    "op3_arc_to_warc": op3_arc_to_warc,
     "op4_decontaminate": op4_decontaminate,
     "op5_language_id": op5_language_id,
     "op6_mix_sources": op6_mix_sources,
@@ -24,4 +26,55 @@ QUERIES = {
     "op10_substring_dedup": op10_substring_dedup,
 }
 
-ORACLE: dict[str, str] = {}
+_WORDS = r"[^\x20\x09-\x0D]+"
+
+ORACLE: dict[str, str] = {
+    "op2_embedding_near_dedup": """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+u AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) s FROM v),
+l AS (SELECT a.vec_id a, b.vec_id b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_dot_product(a.e, b.e) / (a.s * b.s) >= 0.95),
+reach(vec_id, r) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT l.b, reach.r FROM reach JOIN l ON l.a = reach.vec_id),
+c AS (SELECT vec_id, min(r) component_id FROM reach GROUP BY vec_id),
+n AS (SELECT a vec_id, count(*) n_links FROM l GROUP BY a)
+SELECT x.vec_id, coalesce(n.n_links, 0) n_links, c.component_id, x.vec_id = c.component_id kept
+FROM embeddings x JOIN c USING (vec_id) LEFT JOIN n USING (vec_id)""",
+    "op3_arc_to_warc": """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) b FROM pages),
+d AS (SELECT page_id, octet_length(b) n, sha1(b) h FROM p),
+t AS (SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY h) ELSE page_id END top FROM d)
+SELECT page_id, n payload_bytes, h payload_digest, CASE WHEN top = page_id THEN 'response' ELSE 'revisit' END record_type,
+  CASE WHEN top <> page_id THEN top END refers_to FROM t""",
+    "op8_ngram_jaccard": f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORDS}') w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])
+  WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) g FROM w),
+e AS (SELECT doc_id, unnest(g) h FROM s),
+p AS (SELECT a.doc_id a, b.doc_id b, count(*) c FROM e a JOIN e b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b WHERE 100 * c >= 90 * (len(x.g) + len(y.g) - c)),
+k AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach(doc_id, r) AS (SELECT doc_id, doc_id FROM s UNION SELECT k.b, reach.r FROM reach JOIN k ON k.a = reach.doc_id),
+c AS (SELECT doc_id, min(r) component_id FROM reach GROUP BY doc_id)
+SELECT s.doc_id, len(g) n_shingles, component_id FROM s JOIN c USING (doc_id)""",
+    "op9_line_dedup": f"""
+WITH q AS (SELECT doc_id, text, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_replace(x, '[\\x20\\x09-\\x0D]+$', '')), lambda x: x <> '') l FROM documents),
+e AS (SELECT doc_id, unnest(l) line, unnest(range(1, len(l) + 1)) i FROM q),
+p AS (SELECT *, line || chr(10) || lead(line) OVER (PARTITION BY doc_id ORDER BY i) two, len(regexp_extract_all(line, '{_WORDS}')) >= 50 long_line FROM e),
+f AS (SELECT *, row_number() OVER (PARTITION BY two ORDER BY doc_id, i) > 1 AND two IS NOT NULL later2,
+  row_number() OVER (PARTITION BY line ORDER BY doc_id, i) > 1 AND long_line later1 FROM p),
+g AS (SELECT *, later1 OR later2 OR coalesce(lag(later2) OVER (PARTITION BY doc_id ORDER BY i), false) gone FROM f),
+a AS (SELECT doc_id, count(*) n, count(*) FILTER (gone) r, string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone) t FROM g GROUP BY doc_id)
+SELECT q.doc_id, len(l) n_lines, coalesce(r, 0) n_removed, CASE WHEN coalesce(r, 0) = 0 THEN text ELSE coalesce(t, '') END AS text FROM q LEFT JOIN a USING (doc_id)""",
+    "op10_substring_dedup": f"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORDS}') w FROM documents),
+e AS (SELECT doc_id, unnest(w) word, unnest(range(1, len(w) + 1)) i, len(w) n FROM w),
+s AS (SELECT doc_id, unnest(range(1, len(w) - 33)) i, unnest(list_transform(range(1, len(w) - 33), lambda j: md5(array_to_string(w[j:j + 34], ' ')))) h FROM w WHERE len(w) >= 35),
+t AS (SELECT doc_id, i, count(*) OVER (PARTITION BY h) > 1 again FROM s),
+c AS (SELECT e.doc_id, e.word, e.i, coalesce(bool_or(again) OVER (PARTITION BY e.doc_id ORDER BY e.i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW), false) gone
+  FROM e LEFT JOIN t ON t.doc_id = e.doc_id AND t.i = e.i),
+a AS (SELECT doc_id, count(*) n, count(*) FILTER (gone) r, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) k FROM c GROUP BY doc_id)
+SELECT w.doc_id, len(w) n_words, coalesce(r, 0) n_removed, sha256(coalesce(k, '')) kept_sha256 FROM w LEFT JOIN a USING (doc_id)""",
+}
