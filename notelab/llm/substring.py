@@ -1,7 +1,7 @@
 """Operator 10: exact substring dedup with fixed-block anchors.
 
 A window of ``window`` words that occurs twice contains, in each of its places, one whole block of that document's own
-non-overlapping division into blocks of ``window // 2 + 1`` words. So:
+non-overlapping division into blocks of ``(window + 1) // 2`` words. So:
 
 1. Anchors. Every document's aligned blocks are the index; every rolling window of block length probes it. Both go to
    partitions by hash: a probe as 4 bytes, an index entry with its place. What one batch already decides (a block with
@@ -240,7 +240,7 @@ def dedup_substrings(docs: DataFrame, window: int = 35, with_text: bool = False,
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "substring")
-    block = window // 2 + 1
+    block = (window + 1) // 2
     # rows are told apart by a hash of id and text; equal rows share it and are treated alike
     texts = docs.select(F.xxhash64(id_col, text_col).alias("key"), F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("doc_id"))
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
