@@ -11,11 +11,15 @@ Steps, each a Spark job over all documents:
    (2**18 counters, used for the order and the cost estimate only, never for a decision on a pair).
 2. Documents with equal sets collapse to their smallest id.
 3. A second pass emits the prefix tokens of the representatives; one shuffle by token keeps tokens that two hold.
-4. Each document is verified against the representative it shares most tokens with; components of these links follow.
+4. Each document is verified against one hub of its tokens' lists (the holder with the longest lists: in a group of near
+   copies the text that the others were made from); components of these links follow.
 5. Pairs of *different* components that share enough prefix tokens are all verified, so no link that could join two
    components is lost, while a group of thousands of near copies isn't expanded into all its pairs.
 6. Components of all links, spread back to the copies.
 
+Before sets are compared, pairs must pass an exact bound: the parity bitmaps of two sets (64 bits in the index, 1024 bits
+afterwards) differ in at most as many bits as the sets differ in elements.
+
 A token is held by a document at most once and a document emits about (1 - t) |x| tokens, rarest first, so a passage
 that a third of all documents share only enters the prefix of documents that hold little else.
 
@@ -38,6 +42,7 @@ from notelab.llm.common import Scratch, bitmap, components, read, slot
 from notelab.llm.words import Tokens, mix, powers, tokens, windows
 
 SKETCH_BITS = 18
+PARITY_BITS = 1024
 
 
 def shingle_sets(t: Tokens, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -69,9 +74,23 @@ def _sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     return total[at[1:]] - total[at[:-1]]
 
 
+def parity(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """(rows, 16) int64: bit b of the 1024 is the parity of the number of elements that hash to b."""
+    rows = len(at) - 1
+    out = np.empty((rows, PARITY_BITS // 64), dtype=np.int64)
+    bit = (sets % np.uint64(PARITY_BITS)).astype(np.int64)
+    for a in range(0, rows, 1024):
+        b = min(rows, a + 1024)
+        own = np.repeat(np.arange(b - a), np.diff(at[a : b + 1])) * PARITY_BITS + bit[at[a] : at[b]]
+        odd = (np.bincount(own, minlength=(b - a) * PARITY_BITS) & 1).astype(np.uint8)
+        out[a:b] = np.packbits(odd, bitorder="little").view(np.int64).reshape(b - a, -1)
+    return out
+
+
 def _profile(k: int):
-    """Set size and signature of each document; at the end of a task, its non-zero sketch counters."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("counter", pa.int32()), ("seen", pa.int64())])
+    """Set size, signature and parity bits of each document; at the end of a task, its non-zero sketch counters."""
+    bits = pa.list_(pa.int64())
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("bits", bits), ("counter", pa.int32()), ("seen", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
@@ -81,25 +100,33 @@ def _profile(k: int):
                 sketch += np.bincount((sets >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(sketch))
                 s1, s2 = _sums(mix(sets ^ np.uint64(0x9E3779B97F4A7C15)), at), _sums(mix(sets ^ np.uint64(0xD1B54A32D192ED03)), at)
                 m = b - a
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, m), pa.array(np.diff(at)), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64())], schema=schema)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, m), pa.array(np.diff(at)), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), _rows(parity(sets, at)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64())], schema=schema)
         used = np.flatnonzero(sketch)
         z = len(used)
-        yield pa.RecordBatch.from_arrays([*[pa.nulls(z, pa.int64())] * 4, pa.array(used.astype(np.int32)), pa.array(sketch[used])], schema=schema)
+        yield pa.RecordBatch.from_arrays([*[pa.nulls(z, pa.int64())] * 4, pa.nulls(z, bits), pa.array(used.astype(np.int32)), pa.array(sketch[used])], schema=schema)
 
-    return run, "doc_id long, n long, s1 long, s2 long, counter int, seen long"
+    return run, "doc_id long, n long, s1 long, s2 long, bits array<long>, counter int, seen long"
 
 
-def choose_matches(freq: np.ndarray, base: int, overlap: int, max_matches: int, verify_cost: float) -> int:
-    """The l of least estimated cost: entries of the l-prefix and their lists, plus verified candidates (lists / l)."""
+def _rows(table: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(table) + 1, dtype=np.int32) * table.shape[1]), pa.array(table.ravel()))
+
+
+def choose_matches(freq: np.ndarray, base: int, overlap: int, max_matches: int, verify_cost: float) -> tuple[int, float]:
+    """The l of least estimated cost: entries of the l-prefix and their lists, plus verified candidates (lists / l); and the base prefix's lists."""
     top = max(1, min(max_matches, overlap))
     lists = np.cumsum(freq[: base + top - 1])[base - 1 :]
     l = np.arange(1, len(lists) + 1)
-    return int(np.argmin(lists + base + l + verify_cost * lists / l)) + 1
+    best = int(np.argmin(lists + base + l + verify_cost * lists / l))
+    return best + 1, float(lists[0])
 
 
 def _prefixes(k: int, p: int, q: int, max_matches: int, verify_cost: float, sketch, wanted):
-    """(token, doc_id, meta) for the adaptive prefix of each wanted document; meta packs set size, l and token level."""
-    schema = pa.schema([("token", pa.int64()), ("doc_id", pa.int64()), ("meta", pa.int64())])
+    """(token, doc_id, meta, sig) for the adaptive prefix of each wanted document.
+
+    meta packs set size (bits 32 up), list length on a log scale (16 to 31), l (8 to 15) and token level (0 to 7).
+    """
+    schema = pa.schema([("token", pa.int64()), ("doc_id", pa.int64()), ("meta", pa.int64()), ("sig", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = sketch.value
@@ -114,7 +141,8 @@ def _prefixes(k: int, p: int, q: int, max_matches: int, verify_cost: float, sket
                 sets, at = shingle_sets(t, k)
                 counter = (sets >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
                 key = cls[counter] | (sets >> np.uint64(6))
-                out_t, out_d, out_m = [], [], []
+                sig = np.bitwise_xor.reduce(parity(sets, at), axis=1)
+                out_t, out_d, out_m, out_s = [], [], [], []
                 for r in range(b - a):
                     n = int(at[r + 1] - at[r])
                     if not n:
@@ -124,16 +152,17 @@ def _prefixes(k: int, p: int, q: int, max_matches: int, verify_cost: float, sket
                     mine = key[at[r] : at[r + 1]]
                     freq = seen[counter[at[r] : at[r + 1]]]
                     order = np.argsort(mine)
-                    l = choose_matches(freq[order[: base + max_matches]], base, overlap, max_matches, verify_cost)
+                    l, lists = choose_matches(freq[order[: base + max_matches]], base, overlap, max_matches, verify_cost)
                     take = mine[order[: base + l - 1]]
                     level = np.maximum(np.arange(len(take)) - base + 2, 1)
                     out_t.append(take)
                     out_d.append(np.full(len(take), ids[r]))
-                    out_m.append((n << 16) + (l << 8) + level)
+                    out_m.append((n << 32) + (int(min(65535, 1000 * np.log2(lists + 1))) << 16) + (l << 8) + level)
+                    out_s.append(np.full(len(take), sig[r]))
                 if out_t:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_t).view(np.int64)), pa.array(np.concatenate(out_d)), pa.array(np.concatenate(out_m))], schema=schema)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_t).view(np.int64)), pa.array(np.concatenate(out_d)), pa.array(np.concatenate(out_m)), pa.array(np.concatenate(out_s))], schema=schema)
 
-    return run, "token long, doc_id long, meta long"
+    return run, "token long, doc_id long, meta long, sig long"
 
 
 def _sets_of(k: int, wanted):
@@ -154,7 +183,11 @@ def _sets_of(k: int, wanted):
 
 
 def _size(meta) -> F.Column:
-    return F.shiftright(meta, 16)
+    return F.shiftright(meta, 32)
+
+
+def _lists(meta) -> F.Column:
+    return F.shiftright(meta, 16).bitwiseAND(F.lit(65535))
 
 
 def _matches(meta) -> F.Column:
@@ -165,14 +198,21 @@ def _level(meta) -> F.Column:
     return meta.bitwiseAND(F.lit(255))
 
 
-def verified(pairs: DataFrame, texts: DataFrame, scratch: Scratch, k: int, p: int, q: int) -> DataFrame:
+def possible(nx, ny, differing, p: int, q: int) -> F.Column:
+    """Whether sets of these sizes that differ in at least so many elements can reach the threshold."""
+    return F.lit(q) * (nx + ny - differing) >= F.lit(p) * (nx + ny + differing)
+
+
+def verified(pairs: DataFrame, texts: DataFrame, bits: DataFrame, scratch: Scratch, k: int, p: int, q: int) -> DataFrame:
     """The pairs (a, b) whose sets reach the threshold, by exact intersection of the whole sets."""
     spark = pairs.sparkSession
-    pairs = scratch.stage(pairs, "pairs")
+    x, y = (bits.select(F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits{c}")) for c in "ab")
+    differing = F.aggregate(F.zip_with("bitsa", "bitsb", lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda t, u: t + u)
+    pairs = scratch.stage(pairs.join(x, "a").join(y, "b").where(possible(F.col("na"), F.col("nb"), differing, p, q)).select("a", "b"), "pairs")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     wanted = spark.sparkContext.broadcast(np.packbits(bitmap(ids, "doc_id"), bitorder="little"))
     run, schema = _sets_of(k, wanted)
-    sets = texts.mapInArrow(run, schema).dropDuplicates(["doc_id"])
+    sets = texts.mapInArrow(run, schema).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     x, y = (sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
     inter = F.size(F.array_intersect("sa", "sb")).cast("long")
     both = pairs.join(x, "a").join(y, "b").select("a", "b", inter.alias("i"), (F.size("sa") + F.size("sb")).cast("long").alias("s"))
@@ -192,45 +232,45 @@ def jaccard_components(docs: DataFrame, k: int = 5, p: int = 80, q: int = 100, m
     counters = profile.where("counter is not null").groupBy("counter").agg(F.sum("seen").alias("seen")).toPandas()  # at most 2**18 rows
     seen = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
     seen[counters["counter"].to_numpy(dtype=np.int64)] = counters["seen"].to_numpy(dtype=np.int64)
-    sets = profile.where("counter is null").drop("counter", "seen")
+    sets = profile.where("counter is null").drop("counter", "seen")  # bits are read for representatives only
     nodes = sets.where("n > 0 and doc_id is not null")
-    reps = scratch.stage(nodes.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep")), "reps")
+    reps = scratch.stage(nodes.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.first("bits").alias("bits")), "reps")
 
     sc = spark.sparkContext
     sketch, wanted = sc.broadcast(seen), sc.broadcast(np.packbits(bitmap(reps, "rep"), bitorder="little"))
     run, schema = _prefixes(k, p, q, max_matches, verify_cost, sketch, wanted)
     same = W.partitionBy("token")
-    shared = (texts.mapInArrow(run, schema)
-              .withColumn("first", F.min(F.struct("doc_id", "meta")).over(same)).withColumn("last", F.max("doc_id").over(same))
-              .where("first.doc_id <> last").select("token", "doc_id", "meta", "first"))
+    hub = F.max(F.struct(_lists(F.col("meta")).alias("lists"), (-F.col("doc_id")).alias("less"), "meta", "sig")).over(same)
+    shared = (texts.mapInArrow(run, schema).withColumn("lo", F.min("doc_id").over(same)).withColumn("hi", F.max("doc_id").over(same))
+              .withColumn("hub", hub).where("lo <> hi").select("token", "doc_id", "meta", "sig", (-F.col("hub.less")).alias("h"), F.col("hub.meta").alias("hmeta"), F.col("hub.sig").alias("hsig")))
     shared = scratch.stage(shared, "shared")
 
-    def alike(x, y):
-        return F.lit(q) * F.least(_size(x), _size(y)) >= F.lit(p) * F.greatest(_size(x), _size(y))
-
-    # each document with the anchor that it shares most tokens with
-    meta, anchor = F.col("meta"), F.col("first.meta")
-    near = (shared.where((F.col("doc_id") != F.col("first.doc_id")) & alike(meta, anchor))
-            .groupBy(F.col("first.doc_id").alias("a"), F.col("doc_id").alias("b"))
-            .agg(F.count("*").alias("c"), F.min(F.least(_matches(meta), _matches(anchor))).alias("m")))
-    best = near.where("c >= m").groupBy("b").agg(F.max(F.struct("c", (-F.col("a")).alias("a"))).alias("x")).select((-F.col("x.a")).alias("a"), "b")
-    links = verified(best, texts, scratch, k, p, q)
+    def alike(mx, my, sx, sy):
+        """Sizes and 64 parity bits that the threshold allows."""
+        x, y = _size(mx), _size(my)
+        return (F.lit(q) * F.least(x, y) >= F.lit(p) * F.greatest(x, y)) & possible(x, y, F.bit_count(sx.bitwiseXOR(sy)), p, q)
+
+    # each document with the hub that it shares most tokens with
+    c = F.col
+    near = (shared.where((c("doc_id") != c("h")) & alike(c("meta"), c("hmeta"), c("sig"), c("hsig")))
+            .groupBy(c("h").alias("a"), c("doc_id").alias("b")).agg(F.count("*").alias("c"), F.min(F.least(_matches(c("meta")), _matches(c("hmeta")))).alias("m")))
+    best = near.where("c >= m").groupBy("b").agg(F.max(F.struct("c", "a")).alias("x")).select(F.col("x.a").alias("a"), "b")
+    links = verified(best, texts, reps, scratch, k, p, q)
     label = scratch.stage(components(links, scratch), "labels")
 
     # all candidates across components
-    mine = (shared.select("token", "doc_id", "meta").join(label, F.col("doc_id") == F.col("node"), "left")
-            .select("token", "doc_id", "meta", F.coalesce("component", "doc_id").alias("c")))
+    mine = (shared.select("token", "doc_id", "meta", "sig").join(label, c("doc_id") == c("node"), "left")
+            .select("token", "doc_id", "meta", "sig", F.coalesce("component", "doc_id").alias("c")))
     mine = scratch.stage(mine.withColumn("lo", F.min("c").over(same)).withColumn("hi", F.max("c").over(same)).where("lo <> hi").drop("lo", "hi"), "across")
-    x, y = (mine.select("token", F.col("doc_id").alias(f"d{s}"), F.col("meta").alias(f"m{s}"), F.col("c").alias(f"c{s}")) for s in "xy")
-    need = F.least(_matches(F.col("mx")), _matches(F.col("my")))
-    found = (x.join(y, (x["token"] == y["token"]) & (F.col("cx") < F.col("cy")) & alike(F.col("mx"), F.col("my"))
-                    & (F.greatest(_level(F.col("mx")), _level(F.col("my"))) <= need))
-             .groupBy(F.col("dx").alias("a"), F.col("dy").alias("b")).agg(F.count("*").alias("n"), F.min(need).alias("m")).where("n >= m").select("a", "b"))
-    more = verified(found, texts, scratch, k, p, q)
+    x, y = (mine.select("token", c("doc_id").alias(f"d{s}"), c("meta").alias(f"m{s}"), c("sig").alias(f"s{s}"), c("c").alias(f"c{s}")) for s in "xy")
+    need = F.least(_matches(c("mx")), _matches(c("my")))
+    found = (x.join(y, (x["token"] == y["token"]) & (c("cx") < c("cy")) & (F.greatest(_level(c("mx")), _level(c("my"))) <= need) & alike(c("mx"), c("my"), c("sx"), c("sy")))
+             .groupBy(c("dx").alias("a"), c("dy").alias("b")).agg(F.count("*").alias("n"), F.min(need).alias("m")).where("n >= m").select("a", "b"))
+    more = verified(found, texts, reps, scratch, k, p, q)
     label = scratch.stage(components(links.union(more), scratch), "labels")
     scratch.drop(shared, mine)
 
-    named = reps.join(label, F.col("rep") == F.col("node"), "left").select("s1", "s2", "n", F.coalesce("component", "rep").alias("component_id"))
+    named = reps.drop("bits").join(label, F.col("rep") == F.col("node"), "left").select("s1", "s2", "n", F.coalesce("component", "rep").alias("component_id"))
     placed = nodes.join(named, ["s1", "s2", "n"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     alone = sets.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return placed.unionByName(alone)
