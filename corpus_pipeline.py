@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notelab.llm.common import Scratch, read
+from notelab.llm.common import Scratch, fresh, read
 from notelab.llm.decontam import contaminated
 from notelab.llm.jaccard import jaccard_components
 from notelab.llm.langid import accepted
@@ -23,9 +23,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 9: later copies of repeated line runs go, and documents that hold nothing else."""
-    left = dedup_lines(docs).where((F.col("n_removed") == 0) | (F.col("text") != ""))
+    kept, gone = fresh(docs, "n_lines"), fresh(docs, "n_removed")
+    left = dedup_lines(docs, lines_col=kept, removed_col=gone).where((F.col(gone) == 0) | (F.col("text") != ""))
     if "n_chars" in docs.columns:
-        left = left.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        left = left.withColumn("n_chars", F.when(F.col(gone) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return left.select(docs.columns)
 
 

@@ -60,6 +60,13 @@ class Scratch:
                     path.getFileSystem(conf).delete(path, True)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that the table doesn't have."""
+    while name.lower() in (c.lower() for c in df.columns):
+        name += "_"
+    return name
+
+
 def crc_fold(doc_id: Column, folds: int) -> Column:
     """crc32(doc_id as text) mod folds; null ids count as an empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds

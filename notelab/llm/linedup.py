@@ -16,7 +16,8 @@ positions are plain equi-joins that AQE splits. Window partitions are single doc
 Edge cases: null and empty texts have no lines and stay as they are; blank lines are never deleted by themselves but go
 where a document loses lines; a document without a deleted line keeps its text byte for byte; a document that loses all
 lines keeps an empty text; rows equal in id and text are treated as one and alike; runs repeated inside one document
-count; an empty table gives an empty result; extra columns are kept by ``dedup_lines``.
+count; an empty table gives an empty result; extra columns are kept, but for those
+with the names of the two count columns, which can be chosen.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from notelab.llm.common import Scratch, read
+from notelab.llm.common import Scratch, fresh, read
 
 _KEY = ["d", "key"]
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -80,21 +81,24 @@ def repeated_runs(docs: DataFrame, scratch: Scratch, min_lines: int, min_words:
             .select("d", "key", "start", (F.col("c") + F.col("n") - 1).cast("int").alias("n"), "src_d", "src_key", (F.col("start") - F.col("shift")).alias("src_start")))
 
 
-def dedup_lines(docs: DataFrame, min_lines: int = 2, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with later copies of repeated line runs deleted; adds n_lines and n_removed."""
+def dedup_lines(docs: DataFrame, min_lines: int = 2, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text",
+                lines_col: str = "n_lines", removed_col: str = "n_removed") -> DataFrame:
+    """The documents with later copies of repeated line runs deleted, and two columns of counts."""
     scratch = Scratch(docs.sparkSession, "linedup")
     plain = docs.select(F.col(id_col).alias("d"), F.xxhash64(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
     runs = scratch.stage(repeated_runs(plain, scratch, min_lines, min_words), "runs")
-    gone = (runs.select(F.xxhash64("d", "key").alias("_row"), F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("i"))
-            .groupBy("_row").agg(F.collect_set("i").alias("_gone")))
+    row, lost, own = (fresh(docs, name) for name in ("row", "lost", "lines"))
+    gone = (runs.select(F.xxhash64("d", "key").alias(row), F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("i"))
+            .groupBy(row).agg(F.collect_set("i").alias(lost)))
     gone = scratch.stage(gone, "gone")
-    row = F.xxhash64(F.col(id_col), F.xxhash64(id_col, text_col))
-    lines, gone_i = text_lines(F.col(text_col)), F.col("_gone")
-    left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), gone_i)
-    return (docs.withColumn("_row", row).join(gone, "_row", "left").withColumn("_lines", F.coalesce(lines, F.array().cast("array<string>")))
-            .withColumn(text_col, F.when(gone_i.isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(F.array_sort(left), lambda i: F.get("_lines", i)), "\n")))
-            .withColumn("n_lines", F.size("_lines").cast("long")).withColumn("n_removed", F.when(gone_i.isNull(), F.lit(0)).otherwise(F.size("_gone")).cast("long"))
-            .drop("_row", "_gone", "_lines"))
+    left = F.array_except(F.sequence(F.lit(0), F.size(own) - 1), F.col(lost))
+    rest = F.array_join(F.transform(F.array_sort(left), lambda i: F.get(own, i)), "\n")
+    return (docs.withColumn(row, F.xxhash64(F.col(id_col), F.xxhash64(id_col, text_col))).join(gone, row, "left")
+            .withColumn(own, F.coalesce(text_lines(F.col(text_col)), F.array().cast("array<string>")))
+            .withColumn(text_col, F.when(F.col(lost).isNull(), F.col(text_col)).otherwise(rest))
+            .withColumn(lines_col, F.size(own).cast("long"))
+            .withColumn(removed_col, F.when(F.col(lost).isNull(), F.lit(0)).otherwise(F.size(lost)).cast("long"))
+            .drop(row, lost, own))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
