@@ -17,7 +17,7 @@ Steps, each a Spark job over all documents:
    components is lost, while a group of thousands of near copies isn't expanded into all its pairs.
 6. Components of all links, spread back to the copies.
 
-Before sets are compared, pairs must pass an exact bound: the parity bitmaps of two sets (64 bits in the index, 1024 bits
+Before sets are compared, pairs must pass an exact bound: the parity bitmaps of two sets (256 bits in the join, 1024 bits
 afterwards) differ in at most as many bits as the sets differ in elements.
 
 A token is held by a document at most once and a document emits about (1 - t) |x| tokens, rarest first, so a passage
@@ -122,11 +122,11 @@ def choose_matches(freq: np.ndarray, base: int, overlap: int, max_matches: int,
 
 
 def _prefixes(k: int, p: int, q: int, max_matches: int, verify_cost: float, sketch, wanted):
-    """(token, doc_id, meta, sig) for the adaptive prefix of each wanted document.
+    """(token, doc_id, meta) for the adaptive prefix of each wanted document.
 
     meta packs set size (bits 32 up), list length on a log scale (16 to 31), l (8 to 15) and token level (0 to 7).
     """
-    schema = pa.schema([("token", pa.int64()), ("doc_id", pa.int64()), ("meta", pa.int64()), ("sig", pa.int64())])
+    schema = pa.schema([("token", pa.int64()), ("doc_id", pa.int64()), ("meta", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = sketch.value
@@ -141,8 +141,7 @@ def _prefixes(k: int, p: int, q: int, max_matches: int, verify_cost: float, sket
                 sets, at = shingle_sets(t, k)
                 counter = (sets >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
                 key = cls[counter] | (sets >> np.uint64(6))
-                sig = np.bitwise_xor.reduce(parity(sets, at), axis=1)
-                out_t, out_d, out_m, out_s = [], [], [], []
+                out_t, out_d, out_m = [], [], []
                 for r in range(b - a):
                     n = int(at[r + 1] - at[r])
                     if not n:
@@ -158,11 +157,10 @@ def _prefixes(k: int, p: int, q: int, max_matches: int, verify_cost: float, sket
                     out_t.append(take)
                     out_d.append(np.full(len(take), ids[r]))
                     out_m.append((n << 32) + (int(min(65535, 1000 * np.log2(lists + 1))) << 16) + (l << 8) + level)
-                    out_s.append(np.full(len(take), sig[r]))
                 if out_t:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_t).view(np.int64)), pa.array(np.concatenate(out_d)), pa.array(np.concatenate(out_m)), pa.array(np.concatenate(out_s))], schema=schema)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_t).view(np.int64)), pa.array(np.concatenate(out_d)), pa.array(np.concatenate(out_m))], schema=schema)
 
-    return run, "token long, doc_id long, meta long, sig long"
+    return run, "token long, doc_id long, meta long"
 
 
 def _sets_of(k: int, wanted):
@@ -240,31 +238,32 @@ def jaccard_components(docs: DataFrame, k: int = 5, p: int = 80, q: int = 100, m
     sketch, wanted = sc.broadcast(seen), sc.broadcast(np.packbits(bitmap(reps, "rep"), bitorder="little"))
     run, schema = _prefixes(k, p, q, max_matches, verify_cost, sketch, wanted)
     same = W.partitionBy("token")
-    hub = F.max(F.struct(_lists(F.col("meta")).alias("lists"), (-F.col("doc_id")).alias("less"), "meta", "sig")).over(same)
+    hub = F.max(F.struct(_lists(F.col("meta")).alias("lists"), (-F.col("doc_id")).alias("less"), "meta")).over(same)
     shared = (texts.mapInArrow(run, schema).withColumn("lo", F.min("doc_id").over(same)).withColumn("hi", F.max("doc_id").over(same))
-              .withColumn("hub", hub).where("lo <> hi").select("token", "doc_id", "meta", "sig", (-F.col("hub.less")).alias("h"), F.col("hub.meta").alias("hmeta"), F.col("hub.sig").alias("hsig")))
+              .withColumn("hub", hub).where("lo <> hi").select("token", "doc_id", "meta", (-F.col("hub.less")).alias("h"), F.col("hub.meta").alias("hmeta")))
     shared = scratch.stage(shared, "shared")
 
-    def alike(mx, my, sx, sy):
-        """Sizes and 64 parity bits that the threshold allows."""
-        x, y = _size(mx), _size(my)
-        return (F.lit(q) * F.least(x, y) >= F.lit(p) * F.greatest(x, y)) & possible(x, y, F.bit_count(sx.bitwiseXOR(sy)), p, q)
+    def alike(mx, my):
+        return F.lit(q) * F.least(_size(mx), _size(my)) >= F.lit(p) * F.greatest(_size(mx), _size(my))
 
     # each document with the hub that it shares most tokens with
     c = F.col
-    near = (shared.where((c("doc_id") != c("h")) & alike(c("meta"), c("hmeta"), c("sig"), c("hsig")))
+    near = (shared.where((c("doc_id") != c("h")) & alike(c("meta"), c("hmeta")))
             .groupBy(c("h").alias("a"), c("doc_id").alias("b")).agg(F.count("*").alias("c"), F.min(F.least(_matches(c("meta")), _matches(c("hmeta")))).alias("m")))
     best = near.where("c >= m").groupBy("b").agg(F.max(F.struct("c", "a")).alias("x")).select(F.col("x.a").alias("a"), "b")
     links = verified(best, texts, reps, scratch, k, p, q)
     label = scratch.stage(components(links, scratch), "labels")
 
     # all candidates across components
-    mine = (shared.select("token", "doc_id", "meta", "sig").join(label, c("doc_id") == c("node"), "left")
-            .select("token", "doc_id", "meta", "sig", F.coalesce("component", "doc_id").alias("c")))
+    folds = [F.expr(f"bits[{i}] ^ bits[{i + 4}] ^ bits[{i + 8}] ^ bits[{i + 12}]").alias(f"f{i}") for i in range(4)]  # 256 of the 1024 parity bits
+    known = reps.join(label, c("rep") == c("node"), "left").select(c("rep").alias("doc_id"), F.coalesce("component", "rep").alias("c"), *folds)
+    mine = shared.select("token", "doc_id", "meta").join(known, "doc_id")
     mine = scratch.stage(mine.withColumn("lo", F.min("c").over(same)).withColumn("hi", F.max("c").over(same)).where("lo <> hi").drop("lo", "hi"), "across")
-    x, y = (mine.select("token", c("doc_id").alias(f"d{s}"), c("meta").alias(f"m{s}"), c("sig").alias(f"s{s}"), c("c").alias(f"c{s}")) for s in "xy")
+    x, y = (mine.select("token", *[c(n).alias(m + s) for n, m in (("doc_id", "d"), ("meta", "m"), ("c", "c"), *((f"f{i}", f"f{i}") for i in range(4)))]) for s in "xy")
+    differing = sum((F.bit_count(c(f"f{i}x").bitwiseXOR(c(f"f{i}y"))) for i in range(4)), F.lit(0))
     need = F.least(_matches(c("mx")), _matches(c("my")))
-    found = (x.join(y, (x["token"] == y["token"]) & (c("cx") < c("cy")) & (F.greatest(_level(c("mx")), _level(c("my"))) <= need) & alike(c("mx"), c("my"), c("sx"), c("sy")))
+    found = (x.join(y, (x["token"] == y["token"]) & (c("cx") < c("cy")) & (F.greatest(_level(c("mx")), _level(c("my"))) <= need) & alike(c("mx"), c("my"))
+                    & possible(_size(c("mx")), _size(c("my")), differing, p, q))
              .groupBy(c("dx").alias("a"), c("dy").alias("b")).agg(F.count("*").alias("n"), F.min(need).alias("m")).where("n >= m").select("a", "b"))
     more = verified(found, texts, reps, scratch, k, p, q)
     label = scratch.stage(components(links.union(more), scratch), "labels")
