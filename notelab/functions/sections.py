@@ -1,12 +1,13 @@
-"""Section finder as column expressions.
+"""Section finder (P11, P12, P14-P19, O1, W1, W2) as staged SQL expressions.
 
-Everything here is row-local: one note in, an array of section structs out.  The array is
-computed once per note and all offsets and texts are projected from it.
+Everything here is row-local: one note in, an array of section structs out.  Each stage is a
+column of its own (one JVM call each), so that no stage is inlined and computed again by a later
+one; the queries of the single operators read the same stages.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .vocab import ASSESSMENT_TITLES, OBJECTIVE, SUBJECTIVE
@@ -14,39 +15,13 @@ from .vocab import ASSESSMENT_TITLES, OBJECTIVE, SUBJECTIVE
 SECTION_TYPE = (
     "array<struct<section_name:string,start_title:int,end_title:int,start_section:int,end_section:int>>"
 )
-_TITLE_TYPE = "struct<start_title:int,end_title:int,section_name:string>"
+_TITLE = "struct<start_title:int,end_title:int,section_name:string>"
 
 
-def _c(col) -> Column:
-    return F.col(col) if isinstance(col, str) else col
-
-
-def route_title(text, titles=ASSESSMENT_TITLES) -> Column:
-    """The first assessment-like title the text contains; NULL = unsectioned."""
-    t = _c(text)
-    expr = None
-    for title in titles:
-        cond = F.contains(t, F.lit(title))
-        expr = F.when(cond, F.lit(title)) if expr is None else expr.when(cond, F.lit(title))
-    return expr
-
-
-def title_span(text, title) -> Column:
-    """0-based [start, end) of the first occurrence; NULL struct when absent."""
-    t = _c(text)
-    ttl = title if isinstance(title, Column) else F.lit(title)
-    pos = F.instr(t, ttl)
-    start = (pos - 1).cast("int")
-    return F.when(pos > 0, F.struct(start.alias("start_title"),
-                                    (start + F.length(ttl)).cast("int").alias("end_title"),
-                                    ttl.alias("section_name")))
-
-
-def span_overlap(s1, e1, s2, e2) -> Column:
-    """Closed-interval overlap; -1 none, 0 first is at least as long, 1 second is longer."""
-    return (F.when((s1 <= e2) & (s2 <= e1),
-                   F.when((e1 - s1) >= (e2 - s2), F.lit(0)).otherwise(F.lit(1)))
-            .otherwise(F.lit(-1)))
+def overlap_sql(p: str, x: str) -> str:
+    """Closed-interval overlap of two titles; -1 none, 0 the first is at least as long, 1 the second is longer."""
+    return (f"CASE WHEN {p}.start_title <= {x}.end_title AND {x}.start_title <= {p}.end_title THEN "
+            f"CASE WHEN {p}.end_title - {p}.start_title >= {x}.end_title - {x}.start_title THEN 0 ELSE 1 END ELSE -1 END")
 
 
 def interval_overlap(b1, e1, b2, e2) -> Column:
@@ -54,84 +29,14 @@ def interval_overlap(b1, e1, b2, e2) -> Column:
     return F.when((e1 < b2) | (e2 < b1), F.lit(0)).otherwise(F.lit(1))
 
 
-def found_titles(text, third) -> Column:
-    """O1: titles present in the text, sorted by start."""
-    candidates = F.array(title_span(text, SUBJECTIVE), title_span(text, OBJECTIVE), title_span(text, third))
-    return F.array_sort(F.filter(candidates, lambda x: x.isNotNull()))
-
-
-def found_from_positions(p_subj, p_obj, p_third, third) -> Column:
-    """O1 from 1-based ``instr`` positions computed once per title (0 = absent)."""
-    def one(pos, name, length):
-        start = (pos - 1).cast("int")
-        return F.when(pos > 0, F.struct(start.alias("start_title"), (start + length).cast("int").alias("end_title"),
-                                        name.alias("section_name")))
-    candidates = F.array(one(p_subj, F.lit(SUBJECTIVE), F.lit(len(SUBJECTIVE))),
-                         one(p_obj, F.lit(OBJECTIVE), F.lit(len(OBJECTIVE))),
-                         one(p_third, third, F.length(third)))
-    return F.array_sort(F.filter(candidates, lambda x: x.isNotNull()))
-
-
-def resolve_overlaps(titles) -> Column:
-    """Greedy pass over adjacent pairs.
-
-    State = (kept titles, pending title).  A pending title is compared with the next one:
-    no overlap keeps the pending one and makes the next one pending; an overlap keeps the
-    longer (the first on a tie) and consumes both, so the winner is never compared again.
-    Where the reference runs past the end on a last overlapping pair, the winner is kept.
-    """
-    empty = F.array().cast(f"array<{_TITLE_TYPE}>")
-    none = F.lit(None).cast(_TITLE_TYPE)
-    init = F.struct(empty.alias("kept"), none.alias("pend"))
-
-    def step(acc, x):
-        p = acc["pend"]
-        ov = span_overlap(p["start_title"], p["end_title"], x["start_title"], x["end_title"])
-        return (F.when(p.isNull(), F.struct(acc["kept"].alias("kept"), x.alias("pend")))
-                .when(ov == -1, F.struct(F.array_append(acc["kept"], p).alias("kept"), x.alias("pend")))
-                .when(ov == 0, F.struct(F.array_append(acc["kept"], p).alias("kept"), none.alias("pend")))
-                .otherwise(F.struct(F.array_append(acc["kept"], x).alias("kept"), none.alias("pend"))))
-
-    def finish(acc):
-        return F.when(acc["pend"].isNull(), acc["kept"]).otherwise(F.array_append(acc["kept"], acc["pend"]))
-
-    return F.aggregate(_c(titles), init, step, finish)
-
-
-def section_bounds(titles, text_length) -> Column:
-    """Content runs from a title's end to the next kept title's start; the last to the text end."""
-    arr = _c(titles)
-    n = F.size(arr)
-
-    def bound(x, i):
-        nxt = F.when(i + 1 < n, F.get(arr, i + 1)["start_title"]).otherwise(text_length.cast("int"))
-        end_section = F.when(x["end_title"] == nxt, x["end_title"]).otherwise(nxt)
-        return F.struct(x["section_name"].alias("section_name"), x["start_title"].alias("start_title"),
-                        x["end_title"].alias("end_title"), x["end_title"].alias("start_section"),
-                        end_section.cast("int").alias("end_section"))
-
-    return F.transform(arr, bound)
-
-
-def sections(text) -> Column:
-    """P16 as one expression (for small inputs and tests); ``with_sections`` stages it."""
-    t = _c(text)
-    third = route_title(t)
-    found = found_titles(t, third)
-    kept = resolve_overlaps(found)
-    return F.when(third.isNull() | t.isNull(), F.array().cast(SECTION_TYPE)).otherwise(
-        section_bounds(kept, F.length(t))).cast(SECTION_TYPE)
-
-
-_TITLE_SQL = "struct<start_title:int,end_title:int,section_name:string>"
-
-
 def _third_sql(t: str) -> str:
+    """The first assessment-like title the text contains; NULL = unsectioned."""
     whens = " ".join(f"WHEN contains({t}, '{title}') THEN '{title}'" for title in ASSESSMENT_TITLES)
     return f"CASE {whens} END"
 
 
-def _found_sql(t: str) -> str:
+def _found_sql() -> str:
+    """The titles present, 0-based [start, end) of their first occurrence, sorted by start."""
     def one(pos, name, length):
         return (f"CASE WHEN {pos} > 0 THEN named_struct('start_title', {pos} - 1, 'end_title', {pos} - 1 + {length}, "
                 f"'section_name', {name}) END")
@@ -140,54 +45,51 @@ def _found_sql(t: str) -> str:
     return f"array_sort(filter(array({cands}), f -> f IS NOT NULL))"
 
 
-_KEPT_SQL = (
-    "aggregate(_found, named_struct('kept', CAST(array() AS array<" + _TITLE_SQL + ">), 'pend', CAST(NULL AS "
-    + _TITLE_SQL + ")), (acc, x) -> CASE "
-    "WHEN acc.pend IS NULL THEN named_struct('kept', acc.kept, 'pend', x) "
-    "WHEN NOT (acc.pend.start_title <= x.end_title AND x.start_title <= acc.pend.end_title) "
-    "THEN named_struct('kept', array_append(acc.kept, acc.pend), 'pend', x) "
-    "WHEN acc.pend.end_title - acc.pend.start_title >= x.end_title - x.start_title "
-    "THEN named_struct('kept', array_append(acc.kept, acc.pend), 'pend', CAST(NULL AS " + _TITLE_SQL + ")) "
-    "ELSE named_struct('kept', array_append(acc.kept, x), 'pend', CAST(NULL AS " + _TITLE_SQL + ")) END, "
-    "acc -> CASE WHEN acc.pend IS NULL THEN acc.kept ELSE array_append(acc.kept, acc.pend) END)")
+def _kept_sql() -> str:
+    """Greedy pass over adjacent titles, state = (kept titles, pending title).
+
+    No overlap keeps the pending title and makes the next one pending; an overlap keeps the longer
+    (the first on a tie) and consumes both, so the winner is never compared again.  Where the
+    reference runs past the end on a last overlapping pair, the winner is kept.
+    """
+    none = f"CAST(NULL AS {_TITLE})"
+
+    def state(kept, pend):
+        return f"named_struct('kept', {kept}, 'pend', {pend})"
+    with_pend, with_x = "array_append(acc.kept, acc.pend)", "array_append(acc.kept, x)"
+    return (f"aggregate(_found, {state(f'CAST(array() AS array<{_TITLE}>)', none)}, (acc, x) -> "
+            f"CASE WHEN acc.pend IS NULL THEN {state('acc.kept', 'x')} ELSE CASE {overlap_sql('acc.pend', 'x')} "
+            f"WHEN -1 THEN {state(with_pend, 'x')} WHEN 0 THEN {state(with_pend, none)} ELSE {state(with_x, none)} END END, "
+            f"acc -> CASE WHEN acc.pend IS NULL THEN acc.kept ELSE {with_pend} END)")
 
 
 def _bounds_sql(t: str) -> str:
+    """Content runs from a title's end to the next kept title's start; the last to the text end."""
     return (f"CASE WHEN _third IS NULL OR {t} IS NULL THEN CAST(array() AS {SECTION_TYPE}) ELSE "
             "CAST(transform(_kept, (k, i) -> named_struct('section_name', k.section_name, 'start_title', k.start_title, "
             "'end_title', k.end_title, 'start_section', k.end_title, 'end_section', "
             f"CASE WHEN i + 1 < size(_kept) THEN get(_kept, i + 1).start_title ELSE length({t}) END)) AS {SECTION_TYPE}) END")
 
 
-def with_sections(df, text_col: str, out: str = "sections", keep_titles: bool = False):
+def with_sections(df: DataFrame, text_col: str, out: str = "sections", keep_titles: bool = False) -> DataFrame:
     """P16 as staged projections: route, title positions, sorted titles, greedy pass, bounds.
 
-    Each stage is its own column so that no stage is inlined and recomputed by a later one
-    (the bounds lambda reads the kept array several times).  Empty array = unsectioned.
-    The stages are SQL expressions (one JVM call each); ``sections`` is the Column form.
+    Empty array = unsectioned.  ``keep_titles`` leaves the stages ``_third``, ``_found`` and ``_kept``.
     """
     t = f"`{text_col}`"
     staged = (df.withColumn("_third", F.expr(_third_sql(t)))
               .withColumn("_pos", F.expr(f"named_struct('s', instr({t}, '{SUBJECTIVE}'), 'o', instr({t}, '{OBJECTIVE}'), "
                                          f"'a', CASE WHEN _third IS NOT NULL THEN instr({t}, _third) ELSE 0 END)"))
-              .withColumn("_found", F.expr(_found_sql(t)))
-              .withColumn("_kept", F.expr(_KEPT_SQL)))
+              .withColumn("_found", F.expr(_found_sql()))
+              .withColumn("_kept", F.expr(_kept_sql())))
     result = staged.withColumn(out, F.expr(_bounds_sql(t)))
-    drop = ["_pos", "_kept"] + ([] if keep_titles else ["_third", "_found"])
-    return result.drop(*drop)
-
-
-def section_named(secs, names) -> Column:
-    """The first section whose name is in ``names`` (NULL when none)."""
-    names = (names,) if isinstance(names, str) else tuple(names)
-    return F.get(F.filter(_c(secs), lambda s: s["section_name"].isin(*names)), 0)
+    return result.drop("_pos", *([] if keep_titles else ["_third", "_found", "_kept"]))
 
 
 def section_texts(text, secs) -> Column:
     """Texts of the non-empty sections in order of appearance."""
-    t = _c(text)
-    nonempty = F.filter(_c(secs), lambda s: s["end_section"] != s["start_section"])
-    return F.transform(nonempty, lambda s: t.substr(s["start_section"] + 1, s["end_section"] - s["start_section"]))
+    nonempty = F.filter(secs, lambda s: s["end_section"] != s["start_section"])
+    return F.transform(nonempty, lambda s: text.substr(s["start_section"] + 1, s["end_section"] - s["start_section"]))
 
 
 def offset_sql(secs: str = "sections") -> dict[str, str]:
@@ -204,22 +106,3 @@ def offset_sql(secs: str = "sections") -> dict[str, str]:
         out[f"assessment_{side}"] = (f"coalesce({out[f'assessment_{side}']}, {out[f'assessmentplan_{side}']}, "
                                      f"{out[f'planassessment_{side}']})")
     return out
-
-
-def offset_columns(secs) -> dict[str, Column]:
-    """P17 + P18: ten offset columns by name; assessment coalesces its three title variants."""
-    out = {}
-    for prefix, names in (("subjective", (SUBJECTIVE,)), ("objective", (OBJECTIVE,)),
-                          ("assessment", ("assessment",)), ("assessmentplan", ("assessment and plan",)),
-                          ("planassessment", ("plan and assessment",))):
-        s = section_named(secs, names)
-        out[f"{prefix}_start"] = s["start_section"]
-        out[f"{prefix}_end"] = s["end_section"]
-    out["assessment_start"] = F.coalesce(out["assessment_start"], out["assessmentplan_start"], out["planassessment_start"])
-    out["assessment_end"] = F.coalesce(out["assessment_end"], out["assessmentplan_end"], out["planassessment_end"])
-    return out
-
-
-def slice_text(text, start, end) -> Column:
-    """Section text by 0-based offsets; empty or missing gives NULL."""
-    return F.nullif(_c(text).substr(start + 1, end - start), F.lit(""))

@@ -11,7 +11,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .vocab import ENGLISH_STOP_WORDS, MAX_TOKENS
+from .vocab import ENGLISH_STOP_WORDS
 
 WS = r"[\t-\r\x{1c}-\x{20}\x{85}\p{Z}]"
 W = r"[\p{L}\p{N}_]"
@@ -71,25 +71,17 @@ def note_body(col) -> Column:
     return F.get(F.split(F.get(lines, 3), "\t"), 0)
 
 
-def let(value: Column, body) -> Column:
-    """Evaluate ``value`` once and pass it to ``body`` (a one-element ``transform``).
-
-    Conditional expressions re-evaluate a sub-expression in each branch; binding it to a
-    lambda variable keeps a long chain from running more than once per row.
-    """
-    return F.get(F.transform(F.array(value), body), 0)
-
-
 def _sql_str(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def clean_text_sql(x: str, stop_words: Iterable[str] = ENGLISH_STOP_WORDS, max_tokens: int = MAX_TOKENS,
+def clean_text_sql(x: str, stop_words: Iterable[str] = ENGLISH_STOP_WORDS, max_tokens: int | None = None,
                    already_lower: bool = False) -> str:
     """The chain of ``clean_text`` as one Spark SQL expression over the SQL expression ``x``.
 
-    Sent to the JVM in one call (the Column form needs a round trip per node and literal);
-    regex patterns are raw literals, so backslashes reach the regex engine unchanged.
+    Sent to the JVM in one call; regex patterns are raw literals, so backslashes reach the regex
+    engine unchanged.  The steps keep the reference's order.  C18 binds the chain once (a
+    one-element ``transform``), so that the branches don't run it again.
     """
     stop = ", ".join(_sql_str(w) for w in stop_words)
 
@@ -116,54 +108,20 @@ def clean_text_sql(x: str, stop_words: Iterable[str] = ENGLISH_STOP_WORDS, max_t
     t = rr(t, WS + r"\.", ".")
     t = f"array_join(filter({toks(t, 'c17t')}, c17w -> length(c17w) > 1), ' ')"
     t = rr(t, r"(?<![^ ])[._]+|[._]+(?![^ ])", "")
-    over = f"(length(c18x) > {3 * max_tokens - 1} AND size({toks('c18x', 'c18t')}) > {max_tokens})"
-    capped = f"array_join(filter({toks('c18x', 'c18u')}, c18w -> length(c18w) > 2), ' ')"
-    t = f"transform(array({t}), c18x -> CASE WHEN {over} THEN {capped} ELSE c18x END)[0]"
+    if max_tokens is not None:
+        over = f"size({toks('c18x', 'c18t')}) > {max_tokens}"
+        capped = f"array_join(filter({toks('c18x', 'c18u')}, c18w -> length(c18w) > 2), ' ')"
+        t = f"transform(array({t}), c18x -> CASE WHEN {over} THEN {capped} ELSE c18x END)[0]"
     out = t if already_lower else f"lower({t})"
     return f"CASE WHEN {x} IS NULL OR {x} = '' THEN CAST(NULL AS STRING) ELSE {out} END"
 
 
-def clean_text(col, stop_words: Iterable[str] = ENGLISH_STOP_WORDS, max_tokens: int = MAX_TOKENS,
+def clean_text(col: str, stop_words: Iterable[str] = ENGLISH_STOP_WORDS, max_tokens: int | None = None,
                already_lower: bool = False) -> Column:
-    """P22 (C1-C18); for a column name the chain is built as one SQL expression."""
-    if isinstance(col, str):
-        return F.expr(clean_text_sql(f"`{col}`", stop_words, max_tokens, already_lower))
-    return clean_text_columns(col, stop_words, max_tokens, already_lower)
+    """C1-C17 of a text column, and with ``max_tokens`` C18 (longer results lose words of two letters).
 
-
-def clean_text_columns(col, stop_words: Iterable[str] = ENGLISH_STOP_WORDS, max_tokens: int = MAX_TOKENS,
-                       already_lower: bool = False) -> Column:
-    """P22, steps C1-C18 in the reference's order.
-
-    Single-character replacements use ``translate`` instead of a regex pass; the stop list is an
-    ``IN`` set (hash lookup); ``\\w*:`` is anchored at word starts (same matches, no rescans
-    inside words); the per-token strip of C17 is one pass over the joined text.  With
-    ``already_lower`` (text lower-cased upstream) the final ``lower`` is skipped: no step adds
-    an upper-case letter.
+    Single-character replacements use ``translate``; the stop list is an ``IN`` set; ``\\w*:`` is
+    anchored at word starts (same matches, no rescans inside words).  With ``already_lower`` (text
+    lower-cased upstream) the final ``lower`` is skipped: no step adds an upper-case letter.
     """
-    c = _c(col)
-    stop = list(stop_words)
-    t = F.regexp_replace(c, WS + "[?¿]" + WS, " ")                       # C2
-    t = F.translate(t, "\n?¿\u00a0", "    ")                            # C3, C4, C5
-    t = F.regexp_replace(t, WS + "{2,}", " ")                             # C6
-    t = F.array_join(F.filter(ws_tokens(t), lambda w: ~w.isin(*stop)), " ") if stop else t  # C7
-    t = F.regexp_replace(t, "(?<!" + W + ")" + W + "*+:", "")             # C8
-    t = F.regexp_replace(t, D + "{1,2}/" + D + "{2}/" + D + "{4}", "")   # C9
-    t = F.regexp_replace(t, D + "{1,2}/" + D + "{2}/" + D + "{2}", "")   # C10
-    t = F.regexp_replace(t, D, "")                                        # C11
-    t = F.regexp_replace(t, r"\[" + NOT_W + r"*\]", " ")                 # C12
-    t = F.regexp_replace(t, r"\(" + NOT_W + r"*\)", " ")
-    t = F.translate(t, "/()[]", " ")                                      # C13 (delete), C14 (/ -> space)
-    t = F.regexp_replace(t, r"[^\p{L}\p{N}_" + WS[1:-1] + r".]", "  ")    # C15
-    t = F.regexp_replace(t, WS + "{2,}", " ")
-    t = F.regexp_replace(t, WS + r"\.", ".")                              # C16
-    t = F.array_join(F.filter(ws_tokens(t), lambda w: F.length(w) > 1), " ")  # C17: tokens now split by one space
-    t = F.regexp_replace(t, r"(?<![^ ])[._]+|[._]+(?![^ ])", "")
-    # N tokens need at least 3n - 1 characters, so short texts skip the count.
-    def cap(x):
-        over = (F.length(x) > 3 * max_tokens - 1) & (F.size(ws_tokens(x)) > max_tokens)
-        return F.when(over, F.array_join(F.filter(ws_tokens(x), lambda w: F.length(w) > 2), " ")).otherwise(x)
-
-    t = let(t, cap)
-    out = t if already_lower else F.lower(t)
-    return F.when(c.isNull() | (c == F.lit("")), F.lit(None).cast("string")).otherwise(out)
+    return F.expr(clean_text_sql(f"`{col}`", stop_words, max_tokens, already_lower))

@@ -1,6 +1,6 @@
 """Fixed values that must equal the reference's for the results to agree.
 
-Fixed values (kept together, in the reference's order):
+Fixed values (kept together; the tags are grouped by meaning):
 
 * section titles, tried in this order for the third section:
   "plan and assessment", "assessment and plan", "assessment"
@@ -12,8 +12,9 @@ Fixed values (kept together, in the reference's order):
 * present tags: SE_physio, SE_psych, SE_other; absent tags: SE_physio_N, SE_psych_N, SE_other_N
 * offset between annotation positions and note-body positions: 69
 * encoder token cap: 512; minimum tokens per training text: 4; folds: 5
-* hyper-parameter grid: lr 0.001, batch 32, epochs 50, width 128, dropout 0.1, model "llama_13";
-  seed 0, split number 22
+* hyper-parameter grid: lr 0.001, batch 32, epochs 50, width 128, dropout 0.1; seed 0, split number 22
+  (the model type names the encoder that is used here, "token_vectors")
+* output columns of the performance table: PERFORMANCE_COLUMNS
 """
 
 SUBJECTIVE = "subjective"
@@ -40,7 +41,7 @@ PARAM_GRID = {
     "epochs": [50],
     "dense_node": [128],
     "do": [0.1],
-    "model_type": ["llama_13"],
+    "model_type": ["token_vectors"],
 }
 SEEDS = [0]
 SPLIT_NUMBERS = [22]

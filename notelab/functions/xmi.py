@@ -27,22 +27,23 @@ def _first(frag, pattern: str) -> Column:
 
 
 def xmi_id(frag) -> Column:
-    return _first(frag, r'(?<=xmi:id=")' + D + r'{0,5}(?=")')
+    return _first(frag, r'(?<=xmi:id=")' + D + r'+(?=")')
 
 
 def begin(frag) -> Column:
-    return _first(frag, r'(?<=begin=")' + D + r'{0,6}(?=")')
+    return _first(frag, r'(?<=begin=")' + D + r'+(?=")')
 
 
 def end(frag) -> Column:
-    return _first(frag, r'(?<=end=")' + D + r'{0,6}(?=")')
+    return _first(frag, r'(?<=end=")' + D + r'+(?=")')
 
 
 def semantic_tag(frag) -> Column:
     return _first(frag, r'(?<=semanticTag=")' + W + r'*(?=")')
 
 
-def doc_tag_set(content) -> Column:
-    """A1 / O2: distinct tags of one document, sorted (NULL tags left out)."""
-    tags = F.transform(tag_fragments(content), semantic_tag)
-    return F.array_sort(F.array_distinct(F.filter(tags, lambda t: t.isNotNull())))
+def doc_tags_sql(content: str = "content") -> str:
+    """A1 / O2: sorted distinct tags of one document (NULL tags left out), as SQL."""
+    tag = f"get(regexp_extract_all(f, r'(?<=semanticTag=\"){W}*(?=\")', 0), 0)"
+    return (f"array_sort(array_distinct(filter(transform(filter(split({content}, '><'), "
+            f"f -> contains(f, 'semanticTag')), f -> {tag}), t -> t IS NOT NULL)))")

@@ -2,7 +2,8 @@
 
 One annotation document is one row, so the per-document tag table is a row-local
 projection of that row's fragments: no explode, no shuffle, no pivot job.  Only the
-long span table explodes (one row per tag element).
+long span table explodes (one row per tag element).  ``round`` names the folder that a
+document came from; documents without that column are one round.
 """
 
 from __future__ import annotations
@@ -11,19 +12,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import xmi as X
-from ..functions.text import W
 from ..functions.vocab import SE_ABSENT, SE_PRESENT, SE_TAGS, TAG_VOCAB
 
-
 _FILE_SQL = "replace(xmi, '.xmi', '.txt')"
 _ANON_SQL = f"get(split(regexp_extract({_FILE_SQL}, r'^(.*)\\.', 1), '-'), 0)"
+_STEM_SQL = f"regexp_extract({_FILE_SQL}, r'^(.*)\\.', 1)"
 
 
-def _tag_set_sql(content: str = "content") -> str:
-    """A1 as SQL: sorted distinct tags of the document's tag fragments (NULL tags left out)."""
-    tag = f"get(regexp_extract_all(f, r'(?<=semanticTag=\"){W}*(?=\")', 0), 0)"
-    return (f"array_sort(array_distinct(filter(transform(filter(split({content}, '><'), "
-            f"f -> contains(f, 'semanticTag')), f -> {tag}), t -> t IS NOT NULL)))")
+def with_round(df: DataFrame) -> DataFrame:
+    return df if "round" in df.columns else df.withColumn("round", F.lit(""))
 
 
 def with_keys(docs: DataFrame) -> DataFrame:
@@ -33,23 +30,27 @@ def with_keys(docs: DataFrame) -> DataFrame:
 
 def xmi_fragments(docs: DataFrame) -> DataFrame:
     """P6 + F1: one row per tag fragment."""
-    return docs.select("xmi", F.posexplode(X.tag_fragments(F.col("content"))).alias("pos", "fragment"))
+    return with_round(docs).select("xmi", "round", F.posexplode(X.tag_fragments(F.col("content"))).alias("pos", "fragment"))
 
 
 def xmi_attributes(docs: DataFrame) -> DataFrame:
     """Id, begin, end, tag of every tag fragment (NULL where the pattern finds nothing)."""
     f = F.col("fragment")
-    return xmi_fragments(docs).select("xmi", "pos", X.xmi_id(f).alias("xmi_id"), X.begin(f).alias("begin"),
+    return xmi_fragments(docs).select("xmi", "round", "pos", X.xmi_id(f).alias("xmi_id"), X.begin(f).alias("begin"),
                                       X.end(f).alias("end"), X.semantic_tag(f).alias("tag"))
 
 
-def spans(docs: DataFrame) -> DataFrame:
-    """Long span table ``file, tag, begin, end`` (file = anonymous id, as the reference keys it)."""
-    keyed = with_keys(docs)
+def spans(docs: DataFrame, strict_stem: bool = False) -> DataFrame:
+    """Long span table ``round, file, tag, begin, end``.
+
+    ``file`` is the anonymous id (the name cut at the first ``-``), as the reference keys it;
+    with ``strict_stem`` it is the whole name, which a note of the same name matches.
+    """
     frag = F.col("fragment")
-    return (keyed.select("anon_id", F.explode(X.tag_fragments(F.col("content"))).alias("fragment"))
-            .select(F.col("anon_id").alias("file"), X.semantic_tag(frag).alias("tag"),
-                    X.begin(frag).try_cast("int").alias("begin"), X.end(frag).try_cast("int").alias("end")))
+    return (with_round(docs).selectExpr("round", f"{_STEM_SQL if strict_stem else _ANON_SQL} AS file", "content")
+            .select("round", "file", F.explode(X.tag_fragments(F.col("content"))).alias("fragment"))
+            .select("round", "file", X.semantic_tag(frag).alias("tag"),
+                    X.begin(frag).try_cast("bigint").alias("begin"), X.end(frag).try_cast("bigint").alias("end")))
 
 
 def tag_subset(span_df: DataFrame, tags=SE_TAGS) -> DataFrame:
@@ -57,27 +58,27 @@ def tag_subset(span_df: DataFrame, tags=SE_TAGS) -> DataFrame:
     return span_df.where(F.col("tag").isin(*tags))
 
 
-def doc_tags(docs: DataFrame) -> DataFrame:
-    """A1: sorted distinct tags per annotation document."""
-    return docs.select("xmi", X.doc_tag_set(F.col("content")).alias("tags"))
+def span_rejects(span_df: DataFrame) -> DataFrame:
+    """Spans that can label nothing, by what they lack: a count per (tag missing, position missing)."""
+    lacks = span_df.select(F.col("tag").isNull().alias("no_tag"), (F.col("begin").isNull() | F.col("end").isNull()).alias("no_position"))
+    return lacks.where("no_tag or no_position").groupBy("no_tag", "no_position").agg(F.count(F.lit(1)).alias("n"))
 
 
-def se_flags(cols: dict) -> dict:
-    """Presence / absence / inquiry flags from one-hot tag columns."""
-    present = F.greatest(*[cols[t] for t in SE_PRESENT])
-    absent = F.greatest(*[cols[t] for t in SE_ABSENT])
-    return {"SE_present": present, "SE_absent": absent, "SE_inquiry": F.greatest(present, absent)}
+def doc_tags(docs: DataFrame) -> DataFrame:
+    """A1: sorted distinct tags per annotation document."""
+    return with_round(docs).selectExpr("xmi", "round", f"{X.doc_tags_sql()} AS tags")
 
 
 def annotations_wide(docs: DataFrame, vocab=TAG_VOCAB) -> DataFrame:
-    """A2 + P10 + P9: ``xmi, file, anon_id``, one 0/1 column per vocabulary tag, three flags.
+    """A2 + P10 + P9: ``xmi, file, anon_id, round``, one 0/1 column per vocabulary tag, ``other_tags``, three flags.
 
-    Every document keeps its row, also without tags; all vocabulary columns always exist.
+    Every document keeps its row, also without tags; all vocabulary columns always exist, and
+    tags outside the vocabulary are kept in the sorted array ``other_tags``.
     """
-    extra = [c for c in ("round",) if c in docs.columns]
-    keyed = docs.selectExpr("xmi", *extra, f"{_FILE_SQL} AS file", f"{_ANON_SQL} AS anon_id", f"{_tag_set_sql()} AS _tags")
+    keyed = with_round(docs).selectExpr("xmi", "round", f"{_FILE_SQL} AS file", f"{_ANON_SQL} AS anon_id", f"{X.doc_tags_sql()} AS _tags")
     onehot = [f"CAST(array_contains(_tags, '{t}') AS INT) AS `{t}`" for t in vocab]
-    base = keyed.selectExpr("xmi", "file", "anon_id", *extra, *onehot)
+    known = ", ".join(f"'{t}'" for t in vocab)
+    base = keyed.selectExpr("xmi", "file", "anon_id", "round", *onehot, f"array_except(_tags, array({known})) AS other_tags")
     present = f"greatest({', '.join(SE_PRESENT)})"
     absent = f"greatest({', '.join(SE_ABSENT)})"
     return base.selectExpr("*", f"{present} AS SE_present", f"{absent} AS SE_absent",

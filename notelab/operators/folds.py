@@ -1,19 +1,18 @@
 """Group-aware stratified folds and splits.
 
-Folds are assigned per patient, never per row, so no patient spans two folds.  Patients
-are ranked inside (class stratum, hash bucket) by positives, size and a seeded hash, and
-dealt to folds in serpentine order.  The bucket count grows with the number of patients
-(``max_groups_per_task``), so one window partition never holds an unbounded set; with a
-single bucket the deal is the plain serpentine over the whole stratum.
+Folds are assigned per patient, never per row, so no patient spans two folds.  Patients are put
+in one order inside their class stratum (positives, size, a seeded hash) and dealt to folds in
+serpentine order.  Their places come from a range-partitioned global rank, so the folds are the same at
+any size and any partition count.  A note without a patient id is a patient of its own.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vocab import N_FOLDS
-from ..session import materialize
+from .rank import global_rank
 
 
 def hash_int(col) -> F.Column:
@@ -21,33 +20,26 @@ def hash_int(col) -> F.Column:
     return F.conv(F.substring(F.md5(col), 1, 8), 16, 10).cast("bigint")
 
 
-def group_class_counts(rows: DataFrame, group: str = "mrn", label: str = "y") -> DataFrame:
+def with_patient(rows: DataFrame) -> DataFrame:
+    """Adds ``patient``: the patient id, or the note's own name where it has none."""
+    return rows.withColumn("patient", F.coalesce(F.col("mrn"), F.concat(F.lit("note:"), F.coalesce("note_id", F.lit("")))))
+
+
+def group_class_counts(rows: DataFrame, group: str = "patient", label: str = "y") -> DataFrame:
     """Rows and positives per group (partial-aggregated, so a large group costs one row per task)."""
     return rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("bigint")).alias("pos"))
 
 
-def group_folds(counts: DataFrame, k: int = N_FOLDS, seed: int = 22, group: str = "mrn",
-                max_groups_per_task: int = 1_000_000) -> DataFrame:
-    """M6: ``group, fold, n, pos`` with folds 0..k-1.
-
-    ``counts`` (one row per group) is checkpointed once: it is read for the group count
-    and for the ranking, and its upstream is not recomputed.
-    """
-    counts = materialize(counts)
-    key = F.concat(F.lit(f"{seed}:"), F.col(group).cast("string"))
-    n_groups = counts.select(F.count(F.lit(1))).scalar()
-    n_buckets = F.greatest(F.lit(1), F.ceil(n_groups / F.lit(max_groups_per_task)))
-    ranked = counts.withColumns({
-        "_h": F.md5(key),
-        "_stratum": (F.col("pos") > 0).cast("int"),
-    }).withColumn("_bucket", F.pmod(F.conv(F.substring("_h", 9, 8), 16, 10).cast("bigint"), n_buckets))
-    w = Window.partitionBy("_stratum", "_bucket").orderBy(F.desc("pos"), F.desc("n"), "_h", group)
-    r = F.row_number().over(w) - 1
-    ranked = ranked.withColumn("_r", r)
-    cycle, pin = F.floor(F.col("_r") / k), F.pmod(F.col("_r"), F.lit(k))
+def group_folds(counts: DataFrame, k: int = N_FOLDS, seed: int = 22, group: str = "patient") -> DataFrame:
+    """M6: ``group, fold, n, pos`` with folds 0..k-1."""
+    keyed = counts.withColumns({"_stratum": (F.col("pos") > 0).cast("int"), "_pos": -F.col("pos"), "_n": -F.col("n"),
+                                "_h": F.md5(F.concat(F.lit(f"{seed}:"), F.col(group).cast("string")))})
+    ranked = global_rank(keyed, ["_stratum", "_pos", "_n", "_h", group], "_r")
+    first = ranked.groupBy("_stratum").agg(F.min("_r").alias("_first"))  # two rows
+    r = F.col("_r") - F.col("_first")
+    cycle, pin = F.floor(r / k), F.pmod(r, F.lit(k))
     deal = F.when(F.pmod(cycle, F.lit(2)) == 0, pin).otherwise(F.lit(k - 1) - pin)
-    fold = F.pmod(deal + F.col("_bucket"), F.lit(k)).cast("int")
-    return ranked.select(group, fold.alias("fold"), "n", "pos")
+    return ranked.join(first, "_stratum").select(group, deal.cast("int").alias("fold"), "n", "pos")
 
 
 def split_name(fold) -> F.Column:
@@ -55,7 +47,7 @@ def split_name(fold) -> F.Column:
     return F.when(fold == 0, F.lit("test")).when(fold == 1, F.lit("val")).otherwise(F.lit("train"))
 
 
-def assign_splits(rows: DataFrame, folds: DataFrame, group: str = "mrn") -> DataFrame:
+def assign_splits(rows: DataFrame, folds: DataFrame, group: str = "patient") -> DataFrame:
     """every row gets its group's fold and split (one row per group on the right side)."""
     return rows.join(folds.select(group, "fold"), group, "inner").withColumn("split", split_name(F.col("fold")))
 

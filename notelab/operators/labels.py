@@ -1,10 +1,13 @@
 """Joins that attach annotations and labels to notes.
 
-J2 is an equi-join on the file stem followed by a closed-interval overlap test and a max
-per file.  The join runs on slim rows (one row per file with six offsets; distinct spans);
-texts never take part.  Stems holding a large share of the spans are salted, and the max is
-pre-aggregated per task before the shuffle by ``file``.  The flag table comes out
-hash-partitioned by ``file``, the key of the join back to the note rows.
+Notes and annotations meet on (round, file); every copy of a note in every round keeps its row.
+The side-effect spans of a note are brought to its annotation row first, as one array of distinct
+positions per (round, stem): that join is slim.  After the one join that moves texts (J1), sections
+and labels are row-local.
+
+An array holds the distinct (begin, end) pairs of one note, so its size is bound by the note's
+positions, not by the number of annotation rows: repeated spans collapse before the shuffle, and a
+stem with a third of all span rows costs one array per task.
 """
 
 from __future__ import annotations
@@ -12,71 +15,43 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sections import interval_overlap
 from ..functions.text import file_stem
-from ..functions.vocab import SPAN_OFFSET
-from .skew import salted_join
+from ..functions.vocab import SECTION_NAMES, SPAN_OFFSET
+from .annotations import with_round
 
+NOTE_KEY = ("round", "file")
 
-def notes_right_join(notes: DataFrame, annotations: DataFrame) -> DataFrame:
-    """Every annotation document keeps its row; notes without one drop out.
 
-    Planned as a sort-merge join on ``file``: its output stays hash-partitioned by ``file``
-    (sectioning and cleaning then run on all shuffle partitions, and the label flags join
-    back without moving the texts), a file with many annotation rows is split by AQE's
-    skew handling, and deduplicated notes arrive already sorted by ``file``.
-    """
-    ann_cols = [c for c in annotations.columns if c != "file"]
-    note_cols = [c for c in notes.columns if c not in annotations.columns]
-    return notes.select("file", *note_cols).hint("merge").join(annotations.select("file", *ann_cols), "file", "right")
+def with_label_spans(annotations: DataFrame, span_subset: DataFrame) -> DataFrame:
+    """J2's spans by note stem: adds ``label_spans``, the distinct positions of the note's side-effect spans."""
+    usable = span_subset.where(F.col("begin").isNotNull() & F.col("end").isNotNull())
+    by_stem = (usable.groupBy("round", F.col("file").alias("_stem"))
+               .agg(F.array_sort(F.collect_set(F.struct("begin", "end"))).alias("label_spans")))
+    keyed = annotations.withColumn("_stem", file_stem(F.col("file")))
+    return keyed.join(by_stem, ["round", "_stem"], "left").drop("_stem")
 
 
-def section_flags(sectioned: DataFrame, span_subset: DataFrame, offset: int = SPAN_OFFSET,
-                  salts: int = 64, hot_fraction: float = 0.001, hot_min_rows: int = 100_000) -> DataFrame:
-    """Per file: does any span overlap subjective / objective / assessment, and is there any span.
+def notes_right_join(notes: DataFrame, annotations: DataFrame) -> DataFrame:
+    """Every annotation document keeps its row, once per copy of its note; notes without one drop out.
 
-    Both sides are reduced before the join: one row per file (copies of a note share their
-    offsets) and distinct ``(stem, begin, end)`` spans (map-side pre-aggregation).  Stems
-    holding a large share of the spans are salted (``operators.skew``), so no task joins
-    a hot stem alone and no copies multiply the pairs.
+    Planned as a sort-merge join on (round, file); AQE splits a name with many rows.
     """
-    slim = (sectioned.select(
-        "file", "subjective_start", "subjective_end", "objective_start", "objective_end",
-        "assessment_start", "assessment_end")
-        .groupBy("file").agg(*[F.first(c).alias(c) for c in (
-            "subjective_start", "subjective_end", "objective_start", "objective_end",
-            "assessment_start", "assessment_end")])
-        .withColumn("stem", file_stem(F.col("file"))))
-    sp = (span_subset.where(F.col("begin").isNotNull() & F.col("end").isNotNull())
-          .select(F.col("file").alias("stem"), (F.col("begin") - offset).alias("b"), (F.col("end") - offset).alias("e"))
-          .distinct())
-    joined = salted_join(sp, slim, ["stem"], ["b", "e"], salts=salts, fraction=hot_fraction, min_rows=hot_min_rows)
-    b, e = F.col("b"), F.col("e")
-
-    def ov(name):
-        s, t = F.col(f"{name}_start"), F.col(f"{name}_end")
-        return F.when(s.isNotNull(), interval_overlap(b, e, s, t)).otherwise(F.lit(0))
-
-    return joined.groupBy("file").agg(
-        F.max(ov("subjective")).alias("_subj"), F.max(ov("objective")).alias("_obj"),
-        F.max(ov("assessment")).alias("_ass"), F.lit(1).alias("_has_span"))
+    notes = with_round(notes)
+    note_cols = [c for c in notes.columns if c not in annotations.columns]
+    return notes.select(*NOTE_KEY, *note_cols).hint("merge").join(annotations, list(NOTE_KEY), "right")
 
 
-def label_sections(sectioned: DataFrame, span_subset: DataFrame, offset: int = SPAN_OFFSET,
-                   **skew_options) -> DataFrame:
+def label_sections(sectioned: DataFrame, offset: int = SPAN_OFFSET) -> DataFrame:
     """J2 + J4 + A4: ``subj_label, obj_label, asses_label`` on every note row.
 
     A span labels a section when its shifted closed interval touches or overlaps the
     section's.  An unsectioned note gets ``subj_label = 1`` when its document has the
     inquiry flag and at least one side-effect span.
     """
-    flags = section_flags(sectioned, span_subset, offset, **skew_options)
-    out = sectioned.join(flags, "file", "left")
-    no_offsets = (F.col("subjective_start").isNull() & F.col("objective_start").isNull()
-                  & F.col("assessment_start").isNull())
-    inquiry = F.when(no_offsets & (F.col("SE_inquiry") == 1) & (F.col("_has_span") == 1), 1).otherwise(0)
-    return out.withColumns({
-        "subj_label": F.greatest(F.coalesce(F.col("_subj"), F.lit(0)), inquiry),
-        "obj_label": F.coalesce(F.col("_obj"), F.lit(0)),
-        "asses_label": F.coalesce(F.col("_ass"), F.lit(0)),
-    }).drop("_subj", "_obj", "_ass", "_has_span")
+    def touched(name: str) -> str:
+        return (f"CASE WHEN {name}_start IS NULL THEN 0 ELSE CAST(exists(label_spans, s -> NOT (s.end - {offset} < {name}_start "
+                f"OR {name}_end < s.begin - {offset})) AS INT) END")
+    unsectioned = " AND ".join(f"{name}_start IS NULL" for name in SECTION_NAMES)
+    inquiry = f"CAST({unsectioned} AND SE_inquiry = 1 AND size(label_spans) > 0 AS INT)"
+    flags = {"subj_label": f"greatest({touched('subjective')}, {inquiry})", "obj_label": touched("objective"), "asses_label": touched("assessment")}
+    return sectioned.withColumns({k: F.coalesce(F.expr(v), F.lit(0)) for k, v in flags.items()}).drop("label_spans")

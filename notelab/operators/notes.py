@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sections as S
 from ..functions.text import clean_text, lower_text, mrn_from_file, token_count, visit_from_file
-from ..functions.vocab import ENGLISH_STOP_WORDS, MAX_TOKENS, SECTION_NAMES
+from ..functions.vocab import ENGLISH_STOP_WORDS, SECTION_NAMES
 
 OFFSET_COLUMNS = (
     "subjective_start", "subjective_end", "objective_start", "objective_end", "assessment_start",
@@ -24,19 +24,6 @@ def notes_table(raw: DataFrame) -> DataFrame:
     })
 
 
-def one_note_per_file(notes: DataFrame) -> DataFrame:
-    """Keep one note per file name (the first round, then the smallest text).
-
-    Copies of a note across rounds would otherwise multiply every annotation row in the
-    right join; the pick is a partial-aggregated min, so a file with many copies never
-    lands in one task as a whole.
-    """
-    order_cols = [c for c in ("round", "note_des") if c in notes.columns]
-    payload = [c for c in notes.columns if c != "file"]
-    picked = F.min_by(F.struct(*payload), F.struct(*order_cols))
-    return notes.groupBy("file").agg(picked.alias("_n")).select("file", "_n.*")
-
-
 def add_sections(df: DataFrame, text_col: str = "note_des") -> DataFrame:
     """Lower-cased note, section array, ten offset columns and three texts.
 
@@ -54,7 +41,7 @@ def add_sections(df: DataFrame, text_col: str = "note_des") -> DataFrame:
     return with_offs.withColumns(texts)
 
 
-def clean_sections(df: DataFrame, stop_words=ENGLISH_STOP_WORDS, max_tokens: int = MAX_TOKENS) -> DataFrame:
+def clean_sections(df: DataFrame, stop_words=ENGLISH_STOP_WORDS, max_tokens: int | None = None) -> DataFrame:
     """Cleaned copy of each section text."""
     return df.withColumns({f"{name}_clean1": clean_text(name, stop_words, max_tokens, already_lower=True)
                           for name in SECTION_NAMES})

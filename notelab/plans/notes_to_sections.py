@@ -1,9 +1,9 @@
 """Files -> labelled, cleaned sections and the training set (§3.2).
 
-Physical shape: notes are reduced to one row per file and joined to the annotation
-documents on ``file`` (one shuffle of the texts); sectioning and cleaning are projections on
-that output; the label flags are computed on slim rows and come back partitioned by
-``file``, so the join back is co-partitioned with the note rows.
+Physical shape: the annotation side is slim (tags, flags, label spans; no text) and is staged once.
+Notes are semi-joined to its names, which are broadcast if their measured size allows, so that
+texts of unannotated notes then stay out of the one shuffle of texts, the join on (round, file).
+Sections, labels and cleaning are projections on its output.
 """
 
 from __future__ import annotations
@@ -15,16 +15,14 @@ from ..operators import annotations as A
 from ..operators import dataset as DS
 from ..operators import labels as L
 from ..operators import notes as N
-from ..session import spread, table
+from ..session import stage, table
 from ..sources.derived import notes_source, xmi_source
 
 
 def raw_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Raw note rows and annotation documents derived from the given tables."""
     documents = table(spark, sf_dir, "documents")
-    labels = table(spark, sf_dir, "labels")
-    # only the note texts feed CPU-heavy work before the first shuffle
-    return notes_source(spark, spread(documents, "doc_id")), xmi_source(spark, documents, labels)
+    return notes_source(spark, documents), xmi_source(spark, documents, table(spark, sf_dir, "labels"))
 
 
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,30 +30,22 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.notes_table(raw)
 
 
-def joined_notes(notes_df: DataFrame, xmi_docs: DataFrame) -> DataFrame:
-    """J1 on deduplicated notes and the wide annotation table.
+def joined_notes(notes_df: DataFrame, xmi_docs: DataFrame, strict_stem: bool = False) -> DataFrame:
+    """J1 on the notes of annotated names and the staged annotation rows with their label spans.
 
-    A right join drops every note without an annotation document, so notes are first
-    semi-joined to the annotation file names: unannotated texts never reach a shuffle, and
-    the per-note projections (token count, ids) run only on annotated notes (the optimizer
-    pushes the semi-join below them).  The name list is broadcast when AQE measures it
-    small; otherwise it shuffles on ``file``, the key the dedupe and J1 use anyway.
+    The semi-join filters by a table whose size the planner knows: small, it is broadcast and no
+    unannotated text is shuffled; large, both joins use the same key.
     """
-    wide = A.annotations_wide(xmi_docs)
-    annotated = notes_df.join(wide.select("file"), "file", "left_semi")
-    return L.notes_right_join(N.one_note_per_file(annotated), wide)
+    spans = A.tag_subset(A.spans(xmi_docs, strict_stem))
+    annotated = stage(L.with_label_spans(A.annotations_wide(xmi_docs), spans))
+    known = A.with_round(notes_df).join(annotated.select(*L.NOTE_KEY).distinct(), list(L.NOTE_KEY), "left_semi")
+    return L.notes_right_join(known, annotated)
 
 
-def labelled(notes_df: DataFrame, xmi_docs: DataFrame, clean: bool = True) -> DataFrame:
-    """Sectioned, labelled (and cleaned) note rows: the reference's working table ``data``.
-
-    Labels come from offsets only, so they are computed before the cleaning columns are
-    added: the label join then works on the smaller plan.
-    """
-    data = N.add_sections(joined_notes(notes_df, xmi_docs))
-    subset = A.tag_subset(A.spans(xmi_docs))
-    out = L.label_sections(data, subset).drop("assessmentplan_start", "assessmentplan_end",
-                                               "planassessment_start", "planassessment_end")
+def labelled(notes_df: DataFrame, xmi_docs: DataFrame, clean: bool = True, strict_stem: bool = False) -> DataFrame:
+    """Sectioned, labelled (and cleaned) note rows: the reference's working table ``data``."""
+    data = L.label_sections(N.add_sections(joined_notes(notes_df, xmi_docs, strict_stem)))
+    out = data.drop("assessmentplan_start", "assessmentplan_end", "planassessment_start", "planassessment_end")
     return N.clean_sections(out) if clean else out
 
 
@@ -71,12 +61,10 @@ def exclusions_from_notes(notes_df: DataFrame, modulus: int = 17) -> DataFrame:
 
 
 def training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stack the three raw section texts, then clean one ``text`` column (same values as
-    cleaning three columns and stacking them, with one copy of the cleaning expression)."""
+    """Labelled raw sections, stacked, without excluded patients, cleaned."""
     raw, xmi_docs = raw_inputs(spark, sf_dir)
     notes_df = N.notes_table(raw)
-    lab = labelled(notes_df, xmi_docs, clean=False)
-    return DS.training_set(lab, exclusions_from_notes(notes_df), raw_texts=True)
+    return DS.training_set(labelled(notes_df, xmi_docs, clean=False), exclusions_from_notes(notes_df))
 
 
 # ---------------------------------------------------------------- the same plan over note / annotation files
@@ -94,11 +82,15 @@ def labelled_from_files(spark: SparkSession, note_paths, xmi_paths, clean: bool
 
 def training_rows_from_files(spark: SparkSession, note_paths, xmi_paths,
                              exclusions: DataFrame | None = None) -> DataFrame:
-    """Files -> training rows ``note_id, section, text, y, mrn`` (exclusions: one ``mrn`` column)."""
-    return DS.training_set(labelled_from_files(spark, note_paths, xmi_paths, clean=False), exclusions, raw_texts=True)
+    """Files -> training rows ``xmi, round, note_id, section, text, y, mrn`` (exclusions: one ``mrn`` column).
+
+    Notes and annotations meet within a round: the folder that holds a note and the folder that
+    holds its annotations must have the same name.
+    """
+    return DS.training_set(labelled_from_files(spark, note_paths, xmi_paths, clean=False), exclusions)
 
 
 def export_spans(spark: SparkSession, xmi_paths, out_path: str) -> None:
-    """Every annotation span (``file, tag, begin, end``) as CSV."""
+    """Every annotation span (``round, file, tag, begin, end``) as CSV."""
     from ..sources.files import scan_xmi, write_csv
     write_csv(A.spans(scan_xmi(spark, xmi_paths)), out_path)

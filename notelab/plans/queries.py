@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from ..functions import sections as S
 from ..functions import text as T
+from ..functions.vocab import MAX_TOKENS, SPAN_OFFSET
 from ..operators import annotations as A
 from ..operators import dataset as DS
 from ..operators import notes as N
-from ..session import spread, table
+from ..session import stage, table
 from ..sources.files import union_rounds
 from . import notes_to_sections as P
 
@@ -25,7 +26,7 @@ def _big(*names):
 # ---------------------------------------------------------------- scans / projections
 
 def _docs(spark, sf):
-    return spread(table(spark, sf, "documents"), "doc_id")
+    return table(spark, sf, "documents")
 
 
 def q_note_body(spark, sf):
@@ -39,21 +40,21 @@ def q_token_count(spark, sf):
 
 
 def q_file_meta(spark, sf):
-    return P.notes(spark, sf).select("file", "mrn", *_big("visit_no", "length"))
+    return P.notes(spark, sf).select("file", "round", "mrn", *_big("visit_no", "length"))
 
 
 def q_lower_notes(spark, sf):
-    return P.notes(spark, sf).select("file", T.lower_text(F.col("note_des")).alias("note_des_lower"))
+    return P.notes(spark, sf).select("file", "round", T.lower_text(F.col("note_des")).alias("note_des_lower"))
 
 
 def q_clean_text(spark, sf):
     docs = _docs(spark, sf)
-    return docs.select("doc_id", T.clean_text("text").alias("clean"))
+    return docs.select("doc_id", T.clean_text("text", max_tokens=MAX_TOKENS).alias("clean"))
 
 
 def q_clean_conversations(spark, sf):
-    conv = spread(table(spark, sf, "conversations"), "conv_id", "turn")
-    return conv.select("conv_id", "turn", T.clean_text("text").alias("clean"))
+    conv = table(spark, sf, "conversations")
+    return conv.select("conv_id", "turn", T.clean_text("text", max_tokens=MAX_TOKENS).alias("clean"))
 
 
 def q_union_rounds(spark, sf):
@@ -72,11 +73,11 @@ def _xmi(spark, sf):
 
 
 def q_annotation_keys(spark, sf):
-    return A.with_keys(_xmi(spark, sf)).select("xmi", "file", "anon_id")
+    return A.with_keys(_xmi(spark, sf)).select("xmi", "round", "file", "anon_id")
 
 
 def q_xmi_fragments(spark, sf):
-    return A.xmi_fragments(_xmi(spark, sf)).select("xmi", F.col("pos").cast("bigint").alias("pos"), "fragment")
+    return A.xmi_fragments(_xmi(spark, sf)).select("xmi", "round", F.col("pos").cast("bigint").alias("pos"), "fragment")
 
 
 def q_xmi_attributes(spark, sf):
@@ -84,7 +85,7 @@ def q_xmi_attributes(spark, sf):
 
 
 def q_doc_tags(spark, sf):
-    return A.doc_tags(_xmi(spark, sf)).select("xmi", F.array_join("tags", ",").alias("tags"))
+    return A.doc_tags(_xmi(spark, sf)).select("xmi", "round", F.array_join("tags", ",").alias("tags"))
 
 
 def _wide(spark, sf):
@@ -93,11 +94,12 @@ def _wide(spark, sf):
 
 def q_annotations_wide(spark, sf):
     from ..functions.vocab import TAG_VOCAB
-    return _wide(spark, sf).select("xmi", "file", "anon_id", *_big(*TAG_VOCAB, "SE_present", "SE_absent", "SE_inquiry"))
+    return _wide(spark, sf).select("xmi", "file", "anon_id", "round", F.array_join("other_tags", ",").alias("other_tags"),
+                                   *_big(*TAG_VOCAB, "SE_present", "SE_absent", "SE_inquiry"))
 
 
 def q_se_flags(spark, sf):
-    return _wide(spark, sf).select("xmi", *_big("SE_present", "SE_absent", "SE_inquiry"))
+    return _wide(spark, sf).select("xmi", "round", *_big("SE_present", "SE_absent", "SE_inquiry"))
 
 
 def q_inquiry_counts(spark, sf):
@@ -105,7 +107,27 @@ def q_inquiry_counts(spark, sf):
 
 
 def q_tag_subset(spark, sf):
-    return A.tag_subset(A.spans(_xmi(spark, sf))).select("file", "tag", *_big("begin", "end"))
+    return A.tag_subset(A.spans(_xmi(spark, sf))).select("round", "file", "tag", *_big("begin", "end"))
+
+
+def q_span_rejects(spark, sf):
+    return A.span_rejects(A.spans(_xmi(spark, sf))).select("no_tag", "no_position", *_big("n"))
+
+
+def _round_frames(df):
+    """The rounds' tables as they come from their folders: later rounds ("-b") lack the column of other tags."""
+    later = F.col("round").endswith("-b")
+    return [df.where(~later), df.where(later).drop("other_tags")]
+
+
+def q_union_wide(spark, sf):
+    from ..functions.vocab import TAG_VOCAB
+    return union_rounds(_round_frames(_wide(spark, sf))).select(
+        "xmi", "round", F.array_join("other_tags", ",").alias("other_tags"), *_big(*TAG_VOCAB, "SE_inquiry"))
+
+
+def q_union_spans(spark, sf):
+    return union_rounds(_round_frames(A.spans(_xmi(spark, sf)))).select("round", "file", "tag", *_big("begin", "end"))
 
 
 # ---------------------------------------------------------------- notes ⟶ annotations, sections
@@ -116,7 +138,7 @@ def _joined(spark, sf):
 
 
 def q_notes_right_join(spark, sf):
-    return _joined(spark, sf).select("xmi", "file", "mrn", *_big("visit_no", "length", "SE_inquiry"),
+    return _joined(spark, sf).select("xmi", "file", "round", "mrn", *_big("visit_no", "length", "SE_inquiry"),
                                      F.col("note_des").isNotNull().alias("has_note"))
 
 
@@ -124,37 +146,35 @@ def _low(spark, sf):
     return _joined(spark, sf).withColumn("note_des_lower", T.lower_text(F.col("note_des")))
 
 
+def _staged(spark, sf):
+    """The section finder's stages, as the pipeline runs them."""
+    return S.with_sections(_low(spark, sf), "note_des_lower", keep_titles=True)
+
+
 def q_section_route(spark, sf):
-    return _low(spark, sf).select("xmi", S.route_title(F.col("note_des_lower")).alias("third"))
+    return _staged(spark, sf).select("xmi", "round", F.col("_third").alias("third"))
 
 
-def _found(spark, sf):
-    staged = S.with_sections(_low(spark, sf), "note_des_lower", keep_titles=True)
-    return staged.where(F.col("_third").isNotNull()).select("xmi", F.col("_found").alias("found"))
+def _titles(staged, stage_name):
+    return (staged.where(F.col("_third").isNotNull()).select("xmi", "round", F.explode_outer(stage_name).alias("t")).where(F.col("t").isNotNull())
+            .select("xmi", "round", F.col("t.section_name").alias("section_name"),
+                    *[F.col(f"t.{c}").cast("bigint").alias(c) for c in ("start_title", "end_title")]))
 
 
 def q_title_spans(spark, sf):
-    return (_found(spark, sf).select("xmi", F.explode_outer("found").alias("t")).where(F.col("t").isNotNull())
-            .select("xmi", F.col("t.section_name").alias("section_name"), *[F.col(f"t.{c}").cast("bigint").alias(c)
-                                                                           for c in ("start_title", "end_title")]))
+    return _titles(_staged(spark, sf), "_found")
 
 
 def q_span_overlap(spark, sf):
-    found = _found(spark, sf)
-    arr = F.col("found")
-    pairs = F.filter(F.transform(arr, lambda x, i: F.struct(
-        (i + 1).alias("k"),
-        S.span_overlap(x["start_title"], x["end_title"], F.get(arr, i + 1)["start_title"],
-                       F.get(arr, i + 1)["end_title"]).alias("overlap"))), lambda p: p["k"] < F.size(arr))
-    return (found.select("xmi", F.explode_outer(pairs).alias("p")).where(F.col("p").isNotNull())
-            .select("xmi", F.col("p.k").cast("bigint").alias("k"), F.col("p.overlap").cast("bigint").alias("overlap")))
+    rest = "greatest(size(_found) - 1, 0)"
+    pairs = f"zip_with(slice(_found, 1, {rest}), slice(_found, 2, {rest}), (p, x) -> {S.overlap_sql('p', 'x')})"
+    return (_staged(spark, sf).where(F.col("_third").isNotNull()).select("xmi", "round", F.posexplode_outer(F.expr(pairs)).alias("i", "overlap"))
+            .where(F.col("i").isNotNull())
+            .select("xmi", "round", (F.col("i") + 1).cast("bigint").alias("k"), F.col("overlap").cast("bigint").alias("overlap")))
 
 
 def q_overlap_resolve(spark, sf):
-    found = _found(spark, sf)
-    return (found.select("xmi", F.explode_outer(S.resolve_overlaps(F.col("found"))).alias("t")).where(F.col("t").isNotNull())
-            .select("xmi", F.col("t.section_name").alias("section_name"),
-                    *[F.col(f"t.{c}").cast("bigint").alias(c) for c in ("start_title", "end_title")]))
+    return _titles(_staged(spark, sf), "_kept")
 
 
 def _sectioned(spark, sf):
@@ -163,16 +183,16 @@ def _sectioned(spark, sf):
 
 def q_sectionize(spark, sf):
     sec = _sectioned(spark, sf)
-    return (sec.select("xmi", F.explode_outer("sections").alias("s")).where(F.col("s").isNotNull())
-            .select("xmi", F.col("s.section_name").alias("section_name"),
+    return (sec.select("xmi", "round", F.explode_outer("sections").alias("s")).where(F.col("s").isNotNull())
+            .select("xmi", "round", F.col("s.section_name").alias("section_name"),
                     *[F.col(f"s.{c}").cast("bigint").alias(c)
                       for c in ("start_title", "end_title", "start_section", "end_section")]))
 
 
 def q_section_bounds(spark, sf):
     sec = _sectioned(spark, sf)
-    return (sec.select("xmi", F.explode_outer("sections").alias("s")).where(F.col("s").isNotNull())
-            .select("xmi", F.col("s.section_name").alias("section_name"),
+    return (sec.select("xmi", "round", F.explode_outer("sections").alias("s")).where(F.col("s").isNotNull())
+            .select("xmi", "round", F.col("s.section_name").alias("section_name"),
                     F.col("s.start_section").cast("bigint").alias("start_section"),
                     F.col("s.end_section").cast("bigint").alias("end_section"),
                     (F.col("s.end_section") - F.col("s.start_section")).cast("bigint").alias("n_chars")))
@@ -180,21 +200,21 @@ def q_section_bounds(spark, sf):
 
 def q_section_extract(spark, sf):
     sec = _sectioned(spark, sf)
-    return (sec.select("xmi", F.posexplode_outer(S.section_texts(F.col("note_des_lower"), F.col("sections"))).alias("idx", "text"))
-            .where(F.col("idx").isNotNull()).select("xmi", F.col("idx").cast("bigint").alias("idx"), "text"))
+    return (sec.select("xmi", "round", F.posexplode_outer(S.section_texts(F.col("note_des_lower"), F.col("sections"))).alias("idx", "text"))
+            .where(F.col("idx").isNotNull()).select("xmi", "round", F.col("idx").cast("bigint").alias("idx"), "text"))
 
 
 def q_section_offsets(spark, sf):
-    return _sectioned(spark, sf).select("xmi", *_big(*N.OFFSET_COLUMNS))
+    return _sectioned(spark, sf).select("xmi", "round", *_big(*N.OFFSET_COLUMNS))
 
 
 def q_section_assign(spark, sf):
-    return _sectioned(spark, sf).select("xmi", "subjective", "objective", "assessment")
+    return _sectioned(spark, sf).select("xmi", "round", "subjective", "objective", "assessment")
 
 
 def q_clean_sections(spark, sf):
     return N.clean_sections(_sectioned(spark, sf)).select(
-        "xmi", "subjective_clean1", "objective_clean1", "assessment_clean1")
+        "xmi", "round", "subjective_clean1", "objective_clean1", "assessment_clean1")
 
 
 def _labelled(spark, sf):
@@ -202,39 +222,37 @@ def _labelled(spark, sf):
 
 
 def q_interval_overlap(spark, sf):
-    raw, xmi = P.raw_inputs(spark, sf)
-    sec = N.add_sections(P.joined_notes(N.notes_table(raw), xmi))
-    subset = A.tag_subset(A.spans(xmi)).where(F.col("begin").isNotNull() & F.col("end").isNotNull())
-    slim = sec.select("xmi", T.file_stem(F.col("file")).alias("stem"), "subjective_start", "subjective_end",
-                      "objective_start", "objective_end", "assessment_start", "assessment_end")
-    j = slim.join(subset.select(F.col("file").alias("stem"), "begin", "end"), "stem")
-    b, e = F.col("begin") - 69, F.col("end") - 69
+    """P13 for every span of a note: the distinct positions come with the note's row, so no join is needed."""
+    rows = N.add_sections(_joined(spark, sf)).select(
+        "xmi", "round", "subjective_start", "subjective_end", "objective_start", "objective_end", "assessment_start", "assessment_end",
+        F.explode("label_spans").alias("s"))
+    b, e = F.col("s.begin") - SPAN_OFFSET, F.col("s.end") - SPAN_OFFSET
 
     def ov(n):
         s, t = F.col(f"{n}_start"), F.col(f"{n}_end")
         return F.when(s.isNotNull(), S.interval_overlap(b, e, s, t)).otherwise(0).cast("bigint")
 
-    return j.select("xmi", *_big("begin", "end"), ov("subjective").alias("so"), ov("objective").alias("oo"),
-                    ov("assessment").alias("ao"))
+    return rows.select("xmi", "round", F.col("s.begin").alias("begin"), F.col("s.end").alias("end"), ov("subjective").alias("so"),
+                       ov("objective").alias("oo"), ov("assessment").alias("ao"))
 
 
 def q_label_sections(spark, sf):
-    return _labelled(spark, sf).select("xmi", "file", *_big("subj_label", "obj_label", "asses_label"))
+    return _labelled(spark, sf).select("xmi", "file", "round", *_big("subj_label", "obj_label", "asses_label"))
 
 
 def q_unpivot_sections(spark, sf):
     return DS.unpivot_sections(_labelled(spark, sf)).select(
-        "note_id", "mrn", "section", "text", F.col("y").cast("bigint").alias("y"))
+        "xmi", "round", "note_id", "mrn", "section", "text", F.col("y").cast("bigint").alias("y"))
 
 
 def q_min_tokens(spark, sf):
     rows = DS.min_tokens(DS.unpivot_sections(_labelled(spark, sf)))
-    return rows.select("note_id", "section", T.token_count(F.col("text")).cast("bigint").alias("n_tokens"),
+    return rows.select("xmi", "round", "note_id", "section", T.token_count(F.col("text")).cast("bigint").alias("n_tokens"),
                        F.col("y").cast("bigint").alias("y"))
 
 
 def q_exclude_groups(spark, sf):
-    return P.training_rows(spark, sf).select("note_id", "section", "mrn", F.col("y").cast("bigint").alias("y"))
+    return P.training_rows(spark, sf).select("xmi", "round", "note_id", "section", "mrn", F.col("y").cast("bigint").alias("y"))
 
 
 QUERIES = {
@@ -253,6 +271,9 @@ QUERIES = {
     "se_flags": q_se_flags,
     "inquiry_counts": q_inquiry_counts,
     "tag_subset": q_tag_subset,
+    "span_rejects": q_span_rejects,
+    "union_wide": q_union_wide,
+    "union_spans": q_union_spans,
     "notes_right_join": q_notes_right_join,
     "section_route": q_section_route,
     "title_spans": q_title_spans,
@@ -291,31 +312,26 @@ from ..operators import metrics as M  # noqa: E402
 FOLD_SEED = 22
 
 
-def _train(spark, sf):
-    """Training rows, checkpointed once: folds, splits and metrics read them more than once."""
-    from ..session import materialize
-    return materialize(P.training_rows(spark, sf))
+def _labels(spark, sf):
+    """Training rows without their texts, the only columns that folds and metrics read."""
+    return FO.with_patient(P.training_rows(spark, sf).select("xmi", "round", "note_id", "section", "mrn", "y"))
 
 
 def q_group_class_counts(spark, sf):
-    return FO.group_class_counts(_train(spark, sf)).select("mrn", *_big("n", "pos"))
-
-
-def _folds(spark, sf):
-    return FO.group_folds(FO.group_class_counts(_train(spark, sf)), seed=FOLD_SEED)
+    return FO.group_class_counts(_labels(spark, sf)).select("patient", *_big("n", "pos"))
 
 
 def q_group_folds(spark, sf):
-    return _folds(spark, sf).select("mrn", *_big("fold", "n", "pos"))
+    return FO.group_folds(FO.group_class_counts(_labels(spark, sf)), seed=FOLD_SEED).select("patient", *_big("fold", "n", "pos"))
 
 
 def _split_rows(spark, sf):
-    rows = _train(spark, sf)
+    rows = stage(_labels(spark, sf))
     return FO.assign_splits(rows, FO.group_folds(FO.group_class_counts(rows), seed=FOLD_SEED))
 
 
 def q_split_assign(spark, sf):
-    return _split_rows(spark, sf).select("note_id", "section", "mrn", *_big("y", "fold"), "split")
+    return _split_rows(spark, sf).select("xmi", "round", "note_id", "section", "mrn", *_big("y", "fold"), "split")
 
 
 def q_balance_gate(spark, sf):
@@ -323,19 +339,19 @@ def q_balance_gate(spark, sf):
 
 
 def _scored(spark, sf):
-    return _split_rows(spark, sf).withColumn("score", M.hash_score(F.col("note_id"), F.col("section")))
+    return _split_rows(spark, sf).withColumn("score", M.hash_score(F.col("round"), F.col("xmi"), F.col("section")))
 
 
 def q_note_truth(spark, sf):
-    return M.note_truth(_split_rows(spark, sf)).select("split", "note_id", *_big("y"))
+    return M.note_truth(_split_rows(spark, sf)).select("split", "xmi", "round", *_big("y"))
 
 
 def q_note_scores(spark, sf):
-    return M.note_scores(_scored(spark, sf)).select("split", "note_id", *_big("y"), F.round("score", 6).alias("score"))
+    return M.note_scores(_scored(spark, sf)).select("split", "xmi", "round", *_big("y"), F.round("score", 6).alias("score"))
 
 
 def q_split_counts(spark, sf):
-    rows = _split_rows(spark, sf)
+    rows = stage(_split_rows(spark, sf))
     return M.split_counts(rows, M.note_truth(rows))
 
 
@@ -348,8 +364,9 @@ def q_auc_note(spark, sf):
 
 
 def q_fit_metrics(spark, sf):
-    fm = M.fit_metrics(_scored(spark, sf))
-    return fm.select("split", "n", "tp", *[F.round(c, 6).alias(c) for c in ("accuracy", "precision", "recall")])
+    scored = stage(_scored(spark, sf))
+    fm = M.fit_metrics(scored).join(M.exact_auc(scored), "split")
+    return fm.select("split", "n", "tp", *[F.round(c, 6).alias(c) for c in ("accuracy", "precision", "recall", "auc")])
 
 
 def _vectors(spark, sf):
@@ -357,16 +374,16 @@ def _vectors(spark, sf):
 
 
 def q_sum_pool(spark, sf):
-    pooled = E.sum_pool(_train(spark, sf), _vectors(spark, sf))
-    return E.long_form(pooled).select("note_id", "section", F.col("dim").cast("bigint").alias("dim"),
+    pooled = E.sum_pool(P.training_rows(spark, sf), _vectors(spark, sf))
+    return E.long_form(pooled).select("xmi", "round", "section", F.col("dim").cast("bigint").alias("dim"),
                                       (F.round("value", 5) + F.lit(0.0)).alias("value"))  # -0.0 -> 0.0
 
 
 def q_embed_texts(spark, sf):
-    emb = E.embed_texts(_train(spark, sf), _vectors(spark, sf))
+    emb = E.embed_texts(stage(P.training_rows(spark, sf)), _vectors(spark, sf))
     total = F.aggregate("features", F.lit(0.0), lambda a, x: a + x)
-    return emb.select("note_id", "section", "mrn", F.col("y").cast("bigint").alias("y"),
-                      F.least(T.token_count(F.col("text")), F.lit(512)).cast("bigint").alias("n_tokens"),
+    return emb.select("xmi", "round", "note_id", "section", "mrn", F.col("y").cast("bigint").alias("y"),
+                      T.token_count(F.col("text")).cast("bigint").alias("n_tokens"),
                       (F.round(total, 4) + F.lit(0.0)).alias("feature_sum"))
 
 
@@ -386,38 +403,42 @@ QUERIES.update({
 })
 
 
-# ---------------------------------------------------------------- training (rows-only checks)
+# ---------------------------------------------------------------- training
 
+from ..operators import train as TR  # noqa: E402
 from . import training as TRN  # noqa: E402
 
-_RUNS: dict = {}
-
-
-def _grid_run(spark, sf):
-    """One training run per (session, input) and reuse it for the four views below."""
-    key = (id(spark), sf)
-    if key not in _RUNS:
-        _RUNS[key] = TRN.run_grid(spark, sf)
-    return _RUNS[key]
-
 
 def q_performance_table(spark, sf):
-    return _grid_run(spark, sf)[0]
+    return TRN.run_grid(spark, sf)[0]
 
 
 def q_epoch_trace(spark, sf):
-    perf = _grid_run(spark, sf)[0]
+    perf = TRN.run_grid(spark, sf)[0]
     return perf.select("epoch", *[F.round(c, 6).alias(c) for c in ("train_auc", "val_auc", "test_auc",
                                                                   "train_auc_pa", "val_auc_pa", "test_auc_pa")])
 
 
 def q_score_splits(spark, sf):
-    return _grid_run(spark, sf)[1]
+    """M3: the score of every row after every epoch of every setting."""
+    return TRN.run_grid(spark, sf)[1]
 
 
 def q_train_mlp(spark, sf):
-    scores = _grid_run(spark, sf)[1]
-    return M.exact_auc(scores).join(scores.groupBy("split").agg(F.count(F.lit(1)).cast("bigint").alias("n")), "split")
+    """M2: AUC of the first setting's last epoch by split."""
+    perf, scores = TRN.run_grid(spark, sf)
+    last = stage(scores.where((F.col("run") == 0) & (F.col("epoch") == TR.param_grid()[0]["epochs"])))
+    return M.exact_auc(last).join(last.groupBy("split").agg(F.count(F.lit(1)).cast("bigint").alias("n")), "split")
+
+
+def q_performance_counts(spark, sf):
+    """M8's settings and twelve count columns, which don't depend on the fit."""
+    return TRN.performance_counts(stage(_split_rows(spark, sf)), TR.param_grid()[0], FOLD_SEED)
+
+
+def q_score_rows(spark, sf):
+    """M3's rows: what is scored, in which split, with which label."""
+    return TRN.gated(stage(_split_rows(spark, sf))).select("xmi", "round", "note_id", "section", "split", *_big("y"))
 
 
 QUERIES.update({
@@ -425,4 +446,6 @@ QUERIES.update({
     "score_splits": q_score_splits,
     "epoch_trace": q_epoch_trace,
     "performance_table": q_performance_table,
+    "performance_counts": q_performance_counts,
+    "score_rows": q_score_rows,
 })

@@ -1,7 +1,7 @@
 """Spark session helpers.
 
 On a cluster the session already exists and carries its own settings; ``get_session``
-only fills in what is unset.  Local defaults (loopback host, small shuffle count,
+only fills in SQL settings that are unset.  Local defaults (loopback host, small shuffle count,
 scratch checkpoint folder) are applied only when the master is local.
 """
 
@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every run wants.  AQE re-plans joins from runtime sizes (broadcast only when the
 # measured side is under the adaptive threshold), coalesces small shuffle partitions and
@@ -41,16 +42,24 @@ _LOCAL_CONF = {
 
 
 def get_session(master: str | None = None, app_name: str = "notelab", conf: dict | None = None) -> SparkSession:
-    """Return the active session or build a local one for tests and benches."""
+    """Return the active session, or build a local one for tests and benches.
+
+    An active session keeps every setting that it carries; only the SQL settings of
+    ``_ENGINE_CONF`` that it does not set are filled in.
+    """
     active = SparkSession.getActiveSession()
     if active is not None:
+        given = {k for k, _ in active.sparkContext.getConf().getAll()}
+        for key, value in _ENGINE_CONF.items():
+            if key.startswith("spark.sql.") and key not in given and active.conf.isModifiable(key):
+                active.conf.set(key, value)
         ensure_checkpoint_dir(active)
         return active
     builder = SparkSession.builder.appName(app_name)
     master = master or os.environ.get("NOTELAB_MASTER") or "local[8]"
     builder = builder.master(master)
     settings = dict(_ENGINE_CONF)
-    if master.startswith("local"):
+    if _one_machine(master):
         settings.update(_LOCAL_CONF)
     settings.update(conf or {})
     for key, value in settings.items():
@@ -61,6 +70,10 @@ def get_session(master: str | None = None, app_name: str = "notelab", conf: dict
     return spark
 
 
+def _one_machine(master: str) -> bool:
+    return master == "local" or master.startswith("local[")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the cluster's ``spark.checkpoint.dir``; only a local run without one gets a scratch folder."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
@@ -70,8 +83,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         spark.sparkContext.setCheckpointDir(configured)
         return configured
-    master = spark.sparkContext.master
-    if not master.startswith("local"):
+    if not _one_machine(spark.sparkContext.master):
         raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
     path = tempfile.mkdtemp(prefix="notelab-ckpt-")
     spark.conf.set("spark.checkpoint.dir", path)
@@ -79,28 +91,31 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
-def table(spark: SparkSession, sf_dir: str, name: str):
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one of the given parquet tables."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread(df, *keys):
-    """Give heavy row-local work all cores when a scan has fewer splits than the cluster has slots.
+_STAGED: list[str] = []
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """Write a table once as Parquet in the shared folder and read it back.
 
-    Large inputs already arrive in many splits and are left alone (no extra shuffle); a table
-    stored as one big row group is hash- (or round-robin-) partitioned once.
+    For slim tables that are read more than once: the lineage is cut in storage that survives lost
+    executors, later scans read only their columns, and the planner knows the size. ``drop_staged``
+    removes the files when no result needs them any more.
     """
     spark = df.sparkSession
-    try:
-        slots = spark.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() >= slots:
-            return df
-    except Exception:  # noqa: BLE001 - sessions without RDD access: leave the plan as it is
-        return df
-    return df.repartition(slots, *keys) if keys else df.repartition(slots)
-
-
-def materialize(df):
-    """Cut lineage with a reliable checkpoint in ``spark.checkpoint.dir`` (survives lost executors)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/staged-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _STAGED.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_staged(spark: SparkSession) -> None:
+    """Delete the tables that this process has staged."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _STAGED:
+        path = jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+        path.getFileSystem(conf).delete(path, True)
