@@ -18,7 +18,7 @@ def _docs(spark):
     docs = [
         ("1_1.xmi", HEAD + _tag(5, 80, 85, "SE_psych") + _tag(6, 90, 91, "BN_social") + "</x:XMI>"),
         ("2_1.xmi", HEAD + "</x:XMI>"),                                            # annotated, no tag
-        ("3_1.xmi", HEAD + _tag(7, 1234567, 1234570, "SE_other") + "</x:XMI>"),  # Q9: begin over 6 digits
+        ("3_1.xmi", HEAD + _tag(7, 1234567, 1234570, "SE_other") + "</x:XMI>"),  # seven digits
         ("4_1.xmi", HEAD + _tag(8, 70, 71, "SE_physio_N") + "</x:XMI>"),
         ("9_9.xmi", HEAD + _tag(9, 70, 71, "SE_other") + "</x:XMI>"),            # Q7: no note file
     ]
@@ -28,10 +28,23 @@ def _docs(spark):
 def test_spans_and_attributes(spark):
     sp = A.spans(_docs(spark)).orderBy("file", "begin").collect()
     assert [(r.file, r.tag, r.begin, r.end) for r in sp] == [
-        ("1_1", "SE_psych", 80, 85), ("1_1", "BN_social", 90, 91), ("3_1", "SE_other", None, None),
+        ("1_1", "SE_psych", 80, 85), ("1_1", "BN_social", 90, 91), ("3_1", "SE_other", 1234567, 1234570),
         ("4_1", "SE_physio_N", 70, 71), ("9_9", "SE_other", 70, 71)]
     attrs = A.xmi_attributes(_docs(spark)).where(F.col("xmi") == "3_1.xmi").collect()
-    assert attrs[0].begin is None and attrs[0].end is None and attrs[0].tag == "SE_other"
+    assert (attrs[0].begin, attrs[0].end, attrs[0].tag) == ("1234567", "1234570", "SE_other")
+
+
+def test_rejects_and_stems(spark):
+    docs = spark.createDataFrame([("1_1-x.xmi", HEAD + _tag(1, 70, "", "SE_psych") + _tag(2, 70, 71, "SE_other") + "</x:XMI>")], "xmi string, content string")
+    assert [tuple(r) for r in A.span_rejects(A.spans(docs)).collect()] == [(False, True, 1)]
+    assert {r.file for r in A.spans(docs).collect()} == {"1_1"}
+    assert {r.file for r in A.spans(docs, strict_stem=True).collect()} == {"1_1-x"}
+
+
+def test_tags_outside_the_vocabulary_are_kept(spark):
+    docs = spark.createDataFrame([("1_1.xmi", HEAD + _tag(1, 70, 71, "Zeta") + _tag(2, 70, 71, "Alpha") + _tag(3, 70, 71, "SE_psych") + "</x:XMI>")], "xmi string, content string")
+    row = A.annotations_wide(docs).first()
+    assert row.other_tags == ["Alpha", "Zeta"] and row.SE_psych == 1
 
 
 def test_wide_table_keeps_every_document(spark):
@@ -55,10 +68,12 @@ def _labelled(spark):
         ("4_1.txt", "no titles at all"),
         ("5_1.txt", "not annotated"),
     ], "file string, note_des string")
-    docs = _docs(spark)
-    joined = L.notes_right_join(N.one_note_per_file(N.notes_table(notes)), A.annotations_wide(docs))
-    sec = N.clean_sections(N.add_sections(joined))
-    return L.label_sections(sec, A.tag_subset(A.spans(docs)))
+    return _label(notes, _docs(spark))
+
+
+def _label(notes, docs):
+    from notelab.plans import notes_to_sections as P
+    return P.labelled(N.notes_table(notes), docs)
 
 
 def test_label_join(spark):
@@ -77,8 +92,8 @@ def test_label_plan_has_equi_join_and_no_python(spark):
     plan = _labelled(spark)._jdf.queryExecution().executedPlan().toString()
     for bad in ("BroadcastNestedLoopJoin", "CartesianProduct", "PythonUDF", "ArrowEvalPython", "BatchEvalPython"):
         assert bad not in plan
-    # J1 stays a sort-merge join on file, so its output keeps the file partitioning
-    assert re.search(r"SortMergeJoin \[file#\d+\], \[file#\d+\], RightOuter", plan)
+    # one join moves texts, and the section finder runs once on its output
+    assert len(re.findall(r"SortMergeJoin [^\n]*RightOuter", plan)) == 1
 
 
 def test_salted_join_is_exact(spark):
@@ -94,16 +109,22 @@ def test_salted_join_is_exact(spark):
     assert salted.exceptAll(plain).count() == 0 and plain.exceptAll(salted).count() == 0
 
 
-def test_label_join_with_salted_hot_stem(spark):
+def test_rounds_keep_their_own_texts_and_labels(spark):
+    """Two rounds of one name: each annotation row meets its own round's note, and its spans label that note only."""
+    pad = "x" * 60
+    notes = spark.createDataFrame([("r1", "1_1.txt", "subjective: " + pad + " objective: first"), ("r2", "1_1.txt", "objective: " + pad + " assessment: second"),
+                                   ("r2", "1_1.txt", "assessment: a copy")], "round string, file string, note_des string")
+    docs = spark.createDataFrame([("r1", "1_1.xmi", HEAD + _tag(1, 80, 85, "SE_psych") + "</x:XMI>"), ("r2", "1_1.xmi", HEAD + "</x:XMI>")], "round string, xmi string, content string")
+    got = sorted((r["round"], r.note_des.split()[-1], r.subj_label, r.obj_label, r.asses_label) for r in _label(notes, docs).collect())
+    assert got == [("r1", "first", 1, 0, 0), ("r2", "copy", 0, 0, 0), ("r2", "second", 0, 0, 0)]
+
+
+def test_repeated_spans_collapse(spark):
     pad = "x" * 60
-    notes = spark.createDataFrame([("1_1.txt", "subjective: " + pad + " objective: " + pad + " assessment: end")],
-                                  "file string, note_des string")
-    tags = "".join(_tag(i, 69 + 200 + i, 69 + 201 + i, "SE_other") for i in range(40)) + _tag(99, 80, 85, "SE_psych")
-    docs = spark.createDataFrame([("1_1.xmi", HEAD + tags + "</x:XMI>"), ("2_1.xmi", HEAD + _tag(1, 70, 71, "SE_psych") + "</x:XMI>")],
-                                 "xmi string, content string")
-    sec = N.add_sections(L.notes_right_join(N.one_note_per_file(N.notes_table(notes)), A.annotations_wide(docs)))
-    subset = A.tag_subset(A.spans(docs))
-    plain = {r.xmi: (r.subj_label, r.obj_label, r.asses_label) for r in L.label_sections(sec, subset).collect()}
-    salted = {r.xmi: (r.subj_label, r.obj_label, r.asses_label)
-              for r in L.label_sections(sec, subset, salts=4, hot_fraction=0.1, hot_min_rows=5).collect()}
-    assert salted == plain == {"1_1.xmi": (1, 0, 0), "2_1.xmi": (1, 0, 0)}  # 2_1: no note, inquiry rule
+    notes = spark.createDataFrame([("1_1.txt", "subjective: " + pad + " objective: " + pad + " assessment: end")], "file string, note_des string")
+    tags = "".join(_tag(i, 80, 85, "SE_psych") for i in range(200)) + _tag(900, 5000, 5001, "SE_other")
+    docs = spark.createDataFrame([("1_1.xmi", HEAD + tags + "</x:XMI>")], "xmi string, content string")
+    wide = L.with_label_spans(A.annotations_wide(docs), A.tag_subset(A.spans(docs)))
+    assert [tuple(x) for x in wide.first().label_spans] == [(80, 85), (5000, 5001)]
+    row = _label(notes, docs).first()
+    assert "sections" in row.asDict()

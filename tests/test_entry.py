@@ -18,8 +18,17 @@ def test_entry_runs(spark):
 
 def test_oracle_keys():
     q, o = E.queries(), E.oracle_sql()
+    from notelab.plans.queries import QUERIES
     assert set(o) <= set(q)
-    assert set(q) - set(o) == ROWS_ONLY
+    assert set(QUERIES) - set(o) == ROWS_ONLY
+
+
+def test_nothing_else_imports_the_training_data_package():
+    import pathlib
+    root = pathlib.Path(E.__file__).parent
+    for path in [*root.glob("notelab/**/*.py"), *root.glob("oracle/*.py"), *root.glob("tools/*.py"), root / "bench.py"]:
+        if "llm" not in path.parts:
+            assert "notelab.llm" not in path.read_text() and "corpus_pipeline" not in path.read_text(), path
 
 
 @pytest.mark.parametrize("name", ["clean_sections", "label_sections", "exclude_groups", "group_folds", "auc_note",

@@ -22,21 +22,13 @@ GOLDENS = [
 ]
 
 
-def _sections(spark, texts, staged=True):
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
-    if staged:
-        df = S.with_sections(df, "t")
-    else:
-        df = df.withColumn("sections", S.sections("t"))
-    out = df.orderBy("i").collect()
-    return [[(s.section_name, s.start_section, s.end_section) for s in r.sections] for r in out]
+def _sections(spark, texts):
+    df = S.with_sections(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string"), "t")
+    return [[(s.section_name, s.start_section, s.end_section) for s in r.sections] for r in df.orderBy("i").collect()]
 
 
 def test_section_goldens(spark):
-    texts = [g[0] for g in GOLDENS]
-    expected = [g[1] for g in GOLDENS]
-    assert _sections(spark, texts) == expected
-    assert _sections(spark, texts, staged=False) == expected
+    assert _sections(spark, [g[0] for g in GOLDENS]) == [g[1] for g in GOLDENS]
 
 
 def test_assignment_by_name(spark):
@@ -46,9 +38,9 @@ def test_assignment_by_name(spark):
 
 
 def test_overlap_goldens(spark):
-    df = spark.createDataFrame([(0, 5, 5, 9), (0, 3, 2, 9), (0, 3, 4, 9), (0, 4, 1, 5)], "a int, b int, c int, d int")
-    got = [r.o for r in df.select(S.span_overlap(F.col("a"), F.col("b"), F.col("c"), F.col("d")).alias("o")).collect()]
-    assert got == [0, 1, -1, 0]
+    df = spark.createDataFrame([((0, 5), (5, 9)), ((0, 3), (2, 9)), ((0, 3), (4, 9)), ((0, 4), (1, 5))],
+                               "p struct<start_title:int,end_title:int>, x struct<start_title:int,end_title:int>")
+    assert [r.o for r in df.select(F.expr(S.overlap_sql("p", "x")).alias("o")).collect()] == [0, 1, -1, 0]
     df2 = spark.createDataFrame([(0, 5, 5, 9), (0, 4, 5, 9), (5, 5, 5, 5), (6, 9, 0, 5), (2, 3, 0, 9)],
                                 "a int, b int, c int, d int")
     got2 = [r.o for r in df2.select(S.interval_overlap(F.col("a"), F.col("b"), F.col("c"), F.col("d")).alias("o")).collect()]
@@ -80,12 +72,3 @@ def test_sections_properties(spark, texts):
             assert getattr(r, name) == want
         if not r.sections:
             assert r.subjective == low
-
-
-def test_staged_sql_and_column_forms_agree(spark):
-    from notelab.plans import notes_to_sections as P
-    raw, _ = P.raw_inputs(spark, "/root/testdata/sf0.001")
-    low = raw.select(F.lower("note_des").alias("t"))
-    staged = S.with_sections(low, "t").withColumn("col_form", S.sections("t"))
-    assert staged.count() > 0
-    assert staged.where(~F.col("sections").eqNullSafe(F.col("col_form"))).count() == 0
