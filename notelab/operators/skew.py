@@ -4,7 +4,8 @@ A key is hot when it holds more than ``fraction`` of all rows of the many side (
 ``min_rows``).  There are at most ``1 / fraction`` such keys, so the hot-key list has a proven
 size bound and is broadcast.  Rows of hot keys on the many side are spread over ``salts``
 sub-keys; the matching rows of the other side (few per key) are replicated once per sub-key.
-Every pair that the plain equi-join would produce is produced exactly once.
+Every pair that the plain equi-join would produce is produced exactly once: ``fraction`` and
+``min_rows`` choose the physical plan only, the result is the same at any size.
 """
 
 from __future__ import annotations

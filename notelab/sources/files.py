@@ -40,7 +40,7 @@ def scan_notes(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
 def scan_xmi(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """S3: ``xmi, round, content`` with the first physical line of each ``*.xmi`` file."""
     df = scan_text_files(spark, paths, "*.xmi")
-    first_line = F.get(F.split(F.col("value"), "\n"), 0)
+    first_line = F.get(F.split(F.col("value"), r"\r\n|\r|\n"), 0)  # text mode ends a line at each of these
     return df.select(F.col("name").alias("xmi"), _parent(F.col("path")).alias("round"),
                      first_line.alias("content"))
 
