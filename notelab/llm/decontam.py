@@ -155,7 +155,7 @@ def _align(threshold: float):
     return run, "doc_id long, item_id long, score double, n_seeds long, end_word long"
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 5, stretch: int = 4, threshold: float = 0.5,
+def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 4, stretch: int = 3, threshold: float = 0.5,
                  id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, score, n_seeds, end_word): documents that hold an item, copied or edited."""
     spark = docs.sparkSession

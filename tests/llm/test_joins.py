@@ -61,7 +61,7 @@ def test_contaminated(spark):
             continue
         for item, q in items:
             q = plain(q)
-            if q and (s := local_score(d, q) / (decontam.MATCH * len(q))) >= 0.5 and any(d[j : j + min(5, len(q))] == q[k : k + min(5, len(q))] for k in range(len(q)) for j in range(len(d)) if d[j] == q[k] and len(q) - k >= min(5, len(q))):
+            if q and (s := local_score(d, q) / (decontam.MATCH * len(q))) >= 0.5 and any(d[j : j + min(4, len(q))] == q[k : k + min(4, len(q))] for k in range(len(q)) for j in range(len(d)) if d[j] == q[k] and len(q) - k >= min(4, len(q))):
                 expected[i, item] = s
     assert got == pytest.approx(expected)
     assert {d for d, _ in got} == {50, 51, 52, 53, *range(60, 90)}
