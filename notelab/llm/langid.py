@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notelab.llm.common import crc_fold, read, reachable
+from notelab.llm.learn import hash_sample
 from notelab.llm.words import pieces
 
 HIDDEN = 8
@@ -34,9 +35,9 @@ _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 def learn_rows(docs: DataFrame, sample_docs: int, folds: int, held: int) -> DataFrame:
     """Snippets of the sample_docs labelled documents with the smallest id hashes."""
     spot = F.lit(1) + F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.greatest(F.length("text") - SNIPPET, F.lit(0)) + 1)
-    return (docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (crc_fold(F.col("doc_id"), folds) != held))
-            .select("lang", F.col("text").substr(spot.cast("int"), F.lit(SNIPPET)).alias("text"), F.xxhash64("doc_id").alias("h"))
-            .orderBy("h", "lang", "text").limit(sample_docs))
+    labelled = docs.where(F.col("lang").isNotNull() & (crc_fold(F.col("doc_id"), folds) != held)).withColumn("h", F.xxhash64("doc_id"))
+    rows = labelled.where(F.col("text").rlike(r"\p{L}")).select("lang", F.col("text").substr(spot.cast("int"), F.lit(SNIPPET)).alias("text"), "h")
+    return hash_sample(rows, labelled.count(), sample_docs, "lang", "text")
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:

@@ -11,6 +11,17 @@ from notelab.llm.common import crc_fold
 MAX_SAMPLE_BYTES = 100_000
 
 
+def hash_sample(df: DataFrame, rows: int, n: int, *ties: str) -> DataFrame:
+    """The n rows with the smallest ``h`` (an xxhash64). rows: about how many the table has.
+
+    Hash values are uniform, so a bound on them leaves about twice n rows in the whole table; only these are
+    ordered, and what tasks send to the driver doesn't grow with their number.
+    """
+    share = min(1.0, (2 * n + 200) / max(rows, 1))
+    bound = int(-(1 << 63) + share * ((1 << 64) - 1))
+    return df.where(F.col("h") <= F.lit(min(bound, (1 << 63) - 1))).orderBy("h", *ties).limit(n)
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: dict[int, int], folds: int = 4, held: int = 2):
     """pandas (doc_id, text, y): of each class the documents with the smallest id hashes, outside the held-out fold.
 
@@ -18,7 +29,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: d
     """
     y = (labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (crc_fold(F.col("doc_id"), folds) != held))
          .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).cast("int").alias("y")))
-    parts = [y.where(F.col("y") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for c, n in per_class.items()]
+    sizes = {r["y"]: r["count"] for r in y.groupBy("y").count().collect()}  # two classes
+    hashed = y.withColumn("h", F.xxhash64("doc_id"))
+    parts = [hash_sample(hashed.where(F.col("y") == c), sizes.get(c, 0), n, "doc_id").drop("h") for c, n in per_class.items()]
     picked = parts[0]
     for p in parts[1:]:
         picked = picked.unionByName(p)
