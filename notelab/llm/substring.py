@@ -39,6 +39,8 @@ from notelab.llm.words import Tokens, buffers, tokens, windows
 #: Text bytes of one cell of candidate documents, and of one partition of hashes.
 CELL_BYTES = 4 << 20
 PARTITION_BYTES = 6 << 20
+#: Text bytes whose windows are compared before anything is sent.
+PIECE = 4 << 20
 LEAST_PARTITIONS = 256
 
 _SEND = pa.schema([("p", pa.int32()), ("probes", pa.binary()), ("refs", pa.binary()), ("key", pa.binary()), ("block", pa.binary()), ("known", pa.bool_())])
@@ -56,7 +58,7 @@ def _anchors(block: int, window: int, parts: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, t in tokens(batch.column(1)):
+            for a, b, t in tokens(batch.column(1), size=PIECE):
                 keys = batch.column(0).slice(a, b - a).to_numpy()
                 counts = t.counts
                 if not (counts >= window).any():
@@ -136,7 +138,7 @@ def _extend(block: int, window: int, parts: int):
         cell = table.column("cell")[0].as_py()
         blocks = table.column("blocks").to_pylist()
         h, part = [], []
-        for a, b, t in tokens(table.column("text")):
+        for a, b, t in tokens(table.column("text"), size=PIECE):
             one, _ = _wanted_windows(t, blocks[a:b], block, window, 0)
             two, _ = _wanted_windows(t, blocks[a:b], block, window, 1)
             h.append(one)
@@ -199,7 +201,7 @@ def _cover(block: int, window: int, with_text: bool):
         blocks, ids = table.column("blocks").to_pylist(), table.column("doc_id").combine_chunks()
         numbers, out, base = _joined(right.column("number"), np.uint32).astype(np.int64), [], 0
         numbers.sort()
-        for a, b, t in tokens(table.column("text")):
+        for a, b, t in tokens(table.column("text"), size=PIECE):
             _, at = _wanted_windows(t, blocks[a:b], block, window, 0)
             i, j = np.searchsorted(numbers, [base, base + len(at)])
             starts = at[numbers[i:j] - base]
@@ -227,7 +229,7 @@ def _pick(wanted, candidates: bool):
 def _unchanged(wanted, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _pick(wanted, False)(batches):
-            for a, b, t in tokens(batch.column(1)):
+            for a, b, t in tokens(batch.column(1), size=PIECE):
                 yield _result(t, batch.column(2).slice(a, b - a), None, with_text)
 
     return run

@@ -19,7 +19,7 @@ import pyarrow as pa
 
 BLOCK = 1 << 20
 #: Rows are taken in pieces of about this many text bytes.
-PIECE = 4 << 20
+PIECE = 2 << 20
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
