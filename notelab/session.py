@@ -91,6 +91,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+def reachable(spark: SparkSession) -> None:
+    """Let Python workers import this package where it is installed in the driver's place (--py-files is the other way)."""
+    env, home = spark.sparkContext.environment, os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    if home not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [env.get("PYTHONPATH"), home]))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one of the given parquet tables."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
