@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notelab.llm.common import Scratch, fresh, read
+from notelab.llm.common import Scratch, apart, fresh, read, without
 from notelab.llm.decontam import contaminated
 from notelab.llm.jaccard import jaccard_components
 from notelab.llm.langid import accepted
@@ -35,15 +35,17 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Documents without an id link with nothing and stay.
     """
-    groups = jaccard_components(docs, k=5, p=80, q=100)
-    stays = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.where("doc_id is not null").join(stays, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns).unionByName(docs.where("doc_id is null"))
+    groups = Scratch(spark, "near-copies").stage(jaccard_components(docs, k=5, p=80, q=100), "groups")
+    copies = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id")
+    twice = groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    touched, rest = apart(docs, "doc_id", copies.union(twice))
+    return touched.join(copies, "doc_id", "left_anti").dropDuplicates(["doc_id"]).select(docs.columns).unionByName(rest)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4: documents that hold a benchmark item go."""
     leaks = contaminated(docs, read(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(docs.columns)
+    return without(docs, "doc_id", Scratch(spark, "leaks").stage(leaks, "ids"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

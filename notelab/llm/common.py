@@ -2,27 +2,20 @@
 
 from __future__ import annotations
 
-import os
 import uuid
-from pathlib import Path
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notelab.session import ensure_checkpoint_dir
+from notelab.session import ensure_checkpoint_dir, reachable
 
 #: Bits of the fixed-size bitmaps that are sent to every task (2 MB). The size never depends on the data.
 BITMAP_BITS = 1 << 24
 
 
-def reachable(spark: SparkSession) -> None:
-    """Let Python workers import this package where it is installed in the driver's place (--py-files is the other way)."""
-    env, home = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
-    if home not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(filter(None, [env.get("PYTHONPATH"), home]))
-
-
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     reachable(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -91,6 +84,35 @@ def bitmap(df: DataFrame, hashed: str, bits: int = BITMAP_BITS) -> np.ndarray:
     return np.unpackbits(out.view(np.uint8), bitorder="little").view(bool)
 
 
+def _pick(wanted, at: int, inside: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(wanted.value, bitorder="little").view(bool)
+        for batch in batches:
+            key = batch.column(at)
+            hit = bits[slot(key.fill_null(0).to_numpy())] & key.is_valid().to_numpy(zero_copy_only=False)
+            yield batch.filter(pa.array(hit == inside))
+
+    return run
+
+
+def apart(df: DataFrame, key: str, keys: DataFrame, bits: int = BITMAP_BITS) -> tuple[DataFrame, DataFrame]:
+    """(rows whose int64 key may be one of the keys, rows whose key certainly isn't), by a fixed-size bitmap.
+
+    Only the first part then needs the exact join, so texts that the keys don't touch aren't shuffled. keys has one
+    int64 column; null keys are in the second part.
+    """
+    name = keys.columns[0]
+    wanted = df.sparkSession.sparkContext.broadcast(np.packbits(bitmap(keys, name, bits), bitorder="little"))
+    at = df.columns.index(key)
+    return df.mapInArrow(_pick(wanted, at, True), df.schema), df.mapInArrow(_pick(wanted, at, False), df.schema)
+
+
+def without(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """The rows whose int64 key is none of the keys (null keys stay)."""
+    maybe, rest = apart(df, key, keys)
+    return maybe.join(keys.withColumnRenamed(keys.columns[0], key).distinct(), key, "left_anti").select(df.columns).unionByName(rest)
+
+
 def components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b", limit: int = 60) -> DataFrame:
     """(node, component): every node of the edges with the smallest node reachable.
 

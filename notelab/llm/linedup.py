@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from notelab.llm.common import Scratch, fresh, read
+from notelab.llm.common import Scratch, apart, fresh, read
 
 _KEY = ["d", "key"]
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -87,15 +87,19 @@ def dedup_lines(docs: DataFrame, min_lines: int = 2, min_words: int = 50, id_col
     scratch = Scratch(docs.sparkSession, "linedup")
     plain = docs.select(F.col(id_col).alias("d"), F.xxhash64(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
     runs = scratch.stage(repeated_runs(plain, scratch, min_lines, min_words), "runs")
-    row, lost, own = (fresh(docs, name) for name in ("row", "lost", "lines"))
-    gone = (runs.select(F.xxhash64("d", "key").alias(row), F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("i"))
-            .groupBy(row).agg(F.collect_set("i").alias(lost)))
+    row, at, of, lost, own = (fresh(docs, name) for name in ("row", "row_at", "row_of", "lost", "lines"))
+    gone = (runs.select(F.xxhash64("d", "key").alias(at), F.col("d").alias(of), F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("i"))
+            .groupBy(at, of).agg(F.collect_set("i").alias(lost)))
     gone = scratch.stage(gone, "gone")
     left = F.array_except(F.sequence(F.lit(0), F.size(own) - 1), F.col(lost))
-    rest = F.array_join(F.transform(F.array_sort(left), lambda i: F.get(own, i)), "\n")
-    return (docs.withColumn(row, F.xxhash64(F.col(id_col), F.xxhash64(id_col, text_col))).join(gone, row, "left")
-            .withColumn(own, F.coalesce(text_lines(F.col(text_col)), F.array().cast("array<string>")))
-            .withColumn(text_col, F.when(F.col(lost).isNull(), F.col(text_col)).otherwise(rest))
+    rest_of_text = F.array_join(F.transform(F.array_sort(left), lambda i: F.get(own, i)), "\n")
+    # only documents that may lose lines are moved; the table of lost lines grows with the corpus, so it is never broadcast
+    keyed = docs.withColumn(row, F.xxhash64(F.col(id_col), F.xxhash64(id_col, text_col)))
+    maybe, rest = apart(keyed, row, gone.select(at))
+    same = (F.col(row) == F.col(at)) & F.col(id_col).eqNullSafe(F.col(of))
+    joined = maybe.join(gone.hint("merge"), same, "left").drop(at, of).unionByName(rest, allowMissingColumns=True)
+    return (joined.withColumn(own, F.coalesce(text_lines(F.col(text_col)), F.array().cast("array<string>")))
+            .withColumn(text_col, F.when(F.col(lost).isNull(), F.col(text_col)).otherwise(rest_of_text))
             .withColumn(lines_col, F.size(own).cast("long"))
             .withColumn(removed_col, F.when(F.col(lost).isNull(), F.lit(0)).otherwise(F.size(lost)).cast("long"))
             .drop(row, lost, own))
