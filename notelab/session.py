@@ -92,7 +92,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def reachable(spark: SparkSession) -> None:
-    """Let Python workers import this package where it is installed in the driver's place (--py-files is the other way)."""
+    """Ready a session for this package's Python workers.
+
+    They import the package where it is installed in the driver's place (--py-files is the other way), and rows reach
+    them in batches of 2,000 unless the session says otherwise: a batch of Spark's default 10,000 whole texts takes a
+    few hundred MB in the executor and its workers.
+    """
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.sparkContext.getConf().get(batch) is None:
+        spark.conf.set(batch, "2000")
     env, home = spark.sparkContext.environment, os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     if home not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [env.get("PYTHONPATH"), home]))
