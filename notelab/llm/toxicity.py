@@ -32,7 +32,7 @@ from notelab.llm.common import crc_fold, read, reachable
 from notelab.llm.learn import labelled_sample
 from notelab.llm.words import Tokens, mix, tokens
 
-POSITIVE, NEGATIVE = 2500, 5000
+POSITIVE, NEGATIVE = 1500, 3000
 #: Features of the field at most.
 MAX_FEATURES = 4096
 BEGINNINGS = (4, 5)
@@ -55,9 +55,10 @@ def beginnings(t: Tokens, size: int) -> np.ndarray:
 
 def _counted(key: np.ndarray, context: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct keys with their distinct contexts in toxic and in clean documents."""
-    pair = np.unique(np.stack([key, context, y.astype(np.uint64)], axis=1), axis=0)
-    keys, inverse = np.unique(pair[:, 0], return_inverse=True)
-    return keys, np.bincount(inverse, pair[:, 2] == 1), np.bincount(inverse, pair[:, 2] == 0)
+    _, at = np.unique(mix(key + mix(context + y.astype(np.uint64))), return_index=True)
+    keys, inverse = np.unique(key[at], return_inverse=True)
+    toxic = y[at] == 1
+    return keys, np.bincount(inverse, toxic), np.bincount(inverse, ~toxic)
 
 
 def _evidence(pos: np.ndarray, neg: np.ndarray, share: float) -> np.ndarray:
