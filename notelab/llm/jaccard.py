@@ -11,13 +11,14 @@ Steps, each a Spark job over all documents:
    (2**18 counters, used for the order and the cost estimate only, never for a decision on a pair).
 2. Documents with equal sets collapse to their smallest id.
 3. A second pass emits the prefix tokens of the representatives; one shuffle by token keeps tokens that two hold.
-4. Each document is verified against one hub of its tokens' lists (the holder with the longest lists: in a group of near
-   copies the text that the others were made from); components of these links follow.
+4. Each document is verified against up to three hubs of its tokens' lists (of each list the holder with the longest
+   lists, in a group of near copies likely the text that the others were made from, and two pseudorandom holders, the
+   same ones for all lists that hold them); components of these links follow.
 5. Pairs of *different* components that share enough prefix tokens are all verified, so no link that could join two
    components is lost, while a group of thousands of near copies isn't expanded into all its pairs.
 6. Components of all links, spread back to the copies.
 
-Before sets are compared, pairs must pass an exact bound: the parity bitmaps of two sets (256 bits in the join, 1024 bits
+Before sets are compared, pairs must pass an exact bound: the parity bitmaps of two sets (512 bits in the join, 1024 bits
 afterwards) differ in at most as many bits as the sets differ in elements.
 
 A token is held by a document at most once and a document emits about (1 - t) |x| tokens, rarest first, so a passage
@@ -238,29 +239,32 @@ def jaccard_components(docs: DataFrame, k: int = 5, p: int = 80, q: int = 100, m
     sketch, wanted = sc.broadcast(seen), sc.broadcast(np.packbits(bitmap(reps, "rep"), bitorder="little"))
     run, schema = _prefixes(k, p, q, max_matches, verify_cost, sketch, wanted)
     same = W.partitionBy("token")
-    hub = F.max(F.struct(_lists(F.col("meta")).alias("lists"), (-F.col("doc_id")).alias("less"), "meta")).over(same)
+    who = F.struct("doc_id", "meta")
+    hubs = [F.max_by(who, F.struct(_lists(F.col("meta")), -F.col("doc_id"))).over(same), *[F.min_by(who, F.xxhash64(F.lit(i), "doc_id")).over(same) for i in (1, 2)]]
     shared = (texts.mapInArrow(run, schema).withColumn("lo", F.min("doc_id").over(same)).withColumn("hi", F.max("doc_id").over(same))
-              .withColumn("hub", hub).where("lo <> hi").select("token", "doc_id", "meta", (-F.col("hub.less")).alias("h"), F.col("hub.meta").alias("hmeta")))
+              .withColumns({f"hub{i}": h for i, h in enumerate(hubs)}).where("lo <> hi").drop("lo", "hi"))
     shared = scratch.stage(shared, "shared")
 
     def alike(mx, my):
         return F.lit(q) * F.least(_size(mx), _size(my)) >= F.lit(p) * F.greatest(_size(mx), _size(my))
 
-    # each document with the hub that it shares most tokens with
+    # each document with the hubs that it shares most tokens with
     c = F.col
-    near = (shared.where((c("doc_id") != c("h")) & alike(c("meta"), c("hmeta")))
-            .groupBy(c("h").alias("a"), c("doc_id").alias("b")).agg(F.count("*").alias("c"), F.min(F.least(_matches(c("meta")), _matches(c("hmeta")))).alias("m")))
-    best = near.where("c >= m").groupBy("b").agg(F.max(F.struct("c", "a")).alias("x")).select(F.col("x.a").alias("a"), "b")
+    met = shared.select(c("doc_id").alias("b"), "meta", F.explode(F.array_distinct(F.array("hub0", "hub1", "hub2"))).alias("h"))
+    near = (met.where((c("b") != c("h.doc_id")) & alike(c("meta"), c("h.meta"))).groupBy(c("h.doc_id").alias("a"), "b")
+            .agg(F.count("*").alias("c"), F.min(F.least(_matches(c("meta")), _matches(c("h.meta")))).alias("m")).where("c >= m"))
+    best = F.slice(F.sort_array(F.collect_list(F.struct("c", "a")), asc=False), 1, 3)  # a document has no more hubs than three per token
+    best = near.groupBy("b").agg(best.alias("x")).select("b", F.explode("x.a").alias("a")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     links = verified(best, texts, reps, scratch, k, p, q)
     label = scratch.stage(components(links, scratch), "labels")
 
     # all candidates across components
-    folds = [F.expr(f"bits[{i}] ^ bits[{i + 4}] ^ bits[{i + 8}] ^ bits[{i + 12}]").alias(f"f{i}") for i in range(4)]  # 256 of the 1024 parity bits
+    folds = [F.expr(f"bits[{i}] ^ bits[{i + 8}]").alias(f"f{i}") for i in range(8)]  # 512 parity bits from 1024
     known = reps.join(label, c("rep") == c("node"), "left").select(c("rep").alias("doc_id"), F.coalesce("component", "rep").alias("c"), *folds)
     mine = shared.select("token", "doc_id", "meta").join(known, "doc_id")
     mine = scratch.stage(mine.withColumn("lo", F.min("c").over(same)).withColumn("hi", F.max("c").over(same)).where("lo <> hi").drop("lo", "hi"), "across")
-    x, y = (mine.select("token", *[c(n).alias(m + s) for n, m in (("doc_id", "d"), ("meta", "m"), ("c", "c"), *((f"f{i}", f"f{i}") for i in range(4)))]) for s in "xy")
-    differing = sum((F.bit_count(c(f"f{i}x").bitwiseXOR(c(f"f{i}y"))) for i in range(4)), F.lit(0))
+    x, y = (mine.select("token", *[c(n).alias(m + s) for n, m in (("doc_id", "d"), ("meta", "m"), ("c", "c"), *((f"f{i}", f"f{i}") for i in range(8)))]) for s in "xy")
+    differing = sum((F.bit_count(c(f"f{i}x").bitwiseXOR(c(f"f{i}y"))) for i in range(8)), F.lit(0))
     need = F.least(_matches(c("mx")), _matches(c("my")))
     found = (x.join(y, (x["token"] == y["token"]) & (c("cx") < c("cy")) & (F.greatest(_level(c("mx")), _level(c("my"))) <= need) & alike(c("mx"), c("my"))
                     & possible(_size(c("mx")), _size(c("my")), differing, p, q))
