@@ -1,12 +1,13 @@
-"""Operator 4: benchmark decontamination by rare n-gram seeds and Smith-Waterman alignment.
+"""Operator 4: benchmark decontamination by n-gram seeds and Smith-Waterman alignment.
 
 1. The items' n-grams set bits of a fixed-size bitmap (two bits each). One pass over the whole texts keeps the passages
    around n-grams that the bitmap knows: the only words that are moved.
-2. The n-grams of an item are counted over all documents; in every stretch of ``stretch`` consecutive n-grams the one
-   that the corpus holds least often is a seed. So every copied run of n + stretch - 1 words holds a seed, also where a
-   third of all documents hold the item, and common phrases beside rarer ones start no alignment.
-3. Passages meet items by seed, and each pair is aligned by Smith-Waterman over words (numpy, many pairs at a time). The
-   score is the best local score over that of the whole item; pairs of ``threshold`` or more are contaminations.
+2. Passages meet items by n-gram. Every n-gram that both hold is a seed, so an alignment is found if it keeps one run of
+   n words, wherever the edits lie and whoever else holds the item. Seeds too far apart for one alignment are
+   separate stretches, and only a stretch's own words go on to be aligned.
+3. Stretches are aligned by Smith-Waterman over words (numpy, many at a time), but for those whose words, in any order,
+   can't reach the threshold: a common phrase alone starts no alignment. The score is the best local score over that of
+   the whole item; pairs of ``threshold`` or more are contaminations.
 
 Words are lower-cased (A-Z) and without ASCII punctuation. Items of fewer words than n are one shorter n-gram.
 
@@ -119,6 +120,12 @@ def smith_waterman(passages: np.ndarray, items: np.ndarray) -> tuple[np.ndarray,
     return best, end
 
 
+def most(passage: np.ndarray, item: np.ndarray) -> int:
+    """A bound of the local score: the best run of item words, each a match if the passage holds it at all."""
+    total = np.cumsum(np.concatenate([[0], np.where(np.isin(item, passage), MATCH, max(MISMATCH, GAP))]))
+    return int((total - np.minimum.accumulate(total)).max())
+
+
 def _lists(column) -> list[np.ndarray]:
     values, offsets = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
     return [values[i:j] for i, j in zip(offsets[:-1], offsets[1:], strict=True)]
@@ -129,13 +136,10 @@ def _align(threshold: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words, items = _lists(batch.column("words")), _lists(batch.column("item"))
-            lo, hi = batch.column("lo").to_numpy(), batch.column("hi").to_numpy()
-            # what an item can align with lies within twice its length of its seeds
-            low = [max(0, x - 2 * len(q)) for x, q in zip(lo.tolist(), items, strict=True)]
-            cut = [w[x : y + 2 * len(q)] for w, x, y, q in zip(words, low, hi.tolist(), items, strict=True)]
-            order = sorted(range(len(cut)), key=lambda k: (len(cut[k]), len(items[k])))
-            score, end, i = np.zeros(len(cut)), np.zeros(len(cut), dtype=np.int64), 0
+            cut, items = _lists(batch.column("words")), _lists(batch.column("item"))
+            order = [k for k in range(len(cut)) if most(cut[k], items[k]) >= threshold * MATCH * len(items[k])]
+            order.sort(key=lambda k: (len(cut[k]), len(items[k])))
+            score, end, i = np.full(len(cut), -1.0), np.zeros(len(cut), dtype=np.int64), 0
             while i < len(order):
                 j = i + 1
                 while j < len(order) and (j - i) * len(cut[order[j]]) < CELLS:
@@ -149,20 +153,20 @@ def _align(threshold: float):
                 score[part] = best / np.array([MATCH * len(items[k]) for k in part])
                 end[part] = at
                 i = j
-            end += np.array(low) + batch.column("start").to_numpy()
+            end += batch.column("start").to_numpy()
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("item_id"), pa.array(score), batch.column("n_seeds"), pa.array(end)], schema=schema).filter(pa.array(score >= threshold))
 
     return run, "doc_id long, item_id long, score double, n_seeds long, end_word long"
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 4, stretch: int = 3, threshold: float = 0.5,
+def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 4, threshold: float = 0.5,
                  id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, score, n_seeds, end_word): documents that hold an item, copied or edited."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "decontam")
     run, schema = _items(n)
     items = scratch.stage(benchmark.select(F.col("item_id").cast("long"), "text").mapInArrow(run, schema).where("size > 0").withColumn("item", F.monotonically_increasing_id()), "items")
-    own = items.select("item", "item_id", F.posexplode("grams").alias("at", "gram"))
+    own = items.select("item", F.size("words").alias("m"), F.explode("grams").alias("gram"))
     known = spark.sparkContext.broadcast(np.packbits(bitmap(own.select(F.explode(F.array("gram", F.shiftrightunsigned("gram", 24))).alias("g")), "g"), bitorder="little"))
     longest = items.agg(F.coalesce(F.max(F.size("words")), F.lit(0))).first()[0]
     sizes = sorted(r[0] for r in items.select("size").distinct().collect()) or [n]  # at most n lengths
@@ -171,17 +175,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 4, stretch: int
     passages = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
     passages = scratch.stage(passages.withColumn("pid", F.monotonically_increasing_id()), "passages")
     hits = passages.select("pid", F.explode(F.arrays_zip("grams", "places")).alias("g")).select("pid", F.col("g.grams").alias("gram"), F.col("g.places").alias("place"))
-    held = hits.groupBy("gram").agg(F.count("*").alias("held"))
-    rarest = F.min(F.struct("held", "gram")).over(W.partitionBy("item").orderBy("at").rowsBetween(0, stretch - 1))
-    left = F.count("*").over(W.partitionBy("item").orderBy("at").rowsBetween(0, stretch - 1))
-    every = F.count("*").over(W.partitionBy("item"))
-    counted = own.join(held, "gram", "left").withColumn("held", F.coalesce("held", F.lit(0)))
-    seeds = (counted.withColumn("seed", rarest).withColumn("left", left).withColumn("every", every)
-             .where(F.col("left") >= F.least(F.lit(stretch), F.col("every"))).select("item", F.col("seed.gram").alias("gram")).distinct())
-    pairs = hits.join(seeds, "gram").groupBy("pid", "item").agg(F.min("place").alias("lo"), F.max("place").alias("hi"), F.count("*").alias("n_seeds"))
-    both = (pairs.join(passages.select("pid", "doc_id", "start", "words"), "pid")
+    seeds = own.select("item", "m", "gram").distinct()
+    # what an item can align with lies within twice its length of its seeds
+    by_place = W.partitionBy("pid", "item").orderBy("place")
+    met = hits.join(seeds, "gram").withColumn("away", F.coalesce(F.col("place") - F.lag("place").over(by_place) > 4 * F.col("m"), F.lit(False)))
+    stretches = (met.withColumn("part", F.sum(F.col("away").cast("int")).over(by_place)).groupBy("pid", "item", "m", "part")
+                 .agg(F.min("place").alias("lo"), F.max("place").alias("hi"), F.count("*").alias("n_seeds"))
+                 .withColumn("low", F.greatest(F.col("lo") - 2 * F.col("m"), F.lit(0))))
+    both = (stretches.join(passages.select("pid", "doc_id", "start", "words"), "pid")
+            .withColumn("words", F.slice("words", F.col("low") + 1, F.col("hi") + 2 * F.col("m") - F.col("low")))
             .join(items.select("item", "item_id", F.col("words").alias("item_words")), "item")
-            .select("doc_id", "item_id", "start", "words", F.col("item_words").alias("item"), "lo", "hi", "n_seeds"))
+            .select("doc_id", "item_id", (F.col("start") + F.col("low")).alias("start"), "words", F.col("item_words").alias("item"), "n_seeds"))
     run, schema = _align(threshold)
     return (both.mapInArrow(run, schema).groupBy("doc_id", "item_id")
             .agg(F.max("score").alias("score"), F.sum("n_seeds").alias("n_seeds"), F.max(F.struct("score", "end_word")).getField("end_word").alias("end_word")))

@@ -67,6 +67,45 @@ def test_contaminated(spark):
     assert {d for d, _ in got} == {50, 51, 52, 53, *range(60, 90)}
 
 
+def spread_edits(text, every, kind):
+    """Every so many words one is changed, left out or followed by another."""
+    out = []
+    for i, w in enumerate(text.split()):
+        edit = i % every == every - 1
+        out += [w] * (not edit or kind == "add") + [f"x{i}"] * (edit and kind != "drop")
+    return " ".join(out)
+
+
+@pytest.mark.parametrize("copies", [0, 5])
+def test_contaminated_by_evenly_edited_copies(spark, copies):
+    """Every alignment around a shared 4-gram, also where other documents hold the items exactly."""
+    items = [(i, prose(300 + i, 6 + 2 * i)) for i in range(18)]
+    rows = [(1000 * i + 10 * every + k, prose(i, 30) + " " + spread_edits(t, every, kind) + " " + prose(i + 50, 30), "en", "s")
+            for i, t in items for every in (5, 6, 7, 9) for k, kind in enumerate(("change", "drop", "add"))]
+    rows += [(100_000 + 10 * i + c, prose(700 + c, 20) + " " + t, "en", "s") for i, t in items for c in range(copies)]
+    # a lone phrase of an item, and a copy of it far from that phrase
+    phrase, whole = " ".join(items[9][1].split()[3:7]), spread_edits(items[9][1], 5, "change")
+    rows += [(200_000, prose(31, 50) + " " + phrase + " " + prose(32, 50), "en", "s"), (200_001, phrase + " " + prose(33, 400) + " " + whole + " " + prose(34, 400) + " " + phrase, "en", "s")]
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontam.contaminated(documents(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    expected = {}
+    for d, text, *_ in rows:
+        p = plain(text)
+        runs = {tuple(p[j : j + 4]) for j in range(len(p) - 3)}
+        for item, q in items:
+            q = plain(q)
+            if any(tuple(q[j : j + 4]) in runs for j in range(len(q) - 3)) and (s := local_score(p, q) / (decontam.MATCH * len(q))) >= 0.5:
+                expected[d, item] = s
+    assert got == pytest.approx(expected)
+    assert {(1000 * i + 60, i) for i, _ in items} <= set(got) and (200_001, 9) in got and (200_000, 9) not in got
+
+
+def test_bound_of_the_score():
+    r = np.random.default_rng(6)
+    for _ in range(200):
+        p, q = r.integers(0, 12, 15), r.integers(0, 20, 9)
+        assert decontam.most(p, q) >= local_score(list(p), list(q))
+
+
 def test_contaminated_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontam.contaminated(documents(spark, awkward()), none).count() == 0
