@@ -10,7 +10,7 @@ from notelab.llm.decontam import contaminated
 from notelab.llm.jaccard import jaccard_components
 from notelab.llm.langid import accepted
 from notelab.llm.linedup import dedup_lines
-from notelab.llm.mixing import mix_sources
+from notelab.llm.mixing import mix_sources, mixed_blocks
 
 #: Documents whose pooled probability of the predicted language is lower are rejected.
 LANGUAGE_SCORE = 0.5
@@ -67,8 +67,17 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in order; each one's rows are staged in the shared folder and reread."""
+    return _through(STAGES, spark, sf_dir)
+
+
+def mixed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts that the pipeline ends in: the mix of the documents left before the last stage, a block per row."""
+    return mixed_blocks(_through(STAGES[:-1], spark, sf_dir))
+
+
+def _through(stages: list, spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs = read(spark, sf_dir, "documents")
-    for name, stage in STAGES:
+    for name, stage in stages:
         docs = scratch.stage(stage(spark, docs, sf_dir), name)
     return docs

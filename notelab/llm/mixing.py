@@ -5,7 +5,10 @@ words. The mix is a list of slots dealt to output shards of ``shard_slots`` slot
 with the target probabilities, so a shard's source counts are a multinomial draw; draws beyond a source's quota are
 handed, in order, to the sources that stayed below theirs, so the totals meet the targets to a block. The j-th slot of
 a source takes block perm(j) of its pass j div n_blocks: perm is a swap-or-not shuffle keyed by source and pass, a
-bijection on the source's block numbers. Slots and blocks meet in an equi-join on (source, block).
+bijection on the source's block numbers. Blocks are packed from the whole texts and meet their slots in an equi-join on
+(source, block): the mixed texts (``mixed_blocks``). What is taken of a document (``mix_sources``) is counted in them.
+
+The texts are shuffled twice, by the places of documents in their source and by block, and the mix is staged once.
 
 No step puts a source into one task: positions come from two-level prefix sums (buckets, then rows of a bucket), and
 slots and blocks are spread by their numbers. Only tables of one row per source are broadcast, under Spark's own size
@@ -13,7 +16,8 @@ check.
 
 Edge cases: null, empty and blank texts have size 0 and take 0; null sources form one source (last by code point);
 repeated rows are separate documents; an empty table gives an empty result; a source without words has target 0. Rows
-with equal ids and texts are interchangeable. Extra columns are ignored.
+with equal ids and texts are interchangeable. Extra columns are ignored. The documents are read twice (sizes, then
+texts), so a table that isn't the same at each reading must be staged before.
 """
 
 from __future__ import annotations
@@ -32,8 +36,11 @@ MAX_PASSES = 3
 ROUNDS = 24
 
 
+_WORD = r"[^\x20\x09-\x0D]+"
+
+
 def word_count(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long"), F.lit(0).cast("long"))
+    return F.coalesce(F.regexp_count(text, F.lit(_WORD)).cast("long"), F.lit(0).cast("long"))
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_passes: int = MAX_PASSES) -> DataFrame:
@@ -80,15 +87,31 @@ def before(value: str, keys: list[str], order: list[str]) -> Column:
     return F.coalesce(F.sum(value).over(W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).cast("long")
 
 
-def mix_sources(docs: DataFrame, block_words: int = 128, shard_slots: int = 1024, seed: int = SEED, buckets: int = 4096,
-                id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(doc_id, size, source_size, target, taken): how many words of every document the mix takes."""
+def pieces(placed: DataFrame, block_words: int) -> DataFrame:
+    """(sid, block, start, doc_id, n, words): the words of each document by the blocks that they lie in."""
+    start, end = F.col("start"), F.col("start") + F.col("size")
+    numbers = F.sequence(F.floor(start / block_words), F.floor((end - 1) / block_words))
+
+    def part(words: Column, block: Column) -> Column:
+        lo, hi = F.greatest(block * block_words, start), F.least((block + 1) * block_words, end)
+        return F.struct(block.alias("block"), F.slice(words, (lo - start + 1).cast("int"), (hi - lo).cast("int")).alias("part"))
+
+    # a text is split once: the inner function sees its words as a variable
+    split = F.transform(F.array(F.regexp_extract_all("text", F.lit(_WORD), F.lit(0))), lambda w: F.transform(numbers, lambda b: part(w, b)))
+    cut = F.transform(F.element_at(split, 1), lambda x: F.struct(x["block"].alias("block"), F.size(x["part"]).alias("n"), F.array_join(x["part"], " ").alias("words")))
+    return placed.where("size > 0").select("sid", "start", "doc_id", F.explode(cut).alias("cut")).select("sid", "start", "doc_id", "cut.*")
+
+
+def mix_tables(docs: DataFrame, block_words: int = 128, shard_slots: int = 1024, seed: int = SEED, buckets: int = 4096,
+               id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame]:
+    """The mix (``mixed_blocks``) and what it takes of the documents (``mix_sources``)."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "mixing")
-    sized = scratch.stage(docs.select(
+    rows = docs.select(
         F.col(id_col).alias("doc_id"), F.col(source_col).alias("src"), word_count(F.col(text_col)).alias("size"),
-        F.crc32(F.col(text_col).cast("binary")).alias("tie"), F.monotonically_increasing_id().alias("row"),
-        F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(buckets)).alias("bucket")), "sized")
+        F.crc32(F.col(text_col).cast("binary")).alias("tie"), F.xxhash64(text_col).alias("tie2"),
+        F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(buckets)).alias("bucket"), F.col(text_col).alias("text"))
+    sized = scratch.stage(rows.drop("text"), "sized")
     per_bucket = scratch.stage(sized.groupBy("src", "bucket").agg(F.sum("size").alias("words")), "buckets")
 
     # quota of a source in blocks: whole passes, then as many blocks of the last pass as come nearest to the rest
@@ -129,19 +152,40 @@ def mix_sources(docs: DataFrame, block_words: int = 128, shard_slots: int = 1024
     # slot -> block by the permutation of the source's pass, then how often each block is taken
     placed = (filled.join(quota.select("sid", "n_blocks"), "sid").withColumn("pass", F.floor(F.col("j") / F.col("n_blocks")))
               .withColumn("block", permuted(F.pmod("j", F.col("n_blocks")), F.col("n_blocks"), [F.col("sid"), F.col("pass")], seed + 3)))
-    times = placed.groupBy("sid", "block").agg(F.count("*").alias("times"))
-
-    # documents -> the blocks that they lie in
-    known = sized.join(sid_of, F.col("src").eqNullSafe(F.col("q_src"))).drop("q_src", "src")
-    bucket_first = (per_bucket.join(sid_of, F.col("src").eqNullSafe(F.col("q_src")))
-                    .select("sid", "bucket", before("words", ["sid"], ["bucket"]).alias("b0")))
-    spans = (known.where("size > 0").join(bucket_first, ["sid", "bucket"])
-             .withColumn("start", F.col("b0") + before("size", ["sid", "bucket"], ["doc_id", "tie", "row"]))
-             .withColumn("end", F.col("start") + F.col("size")))
-    pieces = (spans.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block_words), F.floor((F.col("end") - 1) / block_words))))
-              .select("row", "sid", "block", (F.least(F.col("end"), (F.col("block") + 1) * block_words) - F.greatest(F.col("start"), F.col("block") * block_words)).alias("words")))
-    taken = pieces.join(times, ["sid", "block"]).groupBy("row").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
-    return known.join(taken, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+    # documents -> their places in the source's stream of words, which also tell them apart
+    bucket_first = scratch.stage(per_bucket.join(sid_of, F.col("src").eqNullSafe(F.col("q_src")))
+                                 .select("sid", "bucket", before("words", ["sid"], ["bucket"]).alias("b0")), "firsts")
+
+    def starts(table: DataFrame) -> DataFrame:
+        known = table.join(sid_of, F.col("src").eqNullSafe(F.col("q_src"))).drop("q_src", "src")
+        first = F.col("b0") + before("size", ["sid", "bucket"], ["doc_id", "tie", "tie2", "size"])
+        return known.join(bucket_first, ["sid", "bucket"]).withColumn("start", F.when(F.col("size") > 0, first))
+
+    # blocks of words, which meet their slots
+    packed = pieces(starts(rows.where("size > 0")), block_words).groupBy("sid", "block").agg(F.array_sort(F.collect_list(F.struct("start", "doc_id", "n", "words"))).alias("held"))
+    packed = packed.select("sid", "block", F.array_join(F.col("held.words"), " ").alias("words"), F.transform("held", lambda x: F.struct(x["start"].alias("start"), x["doc_id"].alias("doc_id"), x["n"].alias("n"))).alias("parts"))
+    mix = scratch.stage(packed.join(placed.select("sid", "block", "slot"), ["sid", "block"])
+                        .select(F.floor(F.col("slot") / shard_slots).cast("long").alias("shard"), "slot", "sid", "block", "words", "parts"), "mix")
+
+    taken = mix.select("sid", F.explode("parts").alias("p")).groupBy("sid", "p.start").agg(F.sum("p.n").alias("taken"))
+    digest = starts(sized).join(taken, ["sid", "start"], "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    named = mix.join(sid_of.select("sid", F.col("q_src").alias("source")), "sid")
+    return named.select("shard", "slot", "source", "block", "words", F.transform("parts", lambda x: F.struct(x["doc_id"].alias("doc_id"), x["n"].alias("n"))).alias("parts")), digest
+
+
+def mixed_blocks(docs: DataFrame, **options) -> DataFrame:
+    """(shard, slot, source, block, words, parts): the mix, a row per slot; its order is that of shard and slot.
+
+    words are the block's words joined by single spaces, parts the documents that they come from, in order, with the
+    number of words of each.
+    """
+    return mix_tables(docs, **options)[0]
+
+
+def mix_sources(docs: DataFrame, **options) -> DataFrame:
+    """(doc_id, size, source_size, target, taken): how many words of every document the mix takes."""
+    return mix_tables(docs, **options)[1]
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -227,6 +227,41 @@ def test_mixing(spark):
     assert sorted(map(str, again)) == sorted(map(str, got))
 
 
+def test_mixed_blocks(spark):
+    """The mix holds the texts: whole blocks of each source's stream, as often as the documents' counts tell."""
+    rows = awkward() + [(3000 + i, prose(i, 5 + i % 90), "en", f"src{i % 7}") for i in range(300)]
+    mix, digest = mixing.mix_tables(documents(spark, rows), block_words=16, shard_slots=32)
+    got = mix.orderBy("shard", "slot").collect()
+    assert [r["slot"] for r in got] == list(range(len(got))) and all(r["shard"] == r["slot"] // 32 for r in got)
+    streams, taken = {}, Counter()
+    for r in got:
+        w = r["words"].split(" ")
+        assert len(w) == sum(p["n"] for p in r["parts"]) <= 16
+        assert streams.setdefault((r["source"], r["block"]), (w, r["parts"])) == (w, r["parts"])
+        for p in r["parts"]:
+            taken[r["source"], p["doc_id"]] += p["n"]
+    expected, source = Counter(), {(i, len(words(t))): s for i, t, _, s in rows}
+    for r in digest.collect():
+        expected[source[r["doc_id"], r["size"]], r["doc_id"]] += r["taken"]
+    assert +taken == +expected
+    # the blocks of a source in order are its documents' whole texts, one after the other
+    whole = [s for s in {s for s, _ in streams} if sum(len(w) for (t, _), (w, _) in streams.items() if t == s) == sum(len(words(t)) for _, t, _, x in rows if x == s)]
+    assert len(whole) >= 3
+    for s in whole:
+        stream = [w for b in range(sum(t == s for t, _ in streams)) for w in streams[s, b][0]]
+        parts = [(p["doc_id"], p["n"]) for b in range(sum(t == s for t, _ in streams)) for p in streams[s, b][1]]
+        texts, at, seen = Counter((i, tuple(words(t))) for i, t, _, x in rows if x == s and words(t)), 0, Counter()
+        left = {i: [list(t) for (j, t), n in texts.items() if j == i for _ in range(n)] for i, _ in texts}
+        while parts:
+            doc, n = parts.pop(0)
+            while parts and parts[0][0] == doc and n not in {len(t) for t in left[doc]}:
+                n += parts.pop(0)[1]
+            assert stream[at : at + n] in left[doc]
+            left[doc].remove(stream[at : at + n])
+            at, seen[doc] = at + n, seen[doc] + 1
+        assert at == len(stream) and not any(left.values())
+
+
 def test_mixing_empty_and_blank_tables(spark):
     assert mixing.mix_sources(empty(spark)).count() == 0
     got = mixing.mix_sources(documents(spark, [(1, None, None, None), (2, " ", "en", "a")])).collect()
