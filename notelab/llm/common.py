@@ -117,7 +117,7 @@ def components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b", l
     """(node, component): every node of the edges with the smallest node reachable.
 
     Alternating large-star and small-star steps (each an aggregation with map-side combine and an equi-join that AQE
-    splits where one node holds many edges) until the edges no longer change. Each round is staged in the shared
+    splits where one node holds many edges) until the edges no longer change; more than ``limit`` rounds are an error. Each round is staged in the shared
     folder; only a row count and a checksum reach the driver.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
@@ -140,6 +140,9 @@ def components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b", l
         if now == seen:
             break
         seen = now
+    else:
+        if seen[0]:
+            raise RuntimeError(f"components still change after {limit} rounds")
     stars = e.groupBy("u").agg(F.min("v").alias("m"))
     return stars.select(F.col("u").alias("node"), F.col("m").alias("component")).union(
         e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -139,3 +139,11 @@ def test_substring_dedup(spark, k):
 
 def test_substring_dedup_empty_table(spark):
     assert dedup_substrings(empty(spark)).count() == 0
+
+
+def test_unfinished_components_are_an_error(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(200)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        components(chain, Scratch(spark, "test"), limit=2)
+    assert {(r["node"], r["component"]) for r in components(chain, Scratch(spark, "test")).collect()} == {(i, 0) for i in range(201)}
+    assert components(chain.limit(0), Scratch(spark, "test")).count() == 0
