@@ -1,7 +1,7 @@
 """Operator 5: language identification by a bidirectional gated recurrent network over bytes.
 
 The network is trained on the driver in numpy, by backpropagation through time, on a bounded sample of labelled
-documents (``sample_docs`` snippets of ``SNIPPET`` characters at a pseudorandom place). Prediction runs in every task over
+documents (``sample_docs`` snippets of ``SNIPPET`` characters at a pseudorandom place, shared evenly by the languages). Prediction runs in every task over
 all bytes of all texts: texts are cut into sequences of ``window`` bytes, the two directions run over each sequence,
 every byte gets a probability for each language, and a document's probabilities are the means over the bytes of its
 letters (ASCII letters and all bytes above 127). ``score`` is the pooled probability of the predicted language.
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notelab.llm.common import crc_fold, read, reachable
-from notelab.llm.learn import hash_sample
+from notelab.llm.learn import even_shares, hash_sample_by
 from notelab.llm.words import pieces
 
 HIDDEN = 8
@@ -33,11 +33,12 @@ _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 
 def learn_rows(docs: DataFrame, sample_docs: int, folds: int, held: int) -> DataFrame:
-    """Snippets of the sample_docs labelled documents with the smallest id hashes."""
+    """Snippets of at most sample_docs labelled documents: of each language those with the smallest id hashes."""
     spot = F.lit(1) + F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.greatest(F.length("text") - SNIPPET, F.lit(0)) + 1)
     labelled = docs.where(F.col("lang").isNotNull() & (crc_fold(F.col("doc_id"), folds) != held)).withColumn("h", F.xxhash64("doc_id"))
     rows = labelled.where(F.col("text").rlike(r"\p{L}")).select("lang", F.col("text").substr(spot.cast("int"), F.lit(SNIPPET)).alias("text"), "h")
-    return hash_sample(rows, labelled.count(), sample_docs, "lang", "text")
+    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}  # a row per language
+    return hash_sample_by(rows, "lang", even_shares(sizes, sample_docs), sizes, "lang", "text")
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from notelab.llm.common import crc_fold
@@ -22,6 +23,24 @@ def hash_sample(df: DataFrame, rows: int, n: int, *ties: str) -> DataFrame:
     return df.where(F.col("h") <= F.lit(min(bound, (1 << 63) - 1))).orderBy("h", *ties).limit(n)
 
 
+def even_shares(sizes: dict, n: int) -> dict:
+    """Rows to take of each class, n in all at most: as even as the sizes allow, and of every class if n suffices."""
+    out, left = {}, n
+    for i, k in enumerate(sorted(sizes, key=lambda k: (sizes[k], k))):
+        out[k] = min(sizes[k], -(-left // (len(sizes) - i)))
+        left -= out[k]
+    return out
+
+
+def hash_sample_by(df: DataFrame, by: str, n: dict, rows: dict, *ties: str) -> DataFrame:
+    """``hash_sample`` of each class of the text column ``by`` in one pass; n and rows are by class."""
+    bounds = [(k, n[k], min(int(-(1 << 63) + min(1.0, (2 * n[k] + 200) / max(rows[k], 1)) * ((1 << 64) - 1)), (1 << 63) - 1)) for k in n]
+    table = df.sparkSession.createDataFrame(bounds, "_class string, _n long, _bound long")
+    near = df.join(F.broadcast(table), F.col(by) == F.col("_class")).where(F.col("h") <= F.col("_bound"))
+    place = F.row_number().over(W.partitionBy("_class").orderBy("h", *ties))
+    return near.withColumn("_place", place).where(F.col("_place") <= F.col("_n")).select(df.columns).orderBy("h", *ties)
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: dict[int, int], folds: int = 4, held: int = 2):
     """pandas (doc_id, text, y): of each class the documents with the smallest id hashes, outside the held-out fold.
 

@@ -41,6 +41,13 @@ def test_language_id(spark):
         assert 0 <= by_id[i]["score"] <= 1
 
 
+def test_language_sample_has_every_language(spark):
+    rows = [(i, sentence("de" if i % 3 else "en", i), "de" if i % 3 else "en", "s") for i in range(900)] + [(2000 + i, sentence("fr", i), "fr", "s") for i in range(4)]
+    got = langid.learn_rows(documents(spark, rows), 40, 5, 0).toPandas()["lang"].value_counts().to_dict()
+    fr = sum(zlib.crc32(str(2000 + i).encode()) % 5 != 0 for i in range(4))
+    assert fr and got["fr"] == fr and sum(got.values()) == 40 and abs(got["de"] - got["en"]) <= 1
+
+
 def test_language_id_without_rows_to_learn_from(spark):
     assert langid.identify(empty(spark)).count() == 0
     got = langid.identify(documents(spark, [(1, "abc", None, "s"), (None, None, None, None)])).collect()
