@@ -32,7 +32,7 @@ from notelab.llm.common import Scratch, read, reachable
 from notelab.llm.vocab import BYTE_BPE, PIECE_BPE, byte_level, piece_model
 from notelab.llm.words import pieces
 
-BLOCK = 8 << 20
+BLOCK = 4 << 20
 #: Pairs whose counts are broadcast; all others are joined.
 FREQUENT = 1 << 18
 
@@ -49,20 +49,43 @@ class Side:
         self.ends = total - np.repeat(before, self.counts)
 
 
-def encode(texts: list[str], a: str, b: str) -> tuple[Side, Side]:
-    """Both sides of a block; documents that don't give space + text on both have no tokens."""
-    left, right, none = byte_level(a), piece_model(b), np.zeros(0, dtype=np.uint32)
-    ids: tuple[list, list] = ([], [])
-    for text in texts:
-        x = y = none
-        if text:
-            spaced = " " + text
-            x, y, whole = left.ids(spaced), right.ids(text), spaced.encode()
-            if b"".join(map(left.bytes.__getitem__, x.tolist())) != whole or b"".join(map(right.bytes.__getitem__, y.tolist())) != whole:
-                x = y = none
-        ids[0].append(x)
-        ids[1].append(y)
-    return tuple(Side(i, np.array([len(t) for t in v.bytes], dtype=np.int64)) for i, v in zip(ids, (left, right), strict=True))
+def _spelled(side: Side, flat: np.ndarray, start: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The joined bytes of all tokens of a side."""
+    n = sizes[side.ids]
+    return flat[np.repeat(start[side.ids] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+
+
+@lru_cache(maxsize=4)
+def _tables(vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All token bytes in a row, where each token's begin, and their numbers."""
+    sizes = np.array([len(t) for t in vocabulary.bytes], dtype=np.int64)
+    return np.frombuffer(b"".join(vocabulary.bytes), dtype=np.uint8), np.cumsum(sizes) - sizes, sizes
+
+
+def encode(data: np.ndarray, offsets: np.ndarray, a: str, b: str) -> tuple[Side, Side]:
+    """Both sides of a block of texts (bytes and row offsets); documents that don't give space + text on both have no tokens."""
+    vocabularies, none = (byte_level(a), piece_model(b)), np.zeros(0, dtype=np.uint32)
+    length = np.diff(offsets)
+    texts = [data[s:e].tobytes().decode() for s, e in zip(offsets[:-1], offsets[1:], strict=True)]
+    ids = [[vocabularies[0].ids(" " + t) if t else none for t in texts], [vocabularies[1].ids(t) if t else none for t in texts]]
+    good = length > 0
+    for v, own in zip(vocabularies, ids, strict=True):
+        side = Side(own, _tables(v)[2])
+        last = side.ends[np.maximum(side.first[1:] - 1, 0)] if len(side.ends) else np.zeros(len(own), dtype=np.int64)
+        good &= (side.counts > 0) & (last == length + 1)
+    while True:
+        ids = [[i if g else none for i, g in zip(own, good, strict=True)] for own in ids]
+        sides = tuple(Side(own, _tables(v)[2]) for own, v in zip(ids, vocabularies, strict=True))
+        inside = np.repeat(good, length)
+        want = np.insert(data[inside], (np.cumsum(length[good]) - length[good]), 32)
+        edges = np.cumsum(length[good] + 1)
+        wrong = np.zeros(len(good), dtype=bool)
+        for side, v in zip(sides, vocabularies, strict=True):
+            differs = np.flatnonzero(_spelled(side, *_tables(v)) != want)
+            wrong[np.flatnonzero(good)[np.unique(np.searchsorted(edges, differs, side="right"))]] = True
+        if not wrong.any():
+            return sides
+        good = good & ~wrong
 
 
 def lockstep(a: Side, b: Side) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -117,10 +140,6 @@ def group_texts(a: Side, b: Side, at_a: np.ndarray, at_b: np.ndarray, cut: np.nd
     return [flat[s : max(s, e - 1)].tobytes() for s, e in zip(edges[:-1], edges[1:], strict=True)]
 
 
-def _texts(data: np.ndarray, offsets: np.ndarray) -> list[str]:
-    return [data[s:e].tobytes().decode() for s, e in zip(offsets[:-1], offsets[1:], strict=True)]
-
-
 def _lists(first: np.ndarray, values: np.ndarray, kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(values.astype(kind.to_pandas_dtype()), kind))
 
@@ -135,7 +154,7 @@ def aligned(docs: DataFrame, a: str = BYTE_BPE, b: str = PIECE_BPE, text_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for s, e, data, offsets in pieces(batch.column(len(others)), BLOCK):
-                x, y = encode(_texts(data, offsets), a, b)
+                x, y = encode(data, offsets, a, b)
                 at_a, at_b, cut, first = lockstep(x, y)
                 cuts = np.concatenate([[0], np.cumsum(cut)])[first]
                 made = [_lists(x.first, x.ids, pa.int32()), _lists(y.first, y.ids, pa.int32()), _lists(first, at_a - np.repeat(x.first[:-1], np.diff(first)), pa.int32()),
@@ -154,7 +173,7 @@ def digests(docs: DataFrame, a: str = BYTE_BPE, b: str = PIECE_BPE, id_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for s, e, data, offsets in pieces(batch.column(1), BLOCK):
-                x, y = encode(_texts(data, offsets), a, b)
+                x, y = encode(data, offsets, a, b)
                 at_a, at_b, cut, first = lockstep(x, y)
                 texts = group_texts(x, y, at_a, at_b, cut)
                 size, doc = int(y.ids.max(initial=0)) + 1, np.repeat(np.arange(e - s), np.diff(first))
