@@ -38,9 +38,10 @@ class Scratch:
         self.n += 1
         return f"{self.root}/{self.n:02d}-{name}"
 
-    def stage(self, df: DataFrame, name: str) -> DataFrame:
+    def stage(self, df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
+        """codec: the compression of a table that holds texts, where the session's own one isn't dense enough."""
         path = self.path(name)
-        df.write.parquet(path)
+        df.write.options(**({"compression": codec} if codec else {})).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *tables: DataFrame) -> None:

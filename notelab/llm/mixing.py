@@ -137,6 +137,7 @@ def mix_tables(docs: DataFrame, block_words: int = 128, shard_slots: int = 1024,
     first = counts.join(part_first, ["sid", "part"]).select("sid", "shard", (F.col("p0") + before("n", ["sid", "part"], ["shard"])).alias("j0"))
     numbered = drawn.join(first, ["sid", "shard"]).withColumn("j", F.col("j0") + F.row_number().over(W.partitionBy("shard", "sid").orderBy("slot")) - 1)
     numbered = scratch.stage(numbered.select("slot", "shard", "sid", "j", "quota"), "numbered")
+    scratch.drop(drawn)
 
     # draws beyond a source's quota fill, in slot order, the places that other sources have left
     used = counts.groupBy("sid").agg(F.sum("n").alias("n"))
@@ -166,7 +167,7 @@ def mix_tables(docs: DataFrame, block_words: int = 128, shard_slots: int = 1024,
     packed = pieces(starts(rows.where("size > 0")), block_words).groupBy("sid", "block").agg(F.array_sort(F.collect_list(F.struct("start", "doc_id", "n", "words"))).alias("held"))
     packed = packed.select("sid", "block", F.array_join(F.col("held.words"), " ").alias("words"), F.transform("held", lambda x: F.struct(x["start"].alias("start"), x["doc_id"].alias("doc_id"), x["n"].alias("n"))).alias("parts"))
     mix = scratch.stage(packed.join(placed.select("sid", "block", "slot"), ["sid", "block"])
-                        .select(F.floor(F.col("slot") / shard_slots).cast("long").alias("shard"), "slot", "sid", "block", "words", "parts"), "mix")
+                        .select(F.floor(F.col("slot") / shard_slots).cast("long").alias("shard"), "slot", "sid", "block", "words", "parts"), "mix", codec="zstd")
 
     taken = mix.select("sid", F.explode("parts").alias("p")).groupBy("sid", "p.start").agg(F.sum("p.n").alias("taken"))
     digest = starts(sized).join(taken, ["sid", "start"], "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
