@@ -7,6 +7,8 @@ one; the queries of the single operators read the same stages.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -86,10 +88,51 @@ def with_sections(df: DataFrame, text_col: str, out: str = "sections", keep_titl
     return result.drop("_pos", *([] if keep_titles else ["_third", "_found", "_kept"]))
 
 
-def section_texts(text, secs) -> Column:
-    """Texts of the non-empty sections in order of appearance."""
-    nonempty = F.filter(secs, lambda s: s["end_section"] != s["start_section"])
-    return F.transform(nonempty, lambda s: text.substr(s["start_section"] + 1, s["end_section"] - s["start_section"]))
+def _literal(title: str) -> str:
+    return "'" + title.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _listed_sql(t: str, titles: Sequence[str]) -> str:
+    """O1, P11 for any list: every title of the list that the text holds, [start, end) of its first occurrence.
+
+    The list is one array literal and each title one substring search, so a row's work is the list's length times its text's.
+    Sorted by start; titles that start together come in the list's order. ``t`` must be a bound variable, as every title reads it.
+    """
+    known = ", ".join(f"named_struct('n', {_literal(x)}, 'l', {len(x)}, 'i', {i})" for i, x in enumerate(titles))
+    at = f"transform(array({known}), k -> named_struct('start_title', instr({t}, k.n) - 1, 'i', k.i, 'l', k.l, 'n', k.n))"
+    return (f"transform(array_sort(filter({at}, f -> f.start_title >= 0)), f -> named_struct('start_title', f.start_title, "
+            "'end_title', f.start_title + f.l, 'section_name', f.n))")
+
+
+def with_title_sections(df: DataFrame, text_col: str, titles: Sequence[str], out: str = "sections", keep_titles: bool = False) -> DataFrame:
+    """P11, W1, W2 with a list of titles: the section array of every text that holds one of them; else an empty array.
+
+    A title is found at its first occurrence, case as given.  Of two neighbours that touch or overlap the longer one stays
+    (the first on a tie).  A null text has no sections; an empty title is an error.
+    """
+    if not titles or not all(titles):
+        raise ValueError("titles must be non-empty strings")
+    t = f"`{text_col}`"
+    staged = (df.withColumn("_found", F.expr(f"transform(array({t}), txt -> CASE WHEN txt IS NULL THEN CAST(array() AS array<{_TITLE}>) ELSE {_listed_sql('txt', titles)} END)[0]"))
+              .withColumn("_kept", F.expr(_kept_sql())).withColumn("_third", F.get("_found", F.lit(0))))
+    result = staged.withColumn(out, F.expr(_bounds_sql(t)))
+    return result.drop("_third", *([] if keep_titles else ["_found", "_kept"]))
+
+
+def section_texts(text, secs, sections_list: Sequence[str] | None = None, delete_empty: bool = True) -> Column:
+    """Texts of the sections in order of appearance; of those in ``sections_list`` if it is given, empty ones only if asked for."""
+    if sections_list is not None:
+        secs = F.filter(secs, lambda s: s["section_name"].isin(list(sections_list)))
+    if delete_empty:
+        secs = F.filter(secs, lambda s: s["end_section"] != s["start_section"])
+    return F.transform(secs, lambda s: text.substr(s["start_section"] + 1, s["end_section"] - s["start_section"]))
+
+
+def extract(df: DataFrame, text_col: str, titles: Sequence[str], sections_list: Sequence[str] | None = None, delete_empty: bool = True) -> DataFrame:
+    """``sections`` and their ``section_texts``; without ``sections_list`` those of all the titles."""
+    chosen = titles if sections_list is None else sections_list
+    found = with_title_sections(df, text_col, titles)
+    return found.withColumn("section_texts", section_texts(F.col(text_col), F.col("sections"), chosen, delete_empty))
 
 
 def offset_sql(secs: str = "sections") -> dict[str, str]:

@@ -109,9 +109,10 @@ def clean_text_sql(x: str, stop_words: Iterable[str] = ENGLISH_STOP_WORDS, max_t
     t = f"array_join(filter({toks(t, 'c17t')}, c17w -> length(c17w) > 1), ' ')"
     t = rr(t, r"(?<![^ ])[._]+|[._]+(?![^ ])", "")
     if max_tokens is not None:
-        over = f"size({toks('c18x', 'c18t')}) > {max_tokens}"
-        capped = f"array_join(filter({toks('c18x', 'c18u')}, c18w -> length(c18w) > 2), ' ')"
-        t = f"transform(array({t}), c18x -> CASE WHEN {over} THEN {capped} ELSE c18x END)[0]"
+        # a text over the cap has a character and a space per word at least; only such a text is split, once
+        capped = "array_join(filter(c18w, c18u -> length(c18u) > 2), ' ')"
+        split = f"transform(array({toks('c18x', 'c18t')}), c18w -> CASE WHEN size(c18w) > {max_tokens} THEN {capped} ELSE c18x END)[0]"
+        t = f"transform(array({t}), c18x -> CASE WHEN length(c18x) > {2 * max_tokens} THEN {split} ELSE c18x END)[0]"
     out = t if already_lower else f"lower({t})"
     return f"CASE WHEN {x} IS NULL OR {x} = '' THEN CAST(NULL AS STRING) ELSE {out} END"
 

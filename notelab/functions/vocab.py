@@ -14,6 +14,7 @@ Fixed values (kept together; the tags are grouped by meaning):
 * encoder token cap: 512; minimum tokens per training text: 4; folds: 5
 * hyper-parameter grid: lr 0.001, batch 32, epochs 50, width 128, dropout 0.1; seed 0, split number 22
   (the model type names the encoder that is used here, "token_vectors")
+* Adam: beta_1 0.9, beta_2 0.999, epsilon 1e-8; decision threshold 0.5, thresholds of the running AUC: 200
 * output columns of the performance table: PERFORMANCE_COLUMNS
 """
 
@@ -22,6 +23,11 @@ OBJECTIVE = "objective"
 ASSESSMENT_TITLES = ("plan and assessment", "assessment and plan", "assessment")
 SECTION_NAMES = ("subjective", "objective", "assessment")
 
+#: A list of titles that contain, touch and overlap each other, some of them frequent in the given notes.
+TITLES = ("subjective", "objective", "assessment", "plan", "assessment and plan", "plan and assessment", "and plan", "and assessment", "the", "of the", "in the", "and the", "tion", "ing", "ment",
+          "que", "les", "des", "pour", "dans", "und", "der", "die", "sch", "ung", "keit", "history", "allergies", "medications", "s")
+TAKEN = ("subjective", "assessment and plan", "plan", "of the", "tion", "ing", "que", "und", "der", "s", "not in the list")
+
 TAG_VOCAB = (
     "SE_physio", "SE_psych", "SE_other", "SE_physio_N", "SE_psych_N", "SE_other_N",
     "BN_social", "BN_personal", "BN_other", "BN_academic", "_community",
@@ -43,6 +49,8 @@ PARAM_GRID = {
     "do": [0.1],
     "model_type": ["token_vectors"],
 }
+ADAM = {"beta_1": 0.9, "beta_2": 0.999, "epsilon": 1e-08}
+N_THRESHOLDS = 200
 SEEDS = [0]
 SPLIT_NUMBERS = [22]
 

@@ -10,17 +10,17 @@ from pyspark.sql import functions as F
 
 from ..functions import sections as S
 from ..functions import text as T
-from ..functions.vocab import MAX_TOKENS, SPAN_OFFSET
+from ..functions.vocab import MAX_TOKENS, SPAN_OFFSET, TAKEN, TITLES
 from ..operators import annotations as A
 from ..operators import dataset as DS
 from ..operators import notes as N
-from ..session import stage, table
+from ..session import spread, stage, table
 from ..sources.files import union_rounds
 from . import notes_to_sections as P
 
 
 def _big(*names):
-    return [F.col(n).cast("bigint").alias(n) for n in names]
+    return [F.col(n).cast("bigint").alias(n.split(".")[-1]) for n in names]
 
 
 # ---------------------------------------------------------------- scans / projections
@@ -48,12 +48,12 @@ def q_lower_notes(spark, sf):
 
 
 def q_clean_text(spark, sf):
-    docs = _docs(spark, sf)
+    docs = spread(_docs(spark, sf).select("doc_id", "text"))
     return docs.select("doc_id", T.clean_text("text", max_tokens=MAX_TOKENS).alias("clean"))
 
 
 def q_clean_conversations(spark, sf):
-    conv = table(spark, sf, "conversations")
+    conv = spread(table(spark, sf, "conversations").select("conv_id", "turn", "text"))
     return conv.select("conv_id", "turn", T.clean_text("text", max_tokens=MAX_TOKENS).alias("clean"))
 
 
@@ -204,6 +204,23 @@ def q_section_extract(spark, sf):
             .where(F.col("idx").isNotNull()).select("xmi", "round", F.col("idx").cast("bigint").alias("idx"), "text"))
 
 
+def _low_notes(spark, sf):
+    notes = spread(P.notes(spark, sf).select("file", "round", "note_des"))
+    return notes.withColumn("low", T.lower_text(F.col("note_des")))
+
+
+def q_title_list(spark, sf):
+    """O1, P11, W1, W2 with 30 titles over every note."""
+    found = S.with_title_sections(_low_notes(spark, sf), "low", TITLES).select("file", "round", F.explode("sections").alias("s"))
+    return found.select("file", "round", "s.section_name", *_big("s.start_title", "s.end_title", "s.start_section", "s.end_section"))
+
+
+def q_title_list_extract(spark, sf):
+    """P15, P16 with 30 titles, eleven sections to take, empty ones kept."""
+    found = S.extract(_low_notes(spark, sf), "low", TITLES, TAKEN, delete_empty=False)
+    return found.select("file", "round", F.posexplode("section_texts").alias("idx", "text")).select("file", "round", *_big("idx"), "text")
+
+
 def q_section_offsets(spark, sf):
     return _sectioned(spark, sf).select("xmi", "round", *_big(*N.OFFSET_COLUMNS))
 
@@ -282,6 +299,8 @@ QUERIES = {
     "sectionize": q_sectionize,
     "section_bounds": q_section_bounds,
     "section_extract": q_section_extract,
+    "title_list": q_title_list,
+    "title_list_extract": q_title_list_extract,
     "section_offsets": q_section_offsets,
     "section_assign": q_section_assign,
     "clean_sections": q_clean_sections,
@@ -305,9 +324,12 @@ QUERIES["flagship"] = q_flagship
 
 # ---------------------------------------------------------------- folds, splits, metrics, features
 
+from ..operators import balance as BA  # noqa: E402
 from ..operators import embed as E  # noqa: E402
 from ..operators import folds as FO  # noqa: E402
 from ..operators import metrics as M  # noqa: E402
+from ..operators import subwords as SW  # noqa: E402
+from ..operators import vectors as V  # noqa: E402
 
 FOLD_SEED = 22
 
@@ -325,6 +347,12 @@ def q_group_folds(spark, sf):
     return FO.group_folds(FO.group_class_counts(_labels(spark, sf)), seed=FOLD_SEED).select("patient", *_big("fold", "n", "pos"))
 
 
+def q_balanced_folds(spark, sf):
+    """M6 by exchanges: folds of two split numbers."""
+    found = BA.balanced_folds(FO.group_class_counts(_labels(spark, sf)), (FOLD_SEED, FOLD_SEED + 1))
+    return found.select(*_big("random_number"), "patient", *_big("fold", "n", "pos"))
+
+
 def _split_rows(spark, sf):
     rows = stage(_labels(spark, sf))
     return FO.assign_splits(rows, FO.group_folds(FO.group_class_counts(rows), seed=FOLD_SEED))
@@ -387,9 +415,41 @@ def q_embed_texts(spark, sf):
                       (F.round(total, 4) + F.lit(0.0)).alias("feature_sum"))
 
 
+def _words(spark, sf):
+    return P.training_rows(spark, sf).select("xmi", "round", "section", T.ws_tokens(F.col("text")).alias("words"))
+
+
+def q_cooccurrence(spark, sf):
+    """M1: counts and positive mutual information of words that stand within four places of each other."""
+    rows = stage(_words(spark, sf))
+    matrix = V.ppmi(V.cooccurrences(rows.withColumn("tokens", V.word_keys(F.col("words")))))
+    names = stage(rows.select(F.explode("words").alias("word")).distinct().select("word", F.xxhash64("word").alias("key")))
+    named = matrix.join(names.select(F.col("key").alias("a"), F.col("word").alias("word_a")), "a").join(names.select(F.col("key").alias("b"), F.col("word").alias("word_b")), "b")
+    return named.select("word_a", "word_b", *_big("n"), F.round("value", 6).alias("ppmi"))
+
+
+def q_learned_vectors(spark, sf):
+    """M1: the learned vector of every word, a row per dimension."""
+    rows = stage(_words(spark, sf).withColumn("tokens", V.word_keys(F.col("words"))))
+    names = rows.select(F.explode("words").alias("word")).distinct().select("word", F.xxhash64("word").alias("key"))
+    return V.learn_vectors(rows.drop("words")).join(names, "key").select("word", F.posexplode("v").alias("dim", "value"))
+
+
+def q_subword_counts(spark, sf):
+    """M1: each text's subwords, whole and in the encoder's window (the start mark included)."""
+    rows = stage(P.training_rows(spark, sf).select("xmi", "round", "section", "text"))
+    whole = SW.with_subwords(rows, max_tokens=None).select("xmi", "round", "section", F.size("tokens").alias("n"))
+    window = SW.with_subwords(rows).select("xmi", "round", "section", F.size("tokens").alias("n_window"), F.xxhash64("tokens").alias("ids_hash"))
+    return whole.join(window, ["xmi", "round", "section"]).select("xmi", "round", "section", *_big("n", "n_window"), "ids_hash")
+
+
 QUERIES.update({
+    "cooccurrence": q_cooccurrence,
+    "learned_vectors": q_learned_vectors,
+    "subword_counts": q_subword_counts,
     "group_class_counts": q_group_class_counts,
     "group_folds": q_group_folds,
+    "balanced_folds": q_balanced_folds,
     "split_assign": q_split_assign,
     "balance_gate": q_balance_gate,
     "note_truth": q_note_truth,
@@ -427,10 +487,31 @@ def q_score_splits(spark, sf):
 def q_train_mlp(spark, sf):
     """M2: AUC of the first setting's last epoch by split."""
     perf, scores = TRN.run_grid(spark, sf)
-    last = stage(scores.where((F.col("run") == 0) & (F.col("epoch") == TR.param_grid()[0]["epochs"])))
+    last = stage(scores.where((F.col("run") == 0) & (F.col("epoch") == TR.param_grid()[0]["epochs"] - 1)))
     return M.exact_auc(last).join(last.groupBy("split").agg(F.count(F.lit(1)).cast("bigint").alias("n")), "split")
 
 
+def q_fit_trace(spark, sf):
+    """A10 after every epoch of every run, training and validation rows."""
+    trace = TRN.fit_trace(TRN.run_grid(spark, sf)[1])
+    return trace.select("run", "epoch", "split", *[F.round(c, 6).alias(c) for c in ("accuracy", "precision", "recall", "auc")])
+
+
+def q_running_metrics(spark, sf):
+    """A10 on a score that SQL can express."""
+    got = M.running_metrics(stage(_scored(spark, sf)))
+    return got.select("split", *[F.round(c, 6).alias(c) for c in ("accuracy", "precision", "recall", "auc")])
+
+
+SEARCHED = range(20, 40)
+
+
+def q_split_search(spark, sf):
+    """Positives in test and validation of 20 split numbers, and whether they pass."""
+    folds = FO.folds_of_seeds(FO.group_class_counts(_labels(spark, sf)), SEARCHED)
+    return FO.seed_gates(stage(folds)).select(F.col("random_number").cast("bigint").alias("random_number"), "pos_test", "pos_val", "passed")
+
+
 def q_performance_counts(spark, sf):
     """M8's settings and twelve count columns, which don't depend on the fit."""
     return TRN.performance_counts(stage(_split_rows(spark, sf)), TR.param_grid()[0], FOLD_SEED)
@@ -446,6 +527,9 @@ QUERIES.update({
     "score_splits": q_score_splits,
     "epoch_trace": q_epoch_trace,
     "performance_table": q_performance_table,
+    "fit_trace": q_fit_trace,
+    "running_metrics": q_running_metrics,
+    "split_search": q_split_search,
     "performance_counts": q_performance_counts,
     "score_rows": q_score_rows,
 })

@@ -111,6 +111,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt over all slots where the scan has fewer partitions than the session has slots.
+
+    For row-local work that costs far more than a shuffle of its rows: a file of one row group is one partition, however
+    many slots are free. A table of many row groups has partitions enough and is left as it is.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
+
+
 _STAGED: list[str] = []
 
 

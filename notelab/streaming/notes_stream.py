@@ -5,7 +5,7 @@ the same column functions run unchanged on a file stream.  Labels need the annot
 and a max per note; ``foreachBatch`` applies the batch operators to each micro-batch (a
 right join of the batch's names: a note is labelled when it arrives, against the annotation rows that
 are staged once, before the stream starts; a note that arrives before its annotation is written with
-NULL labels).
+NULL labels; ``label_state`` labels it when the annotation comes).
 Checkpoint locations default to a folder under the session's ``spark.checkpoint.dir``.
 """
 
@@ -35,12 +35,24 @@ def note_file_stream(spark: SparkSession, path: str, max_files_per_trigger: int
     return raw.select(name.alias("file"), F.get(folders, F.size(folders) - 2).alias("round"), note_body(F.col("value")).alias("note_des"))
 
 
+def xmi_file_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
+    """Stream of ``xmi, round, content`` (the first line) from ``*.xmi`` files arriving under ``path``."""
+    reader = (spark.readStream.format("text").option("wholetext", "true")
+              .option("pathGlobFilter", "*.xmi").option("recursiveFileLookup", "true"))
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
+    name = F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
+    folders = F.split(F.col("_metadata.file_path"), "/")
+    first_line = F.get(F.split(F.col("value"), r"\r\n|\r|\n"), 0)
+    return reader.load(path).select(name.alias("xmi"), F.get(folders, F.size(folders) - 2).alias("round"), first_line.alias("content"))
+
+
 def sectioned_stream(notes: DataFrame) -> DataFrame:
     """Notes table, sections and cleaned texts on a stream (no state, no shuffle)."""
     return N.clean_sections(N.add_sections(N.notes_table(notes)))
 
 
-def _checkpoint(spark: SparkSession, name: str) -> str:
+def checkpoint_folder(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{name}-{uuid.uuid4().hex[:8]}"
 
 
@@ -48,7 +60,7 @@ def write_sections(stream: DataFrame, out_path: str, checkpoint: str | None = No
     """Append cleaned sections to parquet; ``available_now`` processes what is there and stops."""
     spark = stream.sparkSession
     writer = (stream.writeStream.format("parquet").outputMode("append")
-              .option("checkpointLocation", checkpoint or _checkpoint(spark, "sections")))
+              .option("checkpointLocation", checkpoint or checkpoint_folder(spark, "sections")))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")
     return writer.start(out_path)
 
@@ -72,6 +84,6 @@ def label_batches(stream: DataFrame, xmi_docs: DataFrame, out_path: str, checkpo
 
     spark = stream.sparkSession
     writer = stream.writeStream.foreachBatch(handle).option(
-        "checkpointLocation", checkpoint or _checkpoint(spark, "labels"))
+        "checkpointLocation", checkpoint or checkpoint_folder(spark, "labels"))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")
     return writer.start()

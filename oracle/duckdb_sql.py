@@ -9,7 +9,7 @@ annotation documents) is shared with the Spark side.
 from __future__ import annotations
 
 from notelab.functions.vocab import (ENGLISH_STOP_WORDS, MAX_TOKENS, PARAM_GRID, SE_ABSENT, SE_PRESENT, SE_TAGS,
-                                     SPAN_OFFSET, TAG_VOCAB)
+                                     SPAN_OFFSET, TAG_VOCAB, TAKEN, TITLES)
 from notelab.sources.derived import NOTES_SQL, XMI_SQL
 
 WS = r"[\t-\r\x{1c}-\x{20}\x{85}\p{Z}]"
@@ -314,6 +314,29 @@ ORACLE["flagship"] = with_base(
     "CAST(count(DISTINCT mrn) AS BIGINT) AS n_patients FROM trainset GROUP BY section, y")
 
 
+def _title_list(select: str) -> str:
+    """Sections of a list of titles: the greedy pass as a walk over each note's numbered titles."""
+    listed = ", ".join(f"({i}, '{t}')" for i, t in enumerate(TITLES))
+    return "WITH RECURSIVE " + BASE.strip() + f"""
+, tl(i, name) AS (VALUES {listed}),
+nt AS (SELECT file, round, row_number() OVER () AS nid, lower(note_des) AS low FROM notes),
+cand AS (SELECT nid, name, strpos(low, name) - 1 AS st, strpos(low, name) - 1 + length(name) AS en, row_number() OVER (PARTITION BY nid ORDER BY strpos(low, name), i) AS k
+  FROM nt, tl WHERE strpos(low, name) > 0),
+two AS (SELECT *, lead(st) OVER w AS st2, lead(en) OVER w AS en2 FROM cand WINDOW w AS (PARTITION BY nid ORDER BY k)),
+step AS (SELECT nid, k, CASE WHEN st <= en2 AND st2 <= en THEN CASE WHEN en - st >= en2 - st2 THEN k ELSE k + 1 END ELSE k END AS keep,
+  CASE WHEN st <= en2 AND st2 <= en THEN k + 2 ELSE k + 1 END AS next FROM two),
+walk(nid, k) AS (SELECT nid, 1 FROM step WHERE k = 1 UNION ALL SELECT w.nid, s.next FROM walk w JOIN step s ON s.nid = w.nid AND s.k = w.k),
+won AS (SELECT c.nid, c.name, c.st, c.en, c.k FROM walk w JOIN step s ON s.nid = w.nid AND s.k = w.k JOIN cand c ON c.nid = s.nid AND c.k = s.keep),
+secs AS (SELECT nt.file, nt.round, won.*, coalesce(lead(st) OVER (PARTITION BY won.nid ORDER BY won.k), length(nt.low)) AS fin, nt.low FROM won JOIN nt USING (nid))
+""" + select
+
+
+ORACLE["title_list"] = _title_list("SELECT file, round, name AS section_name, CAST(st AS BIGINT) AS start_title, CAST(en AS BIGINT) AS end_title, CAST(en AS BIGINT) AS start_section, CAST(fin AS BIGINT) AS end_section FROM secs")
+ORACLE["title_list_extract"] = _title_list(
+    "SELECT file, round, CAST(row_number() OVER (PARTITION BY nid ORDER BY k) - 1 AS BIGINT) AS idx, substr(low, CAST(en AS BIGINT) + 1, CAST(greatest(fin - en, 0) AS BIGINT)) AS text FROM secs "
+    f"WHERE name IN ({', '.join(repr(t) for t in TAKEN)})")
+
+
 def _hash_int(expr: str) -> str:
     return f"CAST(('0x' || substr(md5({expr}), 1, 8)) AS BIGINT)"
 
@@ -398,9 +421,31 @@ ORACLE.update({
         _VEC + ", tot AS (SELECT xmi, round, section, sum(value) AS s FROM pooled GROUP BY xmi, round, section) "
         f"SELECT t.xmi, t.round, t.note_id, t.section, t.mrn, CAST(t.y AS BIGINT) AS y, {ntok('t.text')} AS n_tokens, "
         "round(coalesce(tot.s, 0), 4) + 0.0 AS feature_sum FROM trainset t LEFT JOIN tot ON t.xmi = tot.xmi AND t.round = tot.round AND t.section = tot.section"),
+    "cooccurrence": with_base(
+        f", wl AS (SELECT row_number() OVER () AS rid, {toks('text')} AS w FROM trainset), "
+        "wp AS (SELECT rid, unnest(w) AS t, unnest(range(1, len(w) + 1)) AS i FROM wl), "
+        "near AS (SELECT x.t AS a, y.t AS b FROM wp x JOIN wp y ON x.rid = y.rid AND y.i - x.i BETWEEN 1 AND 4), "
+        "cc AS (SELECT a, b, count(*) AS n FROM (SELECT a, b FROM near UNION ALL SELECT b, a FROM near) GROUP BY a, b), "
+        "cs AS (SELECT a, sum(n) AS s FROM cc GROUP BY a), tot AS (SELECT sum(s) AS total FROM cs), "
+        "pm AS (SELECT cc.a, cc.b, cc.n, ln(cc.n * CAST(total AS DOUBLE) / (CAST(x.s AS DOUBLE) * CAST(y.s AS DOUBLE))) AS v FROM cc JOIN cs x ON x.a = cc.a JOIN cs y ON y.a = cc.b, tot) "
+        "SELECT a AS word_a, b AS word_b, CAST(n AS BIGINT) AS n, round(v, 6) AS ppmi FROM pm WHERE v > 0"),
     "performance_counts": with_folds(
         _SPLIT_COUNTS + _GATE + f"SELECT '{_GRID['model_type']}' AS model_type, CAST({_GRID['lr']} AS DOUBLE) AS lr, CAST({_GRID['batch_size']} AS BIGINT) AS batch_size, "
         f"CAST({_GRID['dense_node']} AS BIGINT) AS dense_node, CAST(0 AS BIGINT) AS seed, CAST(22 AS BIGINT) AS random_number, CAST({_GRID['do']} AS DOUBLE) AS \"do\", "
-        f"CAST(e.epoch AS BIGINT) AS epoch, {_COUNTS} FROM sc JOIN pc ON sc.split = pc.split, gate, range(1, {_GRID['epochs'] + 1}) e(epoch) WHERE gate.passed GROUP BY e.epoch"),
+        f"CAST(e.epoch AS BIGINT) AS epoch, {_COUNTS} FROM sc JOIN pc ON sc.split = pc.split, gate, range(0, {_GRID['epochs']}) e(epoch) WHERE gate.passed GROUP BY e.epoch"),
+    "running_metrics": with_folds(
+        ", thr AS (SELECT i, CASE i WHEN 0 THEN -1e-7 WHEN 199 THEN 1 + 1e-7 ELSE CAST(i AS DOUBLE) / 199 END AS t FROM range(0, 200) r(i)), "
+        "pts AS (SELECT split, i, count(*) FILTER (score > t AND y = 1) AS tp, count(*) FILTER (score > t AND y <> 1) AS fp FROM scored, thr GROUP BY split, i), "
+        "area AS (SELECT *, (fp - lead(fp) OVER w) * (tp + lead(tp) OVER w) / 2 AS a FROM pts WINDOW w AS (PARTITION BY split ORDER BY i)), "
+        "au AS (SELECT split, sum(a) / nullif(max(tp) * max(fp), 0) AS auc FROM area GROUP BY split), "
+        "fm AS (SELECT split, count(*) AS n, count(*) FILTER (score > 0.5 AND y = 1) AS tp, count(*) FILTER (score > 0.5) AS pp, count(*) FILTER (y = 1) AS p, "
+        "count(*) FILTER ((score > 0.5) = (y = 1)) AS correct FROM scored GROUP BY split) "
+        "SELECT fm.split, round(correct / n, 6) AS accuracy, round(tp / nullif(pp, 0), 6) AS precision, round(tp / nullif(p, 0), 6) AS recall, round(auc, 6) AS auc FROM fm JOIN au USING (split)"),
+    "split_search": with_folds(
+        ", every AS (SELECT g.*, s.seed, md5(CAST(s.seed AS VARCHAR) || ':' || patient) AS hh, CASE WHEN pos > 0 THEN 1 ELSE 0 END AS st FROM gcc g, range(20, 40) s(seed)), "
+        "place AS (SELECT *, row_number() OVER (PARTITION BY seed, st ORDER BY pos DESC, n DESC, hh, patient) - 1 AS r FROM every), "
+        "dealt AS (SELECT seed, pos, CASE WHEN (r // 5) % 2 = 0 THEN r % 5 ELSE 4 - r % 5 END AS fold FROM place) "
+        "SELECT CAST(seed AS BIGINT) AS random_number, CAST(sum(CASE WHEN fold = 0 THEN pos ELSE 0 END) AS BIGINT) AS pos_test, CAST(sum(CASE WHEN fold = 1 THEN pos ELSE 0 END) AS BIGINT) AS pos_val, "
+        "abs(sum(CASE WHEN fold = 0 THEN pos ELSE 0 END) - sum(CASE WHEN fold = 1 THEN pos ELSE 0 END)) < 10 AS passed FROM dealt GROUP BY seed"),
     "score_rows": with_folds(_GATE + "SELECT xmi, round, note_id, section, split, CAST(y AS BIGINT) AS y FROM splits, gate WHERE gate.passed"),
 })

@@ -72,3 +72,52 @@ def test_sections_properties(spark, texts):
             assert getattr(r, name) == want
         if not r.sections:
             assert r.subjective == low
+
+
+# ---------------------------------------------------------------- lists of titles
+
+def _greedy(text, titles):
+    """The section rows of one text by plain loops; overlaps at the end keep the longer title."""
+    found = sorted((text.find(t), i, t) for i, t in enumerate(titles) if t in text)
+    kept, i = [], 0
+    spans = [(s, s + len(t), t) for s, _, t in found]
+    while i < len(spans):
+        if i + 1 < len(spans) and spans[i][0] <= spans[i + 1][1] and spans[i + 1][0] <= spans[i][1]:
+            a, b = spans[i], spans[i + 1]
+            kept.append(a if a[1] - a[0] >= b[1] - b[0] else b)
+            i += 2
+        else:
+            kept.append(spans[i])
+            i += 1
+    ends = [k[0] for k in kept[1:]] + [len(text)]
+    return [(t, s, e, e, f) for (s, e, t), f in zip(kept, ends)]
+
+
+def test_title_lists_against_loops(spark):
+    import random
+    rng = random.Random(4)
+    titles = ["plan", "plan and", "and plan", "assessment", "assessment and plan", "s", "it's", "a\\b", "ent", "n and", "zzz"]
+    texts = ["".join(rng.choice([*titles, " ", "x", "\n"]) for _ in range(rng.randrange(12))) for _ in range(200)] + ["", None, "plan", "planplan and plan"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
+    got = {r.id: [tuple(s) for s in r.sections] for r in S.with_title_sections(df, "text", titles).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == (_greedy(t, titles) if t else [])
+
+
+def test_sections_to_take_and_empty_ones(spark):
+    df = spark.createDataFrame([("one: a two:three: c",)], "text string")
+    titles = ["one:", "two:", "three:"]
+
+    def texts(**kw):
+        found = S.with_title_sections(df, "text", titles)
+        return found.select(S.section_texts(F.col("text"), F.col("sections"), **kw).alias("t")).first().t
+    kept = S.with_title_sections(df, "text", titles).first().sections
+    assert [s.section_name for s in kept] == ["one:", "three:"]  # titles that touch count as overlapping
+    spaced = df.select(F.lit("one:x two: three:").alias("text"))
+    found = S.with_title_sections(spaced, "text", ["one:", "two: ", "three:"])
+    assert [s.section_name for s in found.first().sections] == ["one:", "three:"]
+    assert texts() == [" a two:", " c"] and texts(sections_list=["three:"]) == [" c"] and texts(sections_list=["no"]) == []
+    last = spark.createDataFrame([("one: a three:",)], "text string")
+    empty = S.extract(last, "text", titles, delete_empty=False).first()
+    assert empty.section_texts == [" a ", ""] and S.extract(last, "text", titles).first().section_texts == [" a "]
+    assert S.extract(last, "text", titles, ["three:"], delete_empty=False).first().section_texts == [""]
