@@ -30,22 +30,39 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return left.select(docs.columns)
 
 
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The documents with a key of id and text, so that rows that share an id (or have none) are told apart; and its name."""
+    key = fresh(docs, "row_key")
+    return docs.withColumn(key, F.xxhash64("doc_id", "text")), key
+
+
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 8: of documents linked by five-word shingles (Jaccard 0.8 or more) the smallest id stays, once.
+    """Operator 8: of documents linked by five-word shingles (Jaccard 0.8 or more) that with the smallest id stays, once.
 
-    Documents without an id link with nothing and stay.
+    Rows are told apart by id and text: rows of one id with unlike texts all stay, and rows without an id are copies of
+    others like any row (one with an id stays before one without). Rows without a word link with nothing and stay.
     """
-    groups = Scratch(spark, "near-copies").stage(jaccard_components(docs, k=5, p=80, q=100), "groups")
-    copies = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id")
-    twice = groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    touched, rest = apart(docs, "doc_id", copies.union(twice))
-    return touched.join(copies, "doc_id", "left_anti").dropDuplicates(["doc_id"]).select(docs.columns).unionByName(rest)
+    keyed, key = _keyed(docs)
+    scratch = Scratch(spark, "near-copies")
+    groups = scratch.stage(jaccard_components(keyed.select(key, "text"), k=5, p=80, q=100, id_col=key).where("n_shingles > 0"), "groups")
+    linked = groups.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1").select("component_id")
+    members = groups.join(linked, "component_id").select("component_id", F.col("doc_id").alias(key)).distinct()
+    named = members.join(keyed.select(key, "doc_id").distinct(), key)
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", key)).alias("first"))
+    copies = scratch.stage(members.join(first, "component_id").where(F.col(key) != F.col(f"first.{key}")).select(key), "copies")
+    twice = groups.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    touched, rest = apart(keyed, key, copies.union(twice))
+    mark = fresh(keyed, "twice")
+    once = touched.join(twice.select(F.col("doc_id").alias(key), F.lit(True).alias(mark)), key, "left")
+    kept = once.where(F.col(mark)).dropDuplicates([key]).unionByName(once.where(F.col(mark).isNull())).drop(mark)
+    return kept.join(copies, key, "left_anti").select(docs.columns).unionByName(rest.select(docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 4: documents that hold a benchmark item go."""
-    leaks = contaminated(docs, read(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return without(docs, "doc_id", Scratch(spark, "leaks").stage(leaks, "ids"))
+    """Operator 4: documents that hold a benchmark item go; rows are told apart by id and text, also those without an id."""
+    keyed, key = _keyed(docs)
+    leaks = contaminated(keyed.select(key, "text"), read(spark, sf_dir, "benchmark"), id_col=key).select("doc_id").distinct()
+    return without(keyed, key, Scratch(spark, "leaks").stage(leaks, "ids")).select(docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
