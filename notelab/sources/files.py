@@ -1,4 +1,4 @@
-"""File scans and sinks.
+"""File scans and sinks.
 
 A directory tree of note files (``*.txt``) or annotation files (``*.xmi``) is read with one
 distributed scan; every file becomes one row (``wholetext``), so files are spread over tasks
@@ -58,3 +58,16 @@ def union_rounds(frames: Sequence[DataFrame]) -> DataFrame:
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """CSV with a header row, one file per task."""
     df.write.mode(mode).option("header", True).csv(path)
+
+
+def read_exclusions(spark: SparkSession, paths: str | Sequence[str], header: bool = True, sep: str = ",") -> DataFrame:
+    """The exclusion list, one ``mrn`` per row: the first column of one or more delimited files.
+
+    Values are compared as text, without the spaces around them; empty ones and repeats are left out.
+    """
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    rows = spark.read.option("header", header).option("sep", sep).option("inferSchema", False).csv(paths)
+    if not rows.columns:
+        return spark.createDataFrame([], "mrn string")
+    mrn = F.trim(F.col(f"`{rows.columns[0]}`"))
+    return rows.select(mrn.alias("mrn")).where(F.col("mrn") != "").distinct()

@@ -84,3 +84,18 @@ def test_training_rows_from_files_and_span_export(spark, tmp_path):
     P.export_spans(spark, f"{root}/ann", str(tmp_path / "spans"))
     back = spark.read.option("header", True).csv(str(tmp_path / "spans")).collect()
     assert [(r.file, r.tag, r.begin, r.end) for r in back] == [("12_a1", "SE_psych", "80", "84")]
+
+
+def test_exclusion_list(spark, tmp_path):
+    from notelab.operators.dataset import exclude_groups
+    with open(tmp_path / "list.csv", "w") as f:
+        f.write("mrn,why\n 007 ,a\n12,b\n12,c\n,d\n")
+    listed = FS.read_exclusions(spark, str(tmp_path / "list.csv"))
+    assert sorted(r.mrn for r in listed.collect()) == ["007", "12"]
+    rows = spark.createDataFrame([("12", 1), ("7", 2), (None, 3)], "mrn string, i int")
+    assert sorted(r.i for r in exclude_groups(rows, listed).collect()) == [2, 3]
+    with open(tmp_path / "plain.txt", "w") as f:
+        f.write("5\n6\n")
+    assert sorted(r.mrn for r in FS.read_exclusions(spark, str(tmp_path / "plain.txt"), header=False).collect()) == ["5", "6"]
+    open(tmp_path / "none.csv", "w").close()
+    assert FS.read_exclusions(spark, str(tmp_path / "none.csv")).collect() == []
