@@ -157,8 +157,9 @@ class Conversation:
         return self.spill() if self.held is None and len(self.choices) >= limits[2] else []
 
     def spill(self) -> list[tuple]:
+        """The choices so far as a row whose chunk is the number of their first row."""
         out = [self.row({"chunk": self.chunk, "choices": np.array(self.choices, dtype="<u4").tobytes()})]
-        self.chunk, self.choices = self.chunk + 1, array("I")
+        self.chunk, self.choices = self.chunk + len(self.choices), array("I")
         return out
 
     def close(self, moves: Moves) -> list[tuple]:
@@ -213,13 +214,13 @@ def _backwards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Chunks of choices, last first, to one row per conversation row: (conv, at, choice); the last state comes as at = -1."""
     conv, state = (), 0
     for batch in batches:
-        for c, chunk, size, choices in zip(batch["conv"], batch["chunk"], batch["size"], batch["choices"], strict=True):
+        for c, chunk, choices in zip(batch["conv"], batch["chunk"], batch["choices"], strict=True):
             if (c,) != conv:
                 conv, state = (c,), choices[0]
                 yield pd.DataFrame({"conv": [c], "at": [-1], "choice": [state]}, dtype=object)
                 continue
             done, state = trace(np.frombuffer(choices, dtype="<u4").tolist(), state)
-            yield pd.DataFrame({"conv": pd.Series([c] * len(done), dtype=object), "at": np.arange(len(done)) + int(chunk) * int(size), "choice": np.frombuffer(bytes(done), dtype=np.uint8).astype(np.int32)})
+            yield pd.DataFrame({"conv": pd.Series([c] * len(done), dtype=object), "at": np.arange(len(done)) + int(chunk), "choice": np.frombuffer(bytes(done), dtype=np.uint8).astype(np.int32)})
 
 
 def _forwards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -277,9 +278,9 @@ def _ordered(rows: DataFrame) -> DataFrame:
         F.when(initial == "s", 0).when(initial == "u", 1).when(initial == "a", 2).otherwise(3).alias("initial"), fault.alias("fault"), "role", "text", "again", "live")
 
 
-def _giants(rows: DataFrame, spilled: DataFrame, scratch: Scratch, limits: tuple[int, int, int]) -> DataFrame:
+def _giants(rows: DataFrame, spilled: DataFrame, scratch: Scratch) -> DataFrame:
     """(conv, audit, repaired_sha256) of the conversations whose choices were spilled."""
-    chunks = spilled.select("conv", "chunk", F.lit(limits[2]).alias("size"), "choices").repartition("conv").sortWithinPartitions("conv", F.desc("chunk"))
+    chunks = spilled.select("conv", "chunk", "choices").repartition("conv").sortWithinPartitions("conv", F.desc("chunk"))
     choices = scratch.stage(chunks.mapInPandas(_backwards, "conv string, at long, choice int"), "choices")
     keys = spilled.select("conv").distinct()
     own = rows.where("live").alias("r").join(keys.alias("k"), F.expr("r.conv <=> k.conv"), "left_semi")
@@ -302,7 +303,7 @@ def repair(rows: DataFrame, held_rows: int = HELD_ROWS, held_chars: int = HELD_C
     if spilled.isEmpty():
         return done
     long = spilled.where(F.col("cost").isNotNull()).drop("audit", "repaired_sha256")
-    written = _giants(rows, spilled, scratch, limits)
+    written = _giants(rows, spilled, scratch)
     return done.unionByName(long.alias("a").join(written.alias("w"), F.expr("a.conv <=> w.conv")).select(*[f"a.{f}" for f in fields[:-2]], "w.audit", "w.repaired_sha256"))
 
 
