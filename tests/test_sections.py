@@ -1,5 +1,6 @@
 """Section finder goldens (P11-P19, O1, W1, W2) and properties."""
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -121,3 +122,18 @@ def test_sections_to_take_and_empty_ones(spark):
     empty = S.extract(last, "text", titles, delete_empty=False).first()
     assert empty.section_texts == [" a ", ""] and S.extract(last, "text", titles).first().section_texts == [" a "]
     assert S.extract(last, "text", titles, ["three:"], delete_empty=False).first().section_texts == [""]
+
+
+@pytest.mark.parametrize("name", ["title_list", "title_list_extract"])
+def test_titles_are_searched_once(spark, name):
+    """The search stands once in the plan: not again in a filter that the planner infers from the explode and pushes down."""
+    import __spark_entry__ as E
+    plan = E.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("instr(") == 1
+
+
+def test_a_filter_on_sections_repeats_the_search_once(spark):
+    df = spark.createDataFrame([("one: a two: b",), (None,), ("",)], "text string").repartition(2)
+    found = S.with_title_sections(df, "text", ["one:", "two:"]).select(F.explode("sections").alias("s")).select("s.section_name")
+    assert sorted(r[0] for r in found.collect()) == ["one:", "two:"]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("instr(") <= 3
