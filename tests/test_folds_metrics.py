@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from pyspark.sql import functions as F
 
 from notelab.operators import folds as FO
@@ -91,3 +93,16 @@ def test_splits_gate_and_fit_metrics(spark):
     fm = {r.split: r for r in M.fit_metrics(split).collect()}
     assert (fm["train"].accuracy, fm["train"].precision, fm["train"].recall) == (0.0, 0.0, 0.0)
     assert fm["test"].accuracy == 1.0 and fm["val"].precision is None
+
+
+def test_auc_of_many_groups_in_many_ranges(spark):
+    """A row's work doesn't grow with the number of ranges: no list of bounds is searched per row."""
+    rng = np.random.default_rng(4)
+    rows = [(int(g), int(y), float(s)) for g, y, s in zip(rng.integers(0, 9, 600), rng.integers(0, 2, 600), rng.integers(0, 40, 600) / 40)]
+    made = M.exact_auc(spark.createDataFrame(rows, "g int, y int, score double"), by=["g"], scores_per_range=5)
+    for r in made.collect():
+        pos, neg = ([s for g, y, s in rows if g == r.g and y == c] for c in (1, 0))
+        want = sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / (len(pos) * len(neg))
+        assert abs(r.auc - want) < 1e-12
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile" not in plan and "_bounds" not in plan
