@@ -161,3 +161,37 @@ def test_pairwise_threshold_is_the_quantile():
 def test_features_of_awkward_texts():
     t = Tokens(*buffers(pa.array([t for _, t, _, _ in awkward()], pa.string())), lower=False)
     assert np.isfinite(quality.features(t)).all()
+
+
+def test_quality_learns_from_every_labelled_row(spark, monkeypatch):
+    """All pairs of a block, none sampled: blocks in Spark give the plain sums, and a row that a sample leaves out changes the model."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, quality.WIDTH))
+    y = (x[:, 0] + 0.5 * rng.normal(size=400) > 0.8).astype(int)
+    frame = spark.createDataFrame([(i, r.tolist(), int(c)) for i, (r, c) in enumerate(zip(x, y))], "doc_id long, x array<double>, y int").repartition(3)
+    want, got = quality.fit(x, y, 0.3, 0.7), quality.fit_rows(frame, 0.3, 0.7)
+    for k in want:
+        np.testing.assert_allclose(got[k], want[k], rtol=1e-6, atol=1e-8)
+    pairs = quality.pair_sums(x[y == 1], x[y == 0], want["w"])
+    d = (x[y == 1][:, None] - x[y == 0]).reshape(-1, quality.WIDTH)
+    p = 1 / (1 + np.exp(-np.clip(d @ want["w"], -30, 30)))
+    np.testing.assert_allclose(pairs[0], len(d))
+    np.testing.assert_allclose(pairs[1 : 1 + quality.WIDTH], d.T @ (p - 1), rtol=1e-9, atol=1e-8)
+    np.testing.assert_allclose(pairs[1 + quality.WIDTH :], ((d * (p * (1 - p))[:, None]).T @ d).ravel(), rtol=1e-9, atol=1e-8)
+    monkeypatch.setattr(quality, "BLOCK", 10)  # many blocks, with the smaller class in each
+    dealt = quality._blocks(frame, {0: int((y == 0).sum()), 1: int((y == 1).sum())}).groupBy("block", "part").agg({"y": "max", "doc_id": "count"}).collect()
+    assert len(dealt) > 3 and all(r["max(y)"] == 1 for r in dealt)
+    few = spark.createDataFrame([(i, [float(i)] * quality.WIDTH, int(i < 3)) for i in range(300)], "doc_id long, x array<double>, y int")
+    parts = quality._blocks(few, {0: 297, 1: 3})
+    assert parts.where("y = 0").count() == 297 and parts.where("y = 1").count() == 3 * parts.select("block", "part").distinct().count()
+
+
+def test_quantile_is_exact(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    s, y = np.round(rng.normal(size=30_000), 4), rng.integers(0, 2, 30_000)
+    frame = spark.createDataFrame(list(zip(y.tolist(), s.tolist())), "y int, s double")
+    order = np.argsort(s, kind="stable")
+    share = np.cumsum(np.where(y == 0, 0.4 / (y == 0).sum(), 0.6 / (y == 1).sum())[order])
+    here = s[order][np.searchsorted(share, 0.4)]
+    want = (here + s[s > here].min()) / 2
+    assert abs(quality._quantile(frame, 0.4, 0.4 / (y == 0).sum(), 0.6 / (y == 1).sum()) - want) < 1e-9
