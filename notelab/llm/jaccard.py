@@ -3,7 +3,7 @@
 All sets are sorted by one global order (estimated frequency class, then hash). If two sets are similar enough, their
 l-prefixes (the base prefix |x| - ceil(t|x|) + 1 lengthened by l - 1 tokens) share at least l tokens. Every document
 chooses its own l from 1 to ``max_matches``, where the estimated cost of its index entries plus that of its candidates
-is least; a pair must share min(l_x, l_y) tokens among the prefix tokens of that level before it is verified.
+is least; a pair must share as many tokens as its two sizes and prefix lengths demand before it is verified.
 
 Steps, each a Spark job over all documents:
 
@@ -15,7 +15,9 @@ Steps, each a Spark job over all documents:
    lists, in a group of near copies likely the text that the others were made from, and two pseudorandom holders, the
    same ones for all lists that hold them); components of these links follow.
 5. Pairs of *different* components that share enough prefix tokens are all verified, so no link that could join two
-   components is lost, while a group of thousands of near copies isn't expanded into all its pairs.
+   components is lost, while a group of thousands of near copies isn't expanded into all its pairs. A pair must come up
+   at its first common token only: rows carry their document's preceding tokens, and a token that follows a common one
+   closely makes no row, so a pair makes about one row, not one per common token.
 6. Components of all links, spread back to the copies.
 
 Before sets are compared, pairs must pass an exact bound: the parity bitmaps of two sets (512 bits in the join, 1024 bits
@@ -44,6 +46,8 @@ from notelab.llm.words import Tokens, mix, powers, tokens, windows
 
 SKETCH_BITS = 18
 PARITY_BITS = 1024
+#: Preceding tokens of its document that a row of the token join carries.
+BEFORE = 4
 
 
 def shingle_sets(t: Tokens, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -123,15 +127,16 @@ def choose_matches(freq: np.ndarray, base: int, overlap: int, max_matches: int,
 
 
 def _prefixes(k: int, p: int, q: int, max_matches: int, verify_cost: float, sketch, wanted):
-    """(token, doc_id, meta) for the adaptive prefix of each wanted document.
+    """(token, doc_id, meta, place) for the adaptive prefix of each wanted document.
 
-    meta packs set size (bits 32 up), list length on a log scale (16 to 31), l (8 to 15) and token level (0 to 7).
+    meta packs set size (bits 32 up), list length on a log scale (16 to 31) and l (8 to 15); place counts from 0 in the
+    document's whole set.
     """
-    schema = pa.schema([("token", pa.int64()), ("doc_id", pa.int64()), ("meta", pa.int64())])
+    schema = pa.schema([("token", pa.int64()), ("doc_id", pa.int64()), ("meta", pa.int64()), ("place", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = sketch.value
-        cls = np.log2(seen + 1.0).astype(np.uint64) << np.uint64(58)
+        cls = np.minimum(np.log2(seen + 1.0), 31).astype(np.uint64) << np.uint64(58)  # keys are in order as signed numbers too
         keep = np.unpackbits(wanted.value, bitorder="little").view(bool)
         for batch in batches:
             batch = batch.filter(batch.column(0).is_valid())
@@ -142,7 +147,7 @@ def _prefixes(k: int, p: int, q: int, max_matches: int, verify_cost: float, sket
                 sets, at = shingle_sets(t, k)
                 counter = (sets >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
                 key = cls[counter] | (sets >> np.uint64(6))
-                out_t, out_d, out_m = [], [], []
+                out_t, out_d, out_m, out_p = [], [], [], []
                 for r in range(b - a):
                     n = int(at[r + 1] - at[r])
                     if not n:
@@ -154,14 +159,14 @@ def _prefixes(k: int, p: int, q: int, max_matches: int, verify_cost: float, sket
                     order = np.argsort(mine)
                     l, lists = choose_matches(freq[order[: base + max_matches]], base, overlap, max_matches, verify_cost)
                     take = mine[order[: base + l - 1]]
-                    level = np.maximum(np.arange(len(take)) - base + 2, 1)
                     out_t.append(take)
                     out_d.append(np.full(len(take), ids[r]))
-                    out_m.append((n << 32) + (int(min(65535, 1000 * np.log2(lists + 1))) << 16) + (l << 8) + level)
+                    out_m.append(np.full(len(take), (n << 32) + (int(min(65535, 1000 * np.log2(lists + 1))) << 16) + (l << 8)))
+                    out_p.append(np.arange(len(take), dtype=np.int32))
                 if out_t:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_t).view(np.int64)), pa.array(np.concatenate(out_d)), pa.array(np.concatenate(out_m))], schema=schema)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_t).view(np.int64)), pa.array(np.concatenate(out_d)), pa.array(np.concatenate(out_m)), pa.array(np.concatenate(out_p))], schema=schema)
 
-    return run, "token long, doc_id long, meta long"
+    return run, "token long, doc_id long, meta long, place int"
 
 
 def _sets_of(k: int, wanted):
@@ -193,8 +198,28 @@ def _matches(meta) -> F.Column:
     return F.shiftright(meta, 8).bitwiseAND(F.lit(255))
 
 
-def _level(meta) -> F.Column:
-    return meta.bitwiseAND(F.lit(255))
+def _overlap(nx, ny, p: int, q: int) -> F.Column:
+    """The elements that sets of these sizes must share to reach the threshold."""
+    return F.ceil(F.lit(p) * (nx + ny) / F.lit(p + q))
+
+
+def first_common(tokens: DataFrame, p: int, q: int, *conditions) -> DataFrame:
+    """Pairs (a, b) of documents of different ``c``, some more than once, from (token, doc_id, meta, place, before, c, ...) rows.
+
+    A pair that reaches the threshold comes up at its first common token: what precedes it in either set is not in the
+    other, so the two places sum up to no more than the elements in which the sets may differ. That token has no common
+    one before it; a token that has one among the ``before`` of both rows is a later one and makes no row. Conditions
+    are functions of the two rows' columns that hold for every pair which reaches the threshold.
+    """
+    x, y = (tokens.select("token", *[F.col(n).alias(n + s) for n in tokens.columns if n != "token"]) for s in "xy")
+    c = F.col
+    nx, ny = _size(c("metax")), _size(c("metay"))
+    on = (x["token"] == y["token"]) & (c("cx") < c("cy")) & (F.lit(q) * F.least(nx, ny) >= F.lit(p) * F.greatest(nx, ny))
+    on = on & (c("placex") + c("placey") <= nx + ny - 2 * _overlap(nx, ny, p, q))
+    for condition in conditions:
+        on = on & condition(lambda name: c(name + "x"), lambda name: c(name + "y"))
+    on = on & ~F.arrays_overlap("beforex", "beforey")
+    return x.join(y, on).select(F.least("doc_idx", "doc_idy").alias("a"), F.greatest("doc_idx", "doc_idy").alias("b"))
 
 
 def possible(nx, ny, differing, p: int, q: int) -> F.Column:
@@ -202,12 +227,30 @@ def possible(nx, ny, differing, p: int, q: int) -> F.Column:
     return F.lit(q) * (nx + ny - differing) >= F.lit(p) * (nx + ny + differing)
 
 
-def verified(pairs: DataFrame, texts: DataFrame, bits: DataFrame, scratch: Scratch, k: int, p: int, q: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach the threshold, by exact intersection of the whole sets."""
+def sharing(pairs: DataFrame, tokens: DataFrame, p: int, q: int) -> DataFrame:
+    """The pairs (a, b) that share as many prefix tokens as they must.
+
+    Sets of n elements that share o hold their first l common tokens within their first n - o + l, so prefixes of L
+    tokens share at least L - n + o, for the shorter one.
+    """
+    held = tokens.groupBy("doc_id", "meta").agg(F.collect_set("token").alias("held"))
+    x, y = (held.select(F.col("doc_id").alias(c), F.col("meta").alias(f"m{c}"), F.col("held").alias(f"held{c}")) for c in "ab")
+    na, nb = _size(F.col("ma")), _size(F.col("mb"))
+
+    def spare(n, meta):  # n - L, where L is n - ceil(p n / q) + l
+        return F.ceil(F.lit(p) * n / F.lit(q)) - _matches(meta)
+
+    need = _overlap(na, nb, p, q) - F.greatest(spare(na, F.col("ma")), spare(nb, F.col("mb")))
+    return pairs.join(x, "a").join(y, "b").where(F.size(F.array_intersect("helda", "heldb")) >= need).select("a", "b").distinct()
+
+
+def verified(pairs: DataFrame, texts: DataFrame, bits: DataFrame, scratch: Scratch, k: int, p: int, q: int, tokens: DataFrame | None = None) -> DataFrame:
+    """The pairs (a, b) whose sets reach the threshold, by exact intersection of the whole sets; with prefix tokens, pairs that share too few go before."""
     spark = pairs.sparkSession
     x, y = (bits.select(F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits{c}")) for c in "ab")
     differing = F.aggregate(F.zip_with("bitsa", "bitsb", lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda t, u: t + u)
-    pairs = scratch.stage(pairs.join(x, "a").join(y, "b").where(possible(F.col("na"), F.col("nb"), differing, p, q)).select("a", "b"), "pairs")
+    pairs = pairs.join(x, "a").join(y, "b").where(possible(F.col("na"), F.col("nb"), differing, p, q)).select("a", "b")
+    pairs = scratch.stage(pairs if tokens is None else sharing(pairs, tokens, p, q), "pairs")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     wanted = spark.sparkContext.broadcast(np.packbits(bitmap(ids, "doc_id"), bitorder="little"))
     run, schema = _sets_of(k, wanted)
@@ -261,15 +304,15 @@ def jaccard_components(docs: DataFrame, k: int = 5, p: int = 80, q: int = 100, m
     # all candidates across components
     folds = [F.expr(f"bits[{i}] ^ bits[{i + 8}]").alias(f"f{i}") for i in range(8)]  # 512 parity bits from 1024
     known = reps.join(label, c("rep") == c("node"), "left").select(c("rep").alias("doc_id"), F.coalesce("component", "rep").alias("c"), *folds)
-    mine = shared.select("token", "doc_id", "meta").join(known, "doc_id")
+    mine = shared.select("token", "doc_id", "meta", "place").join(known, "doc_id")
+    before = F.collect_list("token").over(W.partitionBy("doc_id").orderBy("token").rowsBetween(-BEFORE, -1))
+    mine = mine.withColumn("before", F.filter(before, lambda t: t < c("token")))  # repeated rows repeat the token
     mine = scratch.stage(mine.withColumn("lo", F.min("c").over(same)).withColumn("hi", F.max("c").over(same)).where("lo <> hi").drop("lo", "hi"), "across")
-    x, y = (mine.select("token", *[c(n).alias(m + s) for n, m in (("doc_id", "d"), ("meta", "m"), ("c", "c"), *((f"f{i}", f"f{i}") for i in range(8)))]) for s in "xy")
-    differing = sum((F.bit_count(c(f"f{i}x").bitwiseXOR(c(f"f{i}y"))) for i in range(8)), F.lit(0))
-    need = F.least(_matches(c("mx")), _matches(c("my")))
-    found = (x.join(y, (x["token"] == y["token"]) & (c("cx") < c("cy")) & (F.greatest(_level(c("mx")), _level(c("my"))) <= need) & alike(c("mx"), c("my"))
-                    & possible(_size(c("mx")), _size(c("my")), differing, p, q))
-             .groupBy(c("dx").alias("a"), c("dy").alias("b")).agg(F.count("*").alias("n"), F.min(need).alias("m")).where("n >= m").select("a", "b"))
-    more = verified(found, texts, reps, scratch, k, p, q)
+
+    def close(x, y):
+        return possible(_size(x("meta")), _size(y("meta")), sum((F.bit_count(x(f"f{i}").bitwiseXOR(y(f"f{i}"))) for i in range(8)), F.lit(0)), p, q)
+
+    more = verified(first_common(mine, p, q, close).distinct(), texts, reps, scratch, k, p, q, mine)
     label = scratch.stage(components(links.union(more), scratch), "labels")
     scratch.drop(shared, mine)
 

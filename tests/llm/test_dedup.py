@@ -13,7 +13,7 @@ sys.path.insert(0, os.path.dirname(__file__))
 from cases import ascii_lower, awkward, documents, empty, prose, words  # noqa: E402
 
 from notelab.llm.common import Scratch, components  # noqa: E402
-from notelab.llm.jaccard import choose_matches, jaccard_components, parity  # noqa: E402
+from notelab.llm.jaccard import choose_matches, first_common, jaccard_components, parity, sharing  # noqa: E402
 from notelab.llm.linedup import dedup_lines  # noqa: E402
 from notelab.llm.substring import dedup_substrings  # noqa: E402
 
@@ -59,6 +59,48 @@ def test_jaccard_group_of_near_copies(spark):
     assert sorted(key(r) for r in got) == brute_components(rows, 3, 90)
 
 
+def test_jaccard_family_just_under_the_threshold(spark):
+    """A pair that shares most tokens without linking makes a row or two of the token join, not one per shared token."""
+    rng, base, sets = np.random.default_rng(3), np.arange(1, 2001) * 7, {}
+    for i in range(12):
+        own = base.copy()
+        own[rng.choice(2000, 110, replace=False)] = 7 * rng.choice(np.arange(2, 2000), 110, replace=False) + 1 + i % 6
+        sets[i] = np.unique(own)
+    near = sets[0].copy()
+    near[rng.choice(len(near), 60, replace=False)] = 9_000_000 + np.arange(60)
+    sets[12] = np.unique(near)
+    rows, shared = [], 0
+    for i, own in sets.items():
+        n = len(own)
+        held = own[: n + 8 - -(-90 * n // 100)].tolist()
+        rows += [(t, i, (n << 32) + (8 << 8), j, i, held[max(0, j - 4) : j]) for j, t in enumerate(held)]
+    seen = Counter(r[0] for r in rows)
+    shared = sum(m * (m - 1) // 2 for m in seen.values())
+    schema = "token long, doc_id long, meta long, place int, c long, before array<long>"
+    tokens = spark.createDataFrame(rows, schema)
+    pairs = first_common(tokens, 90, 100)
+    assert shared > 5_000 and pairs.count() < 2 * len(sets) * (len(sets) - 1) // 2
+    links = {(a, b) for a in sets for b in sets if a < b and 100 * len(np.intersect1d(sets[a], sets[b])) >= 90 * len(np.union1d(sets[a], sets[b]))}
+    assert (0, 12) in links and len(links) < 40
+    assert links <= {tuple(r) for r in sharing(pairs.distinct(), tokens, 90, 100).collect()}
+    twice = spark.createDataFrame(rows + [r for r in rows if r[1] in (0, 12)], schema)  # repeated rows
+    assert links <= {tuple(r) for r in sharing(first_common(twice, 90, 100).distinct(), twice, 90, 100).collect()}
+
+
+def test_jaccard_texts_about_the_threshold(spark):
+    """Families whose texts differ from each other by about as much as they may, of several sizes."""
+    rows = []
+    for family, n in enumerate((60, 150, 400, 900)):
+        base = prose(700 + family, n).split()
+        for i in range(14):
+            w = list(base)
+            for j in range(max(1, n // 110 + i % 3 - 1)):
+                w[(n // 7 * i + 31 * j + 5) % n] = f"f{family}i{i}j{j}"
+            rows.append((1000 * family + i, " ".join(w[: n - i % 4]), "en", "a"))
+    got = jaccard_components(documents(spark, rows + rows[:5]), k=3, p=90).collect()
+    assert sorted(key(r) for r in got) == brute_components(rows + rows[:5], 3, 90)
+
+
 def test_jaccard_empty_table(spark):
     assert jaccard_components(empty(spark)).count() == 0
 
