@@ -167,6 +167,7 @@ def predict(w: dict, data: np.ndarray, offsets: np.ndarray, window: int, group:
             inside = t < n
             logits += np.take_along_axis(back, np.broadcast_to(np.where(inside, n - 1 - t, 0)[:, None], back.shape), axis=0)
             letter = (inside & _LETTER[data[np.where(inside, s + t, s)]]).astype(np.float32)
+        del back
         logits += w["o"][:, None]
         np.exp(logits, out=logits)
         logits *= (letter / logits.sum(axis=1))[:, None]  # each letter's probabilities; other bytes don't count
@@ -174,6 +175,7 @@ def predict(w: dict, data: np.ndarray, offsets: np.ndarray, window: int, group:
         for k in range(n_labels):
             pooled[:, k] += np.bincount(r, sums[k], minlength=rows)
         seen += np.bincount(r, letter.sum(axis=0), minlength=rows)
+        del logits, letter  # before the next group's arrays are made
     return pooled / np.maximum(seen, 1)[:, None]
 
 

@@ -17,9 +17,11 @@ from itertools import compress
 import numpy as np
 import pyarrow as pa
 
-BLOCK = 1 << 20
-#: Rows are taken in pieces of about this many text bytes.
-PIECE = 2 << 20
+BLOCK = 1 << 16
+#: Longer tables of powers, for words longer than a block, aren't kept: a worker lives for many tasks.
+KEPT = 4 * BLOCK
+#: Rows are taken in pieces of about this many text bytes; in smaller ones where words are split, with a dozen arrays per word.
+PIECE, TOKENS = 2 << 20, 1 << 19
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -59,7 +61,7 @@ def _powers(n: int, salt: int) -> tuple[np.ndarray, np.ndarray]:
 
 def powers(n: int, salt: int) -> tuple[np.ndarray, np.ndarray]:
     size = 1 << max(16, int(n).bit_length())
-    p, q = _powers(size, salt)
+    p, q = (_powers if size <= KEPT else _powers.__wrapped__)(size, salt)
     return p[:n], q[:n]
 
 
@@ -167,6 +169,6 @@ def pieces(column: pa.Array, size: int = PIECE) -> Iterator[tuple[int, int, np.n
         r = stop
 
 
-def tokens(column: pa.Array, lower: bool = False, size: int = PIECE, plain: bool = False) -> Iterator[tuple[int, int, Tokens]]:
+def tokens(column: pa.Array, lower: bool = False, size: int = TOKENS, plain: bool = False) -> Iterator[tuple[int, int, Tokens]]:
     for a, b, data, offs in pieces(column, size):
         yield a, b, Tokens(data, offs, lower, plain)

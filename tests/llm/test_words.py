@@ -50,6 +50,33 @@ def test_hashes_do_not_depend_on_blocks(monkeypatch):
     assert np.array_equal(w.windows(whole, t.first, 35)[0], long)
 
 
+def test_hashing_keeps_little_memory():
+    """A worker serves many tasks: what hashing leaves behind stays small, whatever the sizes of texts and words were."""
+    import tracemalloc
+
+    import notelab.llm.words as w
+    w._powers.cache_clear()
+    tracemalloc.start()
+    try:
+        for size in (100_000, 300_000, 700_000, 1_500_000):
+            for text in ("word " * (size // 5), "x" * size):
+                for _, _, t in tokens(pa.array([text])):
+                    windows(t.hashes(), t.first, 5)
+        del t
+        assert tracemalloc.get_traced_memory()[0] < 32 << 20
+    finally:
+        tracemalloc.stop()
+
+
+def test_workers_give_memory_back(spark):
+    import os
+
+    from notelab.session import reachable
+    reachable(spark)
+    names = ("MALLOC_MMAP_THRESHOLD_", "MALLOC_TRIM_THRESHOLD_", "ARROW_DEFAULT_MEMORY_POOL")
+    assert spark.sparkContext.parallelize([0], 1).map(lambda _: [os.environ.get(n) for n in names]).first() == [str(4 << 20), str(4 << 20), "system"]
+
+
 def test_sliced_arrays():
     column = pa.array(["a b", None, "c", "d e f"], pa.string()).slice(1, 3)
     t = Tokens(*buffers(column), lower=False)
