@@ -8,7 +8,8 @@ a source takes block perm(j) of its pass j div n_blocks: perm is a swap-or-not s
 bijection on the source's block numbers. Blocks are packed from the whole texts and meet their slots in an equi-join on
 (source, block): the mixed texts (``mixed_blocks``). What is taken of a document (``mix_sources``) is counted in them.
 
-The texts are shuffled twice, by the places of documents in their source and by block, and the mix is staged once.
+The texts are shuffled twice, by the places of documents in their source and by block, and the mix is staged once. The words
+of a text are searched to count them, and again to join them by single spaces for the way to their places.
 
 No step puts a source into one task: positions come from two-level prefix sums (buckets, then rows of a bucket), and
 slots and blocks are spread by their numbers. Only tables of one row per source are broadcast, under Spark's own size
@@ -36,11 +37,18 @@ MAX_PASSES = 3
 ROUNDS = 24
 
 
-_WORD = r"[^\x20\x09-\x0D]+"
+_WORD, _GAP, _BLANKS = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]+", " \t\n\x0b\x0c\r"
 
 
 def word_count(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(_WORD)).cast("long"), F.lit(0).cast("long"))
+    """Words of a text; each becomes one letter, so none is a string of its own."""
+    marks = F.regexp_replace(F.ltrim(text, F.lit(_BLANKS)), rf"{_WORD}[\x20\x09-\x0D]*", "x")
+    return F.coalesce(F.length(marks).cast("long"), F.lit(0).cast("long"))
+
+
+def spaced(text: Column) -> Column:
+    """The words of a text joined by single spaces."""
+    return F.regexp_replace(F.btrim(text, F.lit(_BLANKS)), _GAP, " ")
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_passes: int = MAX_PASSES) -> DataFrame:
@@ -88,7 +96,7 @@ def before(value: str, keys: list[str], order: list[str]) -> Column:
 
 
 def pieces(placed: DataFrame, block_words: int) -> DataFrame:
-    """(sid, block, start, doc_id, n, words): the words of each document by the blocks that they lie in."""
+    """(sid, block, start, doc_id, n, words): the words of each document (``spaced`` texts) by the blocks that they lie in."""
     start, end = F.col("start"), F.col("start") + F.col("size")
     numbers = F.sequence(F.floor(start / block_words), F.floor((end - 1) / block_words))
 
@@ -97,7 +105,7 @@ def pieces(placed: DataFrame, block_words: int) -> DataFrame:
         return F.struct(block.alias("block"), F.slice(words, (lo - start + 1).cast("int"), (hi - lo).cast("int")).alias("part"))
 
     # a text is split once: the inner function sees its words as a variable
-    split = F.transform(F.array(F.regexp_extract_all("text", F.lit(_WORD), F.lit(0))), lambda w: F.transform(numbers, lambda b: part(w, b)))
+    split = F.transform(F.array(F.split("text", " ")), lambda w: F.transform(numbers, lambda b: part(w, b)))
     cut = F.transform(F.element_at(split, 1), lambda x: F.struct(x["block"].alias("block"), F.size(x["part"]).alias("n"), F.array_join(x["part"], " ").alias("words")))
     return placed.where("size > 0").select("sid", "start", "doc_id", F.explode(cut).alias("cut")).select("sid", "start", "doc_id", "cut.*")
 
@@ -108,10 +116,10 @@ def mix_tables(docs: DataFrame, block_words: int = 128, shard_slots: int = 1024,
     spark = docs.sparkSession
     scratch = Scratch(spark, "mixing")
     rows = docs.select(
-        F.col(id_col).alias("doc_id"), F.col(source_col).alias("src"), word_count(F.col(text_col)).alias("size"),
+        F.col(id_col).alias("doc_id"), F.col(source_col).alias("src"),
         F.crc32(F.col(text_col).cast("binary")).alias("tie"), F.xxhash64(text_col).alias("tie2"),
         F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(buckets)).alias("bucket"), F.col(text_col).alias("text"))
-    sized = scratch.stage(rows.drop("text"), "sized")
+    sized = scratch.stage(rows.withColumn("size", word_count(F.col("text"))).drop("text"), "sized")
     per_bucket = scratch.stage(sized.groupBy("src", "bucket").agg(F.sum("size").alias("words")), "buckets")
 
     # quota of a source in blocks: whole passes, then as many blocks of the last pass as come nearest to the rest
@@ -163,8 +171,10 @@ def mix_tables(docs: DataFrame, block_words: int = 128, shard_slots: int = 1024,
         first = F.col("b0") + before("size", ["sid", "bucket"], ["doc_id", "tie", "tie2", "size"])
         return known.join(bucket_first, ["sid", "bucket"]).withColumn("start", F.when(F.col("size") > 0, first))
 
-    # blocks of words, which meet their slots
-    packed = pieces(starts(rows.where("size > 0")), block_words).groupBy("sid", "block").agg(F.array_sort(F.collect_list(F.struct("start", "doc_id", "n", "words"))).alias("held"))
+    # blocks of words, which meet their slots; a text's words are searched once, and the filter ends at the first
+    texts = rows.where(F.regexp_like("text", F.lit(_WORD))).withColumn("text", spaced(F.col("text")))
+    texts = texts.withColumn("size", (F.octet_length("text") - F.octet_length(F.replace("text", F.lit(" "), F.lit(""))) + 1).cast("long"))
+    packed = pieces(starts(texts), block_words).groupBy("sid", "block").agg(F.array_sort(F.collect_list(F.struct("start", "doc_id", "n", "words"))).alias("held"))
     packed = packed.select("sid", "block", F.array_join(F.col("held.words"), " ").alias("words"), F.transform("held", lambda x: F.struct(x["start"].alias("start"), x["doc_id"].alias("doc_id"), x["n"].alias("n"))).alias("parts"))
     mix = scratch.stage(packed.join(placed.select("sid", "block", "slot"), ["sid", "block"])
                         .select(F.floor(F.col("slot") / shard_slots).cast("long").alias("shard"), "slot", "sid", "block", "words", "parts"), "mix", codec="zstd")

@@ -262,6 +262,26 @@ def test_mixed_blocks(spark):
         assert at == len(stream) and not any(left.values())
 
 
+def test_words_of_odd_texts(spark):
+    texts = [None, "", " \t\n\x0b\x0c\r", "a", " a", "a\n", "\r\n a  b\n\nc\t \x0b\x0cd e ", "a\u00a0b \x1c \u2003", "é 日本  🎉🎉\x85", "\x00 $1 \\", "x" * 9000]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, text string")
+    got = df.select("i", mixing.word_count(F.col("text")).alias("n"), mixing.spaced(F.col("text")).alias("s")).collect()
+    assert {r["i"]: (r["n"], r["s"]) for r in got} == {i: (len(words(t)), None if t is None else " ".join(words(t))) for i, t in enumerate(texts)}
+
+
+def test_mixing_searches_the_words_of_a_text_once(spark, monkeypatch):
+    """On the way to its place a text goes through one search of all its words, not one to filter and one to count."""
+    plans, cut = [], mixing.pieces
+
+    def pieces(placed, *rest):
+        plans.append(placed._jdf.queryExecution().optimizedPlan().toString())
+        return cut(placed, *rest)
+
+    monkeypatch.setattr(mixing, "pieces", pieces)
+    mixing.mix_tables(documents(spark, awkward()))
+    assert [len(re.findall("regexp_(?:extract|replace|count)", p)) for p in plans] == [1]
+
+
 def test_mixing_empty_and_blank_tables(spark):
     assert mixing.mix_sources(empty(spark)).count() == 0
     got = mixing.mix_sources(documents(spark, [(1, None, None, None), (2, " ", "en", "a")])).collect()
