@@ -38,10 +38,11 @@ class Scratch:
         self.n += 1
         return f"{self.root}/{self.n:02d}-{name}"
 
-    def stage(self, df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
-        """codec: the compression of a table that holds texts, where the session's own one isn't dense enough."""
+    def stage(self, df: DataFrame, name: str, codec: str | None = None, records: int = 0) -> DataFrame:
+        """codec: the compression of a table that holds texts, where the session's own one isn't dense enough.
+        records: most rows of a file (0: no limit), for a table whose scan must spread over tasks without a shuffle."""
         path = self.path(name)
-        df.write.options(**({"compression": codec} if codec else {})).parquet(path)
+        df.write.options(**({"compression": codec} if codec else {}), maxRecordsPerFile=records).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *tables: DataFrame) -> None:

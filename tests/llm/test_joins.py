@@ -15,7 +15,7 @@ sys.path.insert(0, os.path.dirname(__file__))
 from cases import awkward, documents, empty, prose, words  # noqa: E402
 
 from notelab.llm import archives, decontam, embeddup, mixing  # noqa: E402
-from notelab.llm.common import Scratch  # noqa: E402
+from notelab.llm.common import Scratch, components  # noqa: E402
 
 
 # ---------------------------------------------------------------- decontamination
@@ -143,6 +143,25 @@ def test_chunks_do_not_change_links(spark, monkeypatch):
     assert sorted(map(tuple, embeddup.near_duplicates(df).collect())) == whole
 
 
+def test_vectors_are_not_dealt_over_cells(spark, monkeypatch):
+    """One chunk after the other meets the staged vectors: links of all pairs, a few rows per vector, and no vector in an exchange."""
+    r = np.random.default_rng(6)
+    raw = np.concatenate([r.normal(size=(1, 32)) + r.normal(0, 0.05, (150, 32)), r.normal(size=(90, 32))])
+    nodes = spark.createDataFrame([(i, 1 + i % 3, v.tolist()) for i, v in enumerate(raw)], "node long, copies long, vec array<double>").repartition(4)
+    unit = raw / np.linalg.norm(raw, axis=1)[:, None]
+    near = (unit @ unit.T >= 0.95) & ~np.eye(len(raw), dtype=bool)
+    assert near.sum() > 10_000
+    monkeypatch.setattr(embeddup, "LINKED", 500)
+    for chunk in (33, 1000):
+        monkeypatch.setattr(embeddup, "CHUNK", chunk)
+        met = embeddup._met(nodes, 0.95, Scratch(spark, "test"))
+        assert met.count() < 60 * len(raw)
+        links = {x.node: x.n for x in met.groupBy("node").agg({"links": "sum"}).toDF("node", "n").collect()}
+        assert all(links.get(i, 0) == near[i] @ (1 + np.arange(len(raw)) % 3) for i in range(len(raw)))
+        parts = {x.node: x.component for x in components(met.where("node <> part").selectExpr("node a", "part b"), Scratch(spark, "test")).collect()}
+        assert {parts[i] for i in np.flatnonzero(near.any(axis=1))} == {0}
+
+
 def test_near_duplicates_empty_table(spark):
     assert embeddup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
